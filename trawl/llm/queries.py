@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import quality_rules
+from trawl.llm import quality_rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,4 +16,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1}
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicate components of all ``documents``."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3}
