@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import quality_rules, simhash
+from trawl.llm import quality_rules, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,4 +21,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3}
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file; looked up where it is read."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all ``documents`` under a byte-level BPE vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op9_token_counts": op9}
