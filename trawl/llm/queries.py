@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import quality_rules, simhash, token_counts
+from trawl.llm import compression_quality, quality_rules, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all ``documents`` from two compression dictionaries."""
+    return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all ``documents`` under a byte-level BPE vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op9_token_counts": op9}
+QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op7_compression_quality": op7, "op9_token_counts": op9}
