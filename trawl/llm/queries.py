@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import compression_quality, quality_rules, simhash, token_counts
+from trawl.llm import compression_quality, quality_rules, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,4 +38,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op7_compression_quality": op7, "op9_token_counts": op9}
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents``."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op7_compression_quality": op7, "op9_token_counts": op9, "op10_toxicity": op10}
