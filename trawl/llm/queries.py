@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import compression_quality, quality_rules, simhash, token_counts, toxicity
+from trawl.llm import compression_quality, packing, quality_rules, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), lambda: tokenizer("word_bpe_49k.json"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all ``documents`` under a byte-level BPE vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: tokenizer("byte_bpe_50k.json"))
@@ -43,4 +48,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op7_compression_quality": op7, "op9_token_counts": op9, "op10_toxicity": op10}
+QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10}
