@@ -88,3 +88,16 @@ FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source
 """
 
 SQL["op4_pareto_mix"] = OP4
+
+_BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '')"
+_FIVE = " + ".join(f"substr(bits, 5 * i + {k}, 1)::INT * {1 << (5 - k)}" for k in range(1, 6))
+
+OP5 = f"""
+WITH b AS (SELECT page_id, coalesce(html, '') AS html, {_BITS} AS bits, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, octet_length(html::BLOB)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_FIVE} + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+""".replace("html::BLOB", "encode(html)")
+
+SQL["op5_warc"] = OP5

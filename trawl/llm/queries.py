@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import compression_quality, mixing, packing, progressive_jpeg, quality_rules, simhash, token_counts, toxicity
+from trawl.llm import compression_quality, mixing, packing, progressive_jpeg, quality_rules, simhash, token_counts, toxicity, warc
+from trawl.llm.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as a sharded WARC archive and read back."""
+    folder = shared_folder(spark)
+    found = warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` as a progressive JPEG, read back."""
     return progressive_jpeg.features(table(spark, sf_dir, "documents"))
@@ -58,4 +66,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10}
+QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10}

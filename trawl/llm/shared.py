@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,22 @@ def delete(spark: SparkSession, path: str) -> None:
         fs.delete(where, True)
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file or folder in one step; raises FileExistsError if the target is there already."""
+    jvm = spark.sparkContext._jvm
+    fs, path = filesystem(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        if fs.exists(path):
+            raise FileExistsError(target)
+        context.rename(jvm.org.apache.hadoop.fs.Path(source), path, none)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            raise FileExistsError(target) from e
+        raise
+
+
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` written as a Parquet table to the shared folder and read again.
 
