@@ -10,8 +10,11 @@ Pieces are then ranked within their length by Spark, and each rank has its seque
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trawl.llm.bpe import Lockstep, Merges, byte_symbols
 from trawl.llm.shared import small_batches, stored
 
 CAPACITY = 4096
@@ -40,38 +44,98 @@ PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and never joins across it, so words between ASCII white space are
-    encoded apart, each distinct one once while it is remembered.
+    The vocabulary (a tokenizers .json file whose words end with a mark) drops white space and never joins
+    across it, so words between ASCII white space are encoded apart, each distinct one once while it is
+    remembered. Words of ASCII and Latin-1 letters, digits and signs are read by the compiled merges; all
+    others, and those that could hold contractions or special tokens, by the library itself.
     """
 
+    PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+    PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        byte_of, mark = byte_symbols(), model["end_of_word_suffix"]
+
+        def decode(token: str) -> tuple[int, ...]:
+            if token.endswith(mark):
+                *front, last = (byte_of[c] for c in token[: -len(mark)])
+                return (*front, 256 + last)
+            return tuple(byte_of[c] for c in token)
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merges = Merges(512, ((decode(a), decode(b)) for a, b in merges))
+        of = {decode(token): k for token, k in model["vocab"].items()}
+        self.ids = np.array([of[token] for token in self.merges.rank], "<u4")
+        self.sizes = [len(token) for token in self.merges.rank]
+        self.lockstep = Lockstep(self.merges)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
+    def part(self, part: bytes) -> bytes:
+        """Ids of a pre-token of any length."""
+        symbols = [*part[:-1], 256 + part[-1]]
+        last, _ = self.merges.read(symbols)
+        at, found = len(symbols), []
+        while at:
+            found.append(last[at])
+            at -= self.sizes[last[at]]
+        return self.ids[found[::-1]].tobytes()
+
+    def parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, those of one length together."""
+        out = [b""] * len(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        for n in np.unique(lengths):
+            own = np.flatnonzero(lengths == n)
+            if n > 48:
+                for k in own:
+                    out[k] = self.part(parts[k])
+                continue
+            words = np.frombuffer(b"".join([parts[k] for k in own]), np.uint8).reshape(-1, n).astype(np.int32)
+            words[:, -1] += 256
+            for rows, tokens in self.lockstep.encode(words):
+                width = 4 * tokens.shape[1]
+                data = self.ids[tokens].tobytes()
+                for at, k in zip(range(0, len(data), width), own[rows].tolist(), strict=True):
+                    out[k] = data[at : at + width]
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        unknown = []
-        for word in {w for w in words if w not in self.young}:
+        rare, plain, parts, cuts = [], [], [], [0]
+        for word in words:
             ids = self.old.get(word)
-            if ids is None:
-                unknown.append(word)
-            else:
+            if ids is not None:
                 self.young[word] = ids
-        for k in range(0, len(unknown), 4096):
-            part = unknown[k : k + 4096]
-            for word, found in zip(part, self.library.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.young[word] = np.array(found.ids, "<u4").tobytes()
+            elif self.PLAIN.fullmatch(text := word.decode()):
+                plain.append(word)
+                parts += self.PARTS.findall(text.lower())
+                cuts.append(len(parts))
+            else:
+                rare.append(word)
+        found = self.parts([p.encode() for p in parts])
+        for word, a, b in zip(plain, cuts, cuts[1:], strict=False):
+            self.young[word] = found[a] if b == a + 1 else b"".join(found[a:b])
+        if rare:
+            for word, encoding in zip(rare, self.library.encode_batch([w.decode() for w in rare], add_special_tokens=False), strict=True):
+                self.young[word] = array("I", encoding.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn([w for words in split for w in words])
-        known = self.young.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        found = [list(map(self.young.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if missing:
+            self.learn(missing)
+            known = self.young
+            found = [[known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, Encoder] = {}

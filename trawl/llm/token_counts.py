@@ -11,7 +11,7 @@ entry state, and a second pass over all chunks marks the starts.
 The *counter* reads a pre-token's bytes. After each byte its state is the last token of the encoding so
 far, and its transition carries the number of tokens emitted. The last token is the longest vocabulary
 entry that ends there and may follow the last token of what precedes it; whether two tokens may stand
-side by side is compiled from the merges and kept. Pre-tokens seen before are not read again.
+side by side is compiled from the merges and kept (see ``bpe``). Pre-tokens seen before are not read again.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm.bpe import Merges, byte_symbols
 from trawl.llm.shared import small_batches
 
 LIMIT = 512
@@ -157,126 +158,18 @@ class Counter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        byte_of = self._bytes()
-        decode = lambda token: bytes(byte_of[c] for c in token)
-        vocab = spec["model"]["vocab"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        byte_of = byte_symbols()
+        decode = lambda token: tuple(byte_of[c] for c in token)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        # Tokens are numbered by the rank of the merge that makes them, single bytes before all merges.
-        self.rank: dict[bytes, int] = {bytes([b]): b for b in range(256)}
-        self.halves: list[tuple[int, int]] = [(b, b) for b in range(256)]
-        self.merged: dict[tuple[int, int], int] = {}
-        for left, right in merges:
-            a, b = self.rank[decode(left)], self.rank[decode(right)]
-            joined = decode(left) + decode(right)
-            if joined not in self.rank:
-                self.rank[joined] = len(self.halves)
-                self.halves.append((a, b))
-            self.merged.setdefault((a, b), self.rank[joined])
-        assert len(self.halves) == len(vocab), "the vocabulary has tokens that no merge makes"
-        self._compile()
-        self.pairs: dict[int, bool] = {}
+        self.merges = Merges(256, ((decode(a), decode(b)) for a, b in merges))
+        assert len(self.merges.halves) == len(spec["model"]["vocab"]), "the vocabulary has tokens that no merge makes"
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
-    @staticmethod
-    def _bytes() -> dict[str, int]:
-        """The byte behind each character of a byte-level vocabulary: printable ones stand for themselves."""
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in plain]
-        return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-    def _compile(self) -> None:
-        """The automaton whose state after each byte is the longest end of the input that begins a token.
-
-        ``ends`` has for each state the tokens that end there, longest first; ``step`` its transitions by
-        state and byte, of which those that fall back are added when they are first taken.
-        """
-        step: dict[int, int] = {}
-        ends: list[tuple[tuple[int, int], ...]] = [()]
-        level, path = [], {b"": 0}
-        for token in sorted(self.rank, key=len):
-            node = 0
-            for byte in token:
-                key = node << 8 | byte
-                if (after := step.get(key)) is None:
-                    after = step[key] = len(ends)
-                    ends.append(())
-                node = after
-            path[token] = node
-        fall = [0] * len(ends)
-        own = {node: (len(token), self.rank[token]) for token, node in path.items() if token}
-        below: list[list[tuple[int, int]]] = [[] for _ in ends]
-        for key, node in step.items():
-            below[key >> 8].append((key & 255, node))
-        level = [0]
-        while level:
-            deeper = []
-            for parent in level:
-                for byte, node in below[parent]:
-                    back = fall[parent]
-                    while parent and back and (back << 8 | byte) not in step:
-                        back = fall[back]
-                    fall[node] = step.get(back << 8 | byte, 0) if parent else 0
-                    ends[node] = ((own[node],) if node in own else ()) + ends[fall[node]]
-                    deeper.append(node)
-            level = deeper
-        self.step, self.fall, self.ends, self.least = step, fall, ends, len(step)
-
-    def _fall_back(self, node: int, byte: int) -> int:
-        if len(self.step) > self.least + 500_000:  # forget what was added
-            self.step = dict(list(self.step.items())[: self.least])
-        key = node << 8 | byte
-        while node and (node << 8 | byte) not in self.step:
-            node = self.fall[node]
-        self.step[key] = found = self.step.get(node << 8 | byte, 0)
-        return found
-
-    def adjacent(self, left: int, right: int) -> bool:
-        """Whether the encoding of the two tokens' bytes is these two tokens: no merge across their border comes before those inside."""
-        key = left << 20 | right
-        a, b, before = left, right, len(self.halves)
-        while True:
-            joined = self.merged.get((a, b))
-            if joined is not None and joined < before:
-                answer = False
-                break
-            # Undo the later of the two tokens' merges, and look at the border again.
-            if a > b:  # of equal tokens the right one is made later
-                if a < 256:
-                    answer = True
-                    break
-                before, a = a, self.halves[a][1]
-            else:
-                if b < 256:
-                    answer = True
-                    break
-                before, b = b + 1, self.halves[b][0]
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
-        self.pairs[key] = answer
-        return answer
-
     def emitted(self, word: bytes) -> list[int]:
         """Tokens in the encoding of each prefix of ``word``, from the empty one."""
-        pairs, ends, node = self.pairs, self.ends, 0
-        last, count = [-1], [0]
-        for end, byte in enumerate(word, 1):
-            after = self.step.get(node << 8 | byte)
-            node = self._fall_back(node, byte) if after is None else after
-            for size, token in ends[node]:
-                begin = end - size
-                if begin:
-                    left = last[begin]
-                    fits = pairs.get(left << 20 | token)
-                    if fits is None:
-                        fits = self.adjacent(left, token)
-                    if not fits:
-                        continue
-                last.append(token)
-                count.append(count[begin] + 1)
-                break
-        return count
+        return self.merges.read(word)[1]
 
     def count(self, word: str) -> int:
         n = self.young.get(word)
