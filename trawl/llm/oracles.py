@@ -101,3 +101,5 @@ FROM b
 """.replace("html::BLOB", "encode(html)")
 
 SQL["op5_warc"] = OP5
+
+SQL["op2_sharding"] = "SELECT doc_id, lang, source, n_chars, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"

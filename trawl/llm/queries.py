@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trawl.llm import compression_quality, mixing, packing, progressive_jpeg, quality_rules, simhash, token_counts, toxicity, warc
+from trawl.llm import compression_quality, mixing, packing, progressive_jpeg, quality_rules, shards, simhash, token_counts, toxicity, warc
 from trawl.llm.shared import shared_folder
 
 
@@ -17,6 +18,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, appended as small shards in arrivals, compacted, and read back from the last version."""
+    root = shared_folder(spark)
+    documents = table(spark, sf_dir, "documents")
+    arrival = F.pmod(F.xxhash64(*documents.columns), F.lit(shards.ARRIVALS))
+    shards.append_all(documents.withColumn("_arrival", arrival), root, "_arrival")
+    shards.compact(spark, root)
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    return shards.read(spark, root).select("doc_id", "lang", "source", "n_chars", size, F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all ``documents``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -66,4 +78,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_quality_rules": op1, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10}
+QUERIES = {"op1_quality_rules": op1, "op2_sharding": op2, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10}
