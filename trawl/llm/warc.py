@@ -122,14 +122,16 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumns({"sha1": F.sha1("html"), "size": F.octet_length("html").cast("long")})
+    slim = stored(rows.drop("html"), f"{folder}/_temporary")
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
-    first = rows.select("sha1", place.alias("place")).groupBy("sha1").agg(F.min("place").alias("first"))
-    known = rows.join(first, "sha1").withColumn("revisit", (F.col("size") >= LEAST_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-    known = known.select(
-        "page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "sha1", "size",
-        F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "revisit",
-    )
-    weighed = rows.select("page_id", (F.col("size") + OVERHEAD).alias("weight"))
+    first = slim.select("sha1", place.alias("place")).groupBy("sha1").agg(F.min("place").alias("first"))
+    key = ["page_id", "url", "sha1"]
+    links = slim.join(first, "sha1").withColumn("revisit", (F.col("size") >= LEAST_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    links = links.groupBy(*key, "size").agg(F.min("first.page_id").alias("first_id"), F.min("first.url").alias("first_url"), F.min("revisit").alias("revisit"))
+    # A record's links go before it, so that payloads are dealt out once and never joined.
+    none = {"first_id": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string"), "revisit": F.lit(None).cast("boolean")}
+    known = links.withColumn("html", F.lit(None).cast("string")).withColumn("kind", F.lit(0)).unionByName(rows.withColumns(none).withColumn("kind", F.lit(1)))
+    weighed = slim.select("page_id", (F.col("size") + OVERHEAD).alias("weight"))
     total = weighed.agg(F.sum("weight")).first()[0] or 0
     bounds = np.array(ranges(weighed.filter("page_id is not null"), "page_id", "weight", max(LEAST_RANGES, -(-total // RANGE))), np.int64)
 
@@ -148,6 +150,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         temporary = name = ""
         n = size = number = 0
         hashed = hashlib.sha256()
+        links: tuple = ()
 
         def close() -> None:
             nonlocal out
@@ -160,6 +163,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                if row["kind"] == 0:
+                    links = tuple(row[c] for c in ("page_id", "url", "sha1", "first_id", "first_url", "revisit"))
+                    continue
+                if links[:3] != (row["page_id"], row["url"], row["sha1"]):
+                    raise ValueError("a record does not follow its links")
                 if row["shard"] != current or size >= roll:
                     close()
                     number = number + 1 if row["shard"] == current else 0
@@ -172,7 +180,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                     size = len(data)
                     out.write(data)
                     hashed.update(data)
-                data = page_record(*(row[c] for c in ("page_id", "url", "html", "sha1", "size", "first_id", "first_url", "revisit")))
+                data = page_record(*(row[c] for c in ("page_id", "url", "html", "sha1", "size")), *links[3:])
                 out.write(data)
                 hashed.update(data)
                 n, size = n + 1, size + len(data)
@@ -180,7 +188,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
 
-    dealt = known.withColumn("shard", shard("page_id")).repartition("shard").sortWithinPartitions("shard", "page_id", "url", "sha1")
+    dealt = known.withColumn("shard", shard("page_id")).repartition("shard").sortWithinPartitions("shard", *key, "kind")
     manifest = stored(dealt.mapInArrow(put, MANIFEST), f"{folder}/_temporary")
     return commit(spark, manifest, folder)
 
@@ -244,4 +252,4 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return manifest.select("file").repartition("file").mapInArrow(get, READ)
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(get, READ)  # a task for each file
