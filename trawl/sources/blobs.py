@@ -44,14 +44,16 @@ def ignored(patterns: list[str]):
     return predicate
 
 
-def files(spark: SparkSession, root: str, most: int = 10 << 20, hidden: bool = False, gitignore: list[str] | None = None, binary: bool = False) -> DataFrame:
-    """Files below ``root`` by name, size and ignore lines, before any content is read; then those without zero bytes."""
+def files(spark: SparkSession, root: str, most: int = 10 << 20, gitignore: list[str] | None = None, binary: bool = False) -> DataFrame:
+    """Files below ``root`` by name, size and ignore lines, before any content is read; then those without zero bytes.
+
+    Spark itself lists no files and folders whose names begin with a dot or an underscore.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= most)
     base = root.split("://")[-1].rstrip("/")
     relative = F.substring_index("path", base + "/", -1)
     found = found.withColumn("path", relative)
-    if not hidden:
-        found = found.filter(~is_hidden(F.col("path")))
+    found = found.filter(~is_hidden(F.col("path")))
     if gitignore:
         found = found.filter(~ignored(gitignore)(F.col("path")))
     if not binary:
