@@ -23,7 +23,7 @@ from trawl.llm.labelled import Logistic, Sample, fit, remainder, sample
 from trawl.llm.shared import small_batches
 
 #: The labelled sample: texts of each label, and characters of a text.
-PER_CLASS, MOST_CHARS = 2000, 50_000
+PER_CLASS, MOST_CHARS = 2000, 20_000
 #: Rows whose crc32(doc_id) has remainder HELD_OUT modulo FOLDS are never learnt from.
 FOLDS, HELD_OUT = 5, 0
 #: Words before and after a hit that are looked at.
@@ -33,6 +33,8 @@ REACH = 6
 LIFT, CONTEXTS, SHARE, ENDINGS = 25.0, 4, 0.02, 4
 STEM_LENGTHS = range(4, 11)
 LEARNT = 500
+#: Contexts of a word that are told apart.
+MOST_CONTEXTS = 200
 REMEMBERED = 200_000
 
 # Common insults, signs and words of quotation, and words of address.
@@ -185,37 +187,46 @@ def learn_terms(found: Sample) -> tuple[tuple[str, ...], tuple[str, ...]]:
 
     A term counts once for each pair of neighbours, so that copies of one text count once.
     """
-    contexts: dict[str, dict[int, set]] = defaultdict(lambda: {0: set(), 1: set()})
-    for text, label in zip(found.texts, found.labels, strict=True):
-        words = list(map(plain, text.lower().split()))
-        for left, word, right in zip(["", *words], words, [*words[1:], ""], strict=False):
-            if len(word) >= 4 and len((own := contexts[word])[label]) < 200:
-                own[label].add(hash((left, right)))
     total = np.maximum(np.bincount(found.labels, minlength=2), 1)
-
-    def marks(toxic: int, clean: int) -> bool:
-        return toxic >= max(CONTEXTS, SHARE * total[1]) and (toxic + 0.5) / total[1] >= LIFT * (clean + 0.5) / total[0]
-
-    toxic, clean, endings = Counter(), Counter(), Counter()
-    for word, own in contexts.items():
+    least = max(CONTEXTS, SHARE * total[1])
+
+    def words_of(label: int) -> Iterator[tuple[str, int]]:
+        for text, own in zip(found.texts, found.labels, strict=True):
+            if own == label:
+                words = list(map(plain, text.lower().split()))
+                for left, word, right in zip(["", *words], words, [*words[1:], ""], strict=False):
+                    if len(word) >= STEM_LENGTHS[0]:
+                        yield word, hash((left, right))
+
+    toxic: dict[str, set[int]] = defaultdict(set)
+    for word, context in words_of(1):
+        if len(own := toxic[word]) < MOST_CONTEXTS:
+            own.add(context)
+    of_stem, endings, longer = Counter(), Counter(), defaultdict(list)
+    for word, own in toxic.items():
         for n in STEM_LENGTHS:
             if n < len(word):
-                stem = word[:n]
-                toxic[stem] += len(own[1])
-                clean[stem] += len(own[0])
-                endings[stem] += bool(own[1])
-    longer: dict[str, list[str]] = defaultdict(list)
-    for stem in toxic:
+                of_stem[word[:n]] += len(own)
+                endings[word[:n]] += 1
+    for stem in of_stem:
         longer[stem[:-1]].append(stem)
+    clean = {w: set() for w, own in toxic.items() if len(own) >= least}
+    candidates = {s for s, n in of_stem.items() if n >= least and endings[s] >= ENDINGS}
+    for word, context in words_of(0):
+        if word in clean:
+            clean[word].add(context)
+        for n in STEM_LENGTHS:
+            if n < len(word):
+                candidates.discard(word[:n])  # a stem occurs in no other text
     stems: set[str] = set()
-    for stem in sorted(toxic, key=lambda s: (len(s), s)):
-        if endings[stem] >= ENDINGS and clean[stem] == 0 and marks(toxic[stem], 0) and not any(stem[:n] in stems for n in STEM_LENGTHS):
-            while more := [s for s in longer[stem] if toxic[s] >= 0.98 * toxic[stem] and endings[s] >= ENDINGS]:
+    for stem in sorted(candidates, key=lambda s: (len(s), s)):
+        if (of_stem[stem] + 0.5) / total[1] >= LIFT * 0.5 / total[0] and not any(stem[:n] in stems for n in STEM_LENGTHS):
+            while more := [s for s in longer[stem] if of_stem[s] >= 0.98 * of_stem[stem] and endings[s] >= ENDINGS]:
                 stem = more[0]  # as specific as covers the same
             stems.add(stem)
-    words = [w for w, own in contexts.items() if marks(len(own[1]), len(own[0])) and not any(w[:n] in stems for n in STEM_LENGTHS)]
-    words.sort(key=lambda w: (-len(contexts[w][1]), w))
-    return tuple(sorted({*words[:LEARNT], *INSULTS})), tuple(sorted(stems, key=lambda s: (-toxic[s], s))[:LEARNT])
+    words = [w for w, own in clean.items() if (len(toxic[w]) + 0.5) / total[1] >= LIFT * (len(own) + 0.5) / total[0] and not any(w[:n] in stems for n in STEM_LENGTHS)]
+    words.sort(key=lambda w: (-len(toxic[w]), w))
+    return tuple(sorted({*words[:LEARNT], *INSULTS})), tuple(sorted(stems, key=lambda s: (-of_stem[s], s))[:LEARNT])
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
