@@ -67,11 +67,12 @@ def _all_of(text: Column, rule: Rule) -> Column:
         rows = F.transform(parts["hit"], lambda h, i: F.struct(F.get(parts["gap"], i).alias("gap"), h.alias("hit"), F.get(parts["group"], i).alias("group")))
         return F.aggregate(rows, start, step, lambda s: s["out"])
 
-    held = F.lit(True)
+    held = text.rlike(portable(rule.pattern))  # far cheaper than the search with gaps, and most texts have no match
     if rule.keywords:
-        held = F.lit(False)
+        any_ = F.lit(False)
         for k in rule.keywords:
-            held = held | F.contains(text, F.lit(k))
+            any_ = any_ | F.contains(text, F.lit(k))
+        held = any_ & held
     return F.when(held, let(F.struct(part(1).alias("gap"), part(2).alias("hit"), part(3).alias("group")), walk)).otherwise(empty)
 
 

@@ -16,11 +16,15 @@ BY_ID = {r.id: r for r in rules.BUILTIN}
 #: Rules with hits in the driver's documents.
 PACK = [BY_ID[k] for k in ("tr.token.1", "tr.email.1", "tr.ipv4.1", "tr.card.1", "tr.licence.1")]
 CONTEXT = 2
+#: Tables of whole texts, which cost more to read than to move.
+WIDE = ("documents", "pages")
 SELECTION = {"rule": ["E-mail address", "IPv4 address"], "validation": ["valid", "-"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer pieces than the cluster has cores (small files of one row group) is dealt out anew."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in WIDE and found.rdd.getNumPartitions() < cores else found
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
