@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trawl.functions import ids, text, urls
-from trawl.operators import detect, findings, jsintel, redact, report, rules, suppress, webassets
+from trawl.operators import aesflow, detect, findings, jsintel, redact, report, rules, suppress, webassets
+from trawl.plans.store import shared_folder
 from trawl.sources import blobs as sources
+from trawl.sources import extract
+from trawl.streaming import scan as streaming
 
 BY_ID = {r.id: r for r in rules.BUILTIN}
 #: Rules with hits in the driver's documents.
@@ -263,6 +266,34 @@ def match_python(spark, d):
     return rows.select("doc_id", "rule_id", "start", "end", "start_line", "start_column", "end_line", "end_column", "matching")
 
 
+def stream_detect(spark, d):
+    """The documents as a stream of files, scanned in micro-batches into a table."""
+    schema = table(spark, d, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*").select(ids.blob_id(F.col("text")).alias("blob_id"), "text")
+    folder = shared_folder(spark)
+    query = streaming.matches(stream, rules.BUILTIN).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("blob_id", "rule_id", "start", "end", "matching", "structural_id")
+
+
+def extract_members(spark, d):
+    """Pages as cells of notebooks, taken out again."""
+    cell = F.struct(F.lit("code").alias("cell_type"), F.array("html").alias("source"))
+    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".ipynb"))
+    book = table(spark, d, "pages").select(name.alias("path"), F.to_json(F.struct(F.array(cell).alias("cells"))).cast("binary").alias("content"))
+    return extract.extract(book).select("path", "member", F.sha1("content").alias("sha1"), F.octet_length("content").cast("long").alias("size"))
+
+
+def password_flow(spark, d):
+    """Wrapper functions that encrypt passwords, and where they are called, in scripts made of the pages' ids."""
+    k = F.col("page_id").cast("string")
+    body = F.concat(F.lit("var key = '0123456789abcdef'; function enc"), k, F.lit("(p) {}\nuser.token = enc"), k, F.lit("(form.name); body.password = enc"), k, F.lit("(form.password);"))
+    page = table(spark, d, "pages").select(k.alias("blob_id"), body.alias("text"), F.concat(F.lit("enc"), k).alias("encryptor"))
+    start = (F.instr("text", "function") - 1).cast("long")
+    found = aesflow.expand(page.select("blob_id", "text", start.alias("start"), "encryptor", F.lit("key").alias("key_source"), F.lit(None).cast("string").alias("static_key")))
+    return found.select("blob_id", "start", "end", "encryptor", "argument", "is_literal", "aes_key")
+
+
 QUERIES = {
     "match_rules": match_rules, "blob_ids": blob_ids, "binary_filter": binary_filter, "match_token_assign": match_one("tr.token.1"), "match_email": match_one("tr.email.1"),
     "match_ipv4": match_one("tr.ipv4.1"), "match_card": match_one("tr.card.1"), "match_license": match_one("tr.licence.1"), "match_python": match_python, "match_context": match_context,
@@ -274,4 +305,5 @@ QUERIES = {
     "js_source_maps": js_query(jsintel.source_maps), "js_generic_secrets": js_query(jsintel.generic_secrets), "query_redact": query_redact, "html_assets": html_assets,
     "scope_filter": scope_filter, "mirror_path": mirror_path, "repo_parse": repo_parse, "size_parse": size_parse, "redact_content": redact_content, "redact_hosts": redact_hosts,
     "chunk_lines": chunk_lines, "sarif_json": sarif_json, "report_json": report_json, "ai_corpus_filter": ai_corpus_filter,
+    "stream_detect": stream_detect, "extract_members": extract_members, "password_flow": password_flow,
 }

@@ -168,6 +168,11 @@ _AFTER = "substr(text, length(upto) + 1)"
 _REST = f"CASE WHEN starts_with({_AFTER}, chr(10)) THEN substr({_AFTER}, 2) ELSE {_AFTER} END"
 
 SQL = {
+    "stream_detect": f'WITH {matches([r for r in rules.BUILTIN])} SELECT blob_id, rule_id, start, "end", matching, structural_id FROM m',
+    "extract_members": "SELECT 'page-' || page_id || '.ipynb' AS path, 'cell_0_code' AS member, sha1(html) AS sha1, strlen(html)::BIGINT AS size FROM pages",
+    "password_flow": f"""WITH t AS (SELECT page_id::VARCHAR AS blob_id, 'enc' || page_id AS encryptor, 'var key = ''0123456789abcdef''; function enc' || page_id || '(p) {{}}' || chr(10) || 'user.token = enc' || page_id
+      || '(form.name); body.password = enc' || page_id || '(form.password);' AS text FROM pages), c AS (SELECT *, encryptor || '(form.password)' AS call FROM t)
+      SELECT blob_id, (strpos(text, call) - 1)::BIGINT AS start, (strpos(text, call) - 1 + length(call))::BIGINT AS "end", encryptor, 'form.password' AS argument, false AS is_literal, '0123456789abcdef' AS aes_key FROM c""",
     "blob_ids": f"WITH {DOCS} SELECT doc_id, blob_id, strlen(text)::BIGINT AS size FROM docs",
     "binary_filter": "SELECT doc_id, contains(substr(text, 1, 8192), chr(0)) AS is_binary FROM documents",
     "match_rules": f'WITH {ALL} SELECT doc_id, blob_id, rule_id, start, "end", start_line, start_column, end_line, end_column, matching, secret FROM m',
