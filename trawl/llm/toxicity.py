@@ -35,7 +35,7 @@ STEM_LENGTHS = range(4, 11)
 LEARNT = 500
 #: Contexts of a word that are told apart.
 MOST_CONTEXTS = 200
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 # Common insults, signs and words of quotation, and words of address.
 INSULTS = (
