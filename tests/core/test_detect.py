@@ -71,6 +71,15 @@ def test_context(spark, lines):
         assert (r.gb, r.ga) == (r.b, r.a)
 
 
+def test_first_row_of_copies_is_the_least(spark):
+    ids = list(range(40))
+    rows = [(k, f"{'b' * 40}", "1.1.1.1 2.2.2.2") for k in reversed(ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, blob_id string, text string").repartition(7)
+    frame = detect.with_ids(detect.with_columns(frame, [BY_ID["tr.ipv4.1"]]))
+    for kept in (detect.first_by_content(frame, ties=["doc_id"]), detect.first_by_place(frame, ties=["doc_id"])):
+        assert sorted((r.doc_id, r.start) for r in kept.collect()) == [(0, 0), (0, 8)]
+
+
 def test_dedup_findings_and_top(spark):
     frame = detect.with_ids(detect.with_columns(blobs(spark, ["1.1.1.1 1.1.1.1 2.2.2.2", "1.1.1.1"]), [BY_ID["tr.ipv4.1"]]))
     assert frame.count() == 4 and detect.first_by_content(frame).count() == 3 and detect.first_by_place(frame.union(frame)).count() == 4

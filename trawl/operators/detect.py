@@ -130,12 +130,18 @@ def with_ids(matches: DataFrame, blob_id: str = "blob_id") -> DataFrame:
     )
 
 
-def first_by_content(matches: DataFrame, blob_id: str = "blob_id") -> DataFrame:
-    """Of a blob's matches with equal rule and groups, the first."""
-    order = Window.partitionBy(blob_id, "rule_id", "groups").orderBy("start", "end")
-    return matches.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+def _first(matches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group; where equal blobs have several rows, ``order`` must tell them apart for reruns to agree."""
+    ranked = matches.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter("_n = 1").drop("_n")
 
 
-def first_by_place(matches: DataFrame) -> DataFrame:
-    """One row for each structural_id."""
-    return matches.dropDuplicates(["structural_id"])
+def first_by_content(matches: DataFrame, blob_id: str = "blob_id", ties: Iterable[str] = ()) -> DataFrame:
+    """Of a blob's matches with equal rule and groups, the first; of equal places (copies of a blob), the least by ``ties``."""
+    return _first(matches, [blob_id, "rule_id", "groups"], ["start", "end", *ties])
+
+
+def first_by_place(matches: DataFrame, ties: Iterable[str] = ()) -> DataFrame:
+    """One row for each structural_id, the least by ``ties`` if any are given."""
+    ties = list(ties)
+    return _first(matches, ["structural_id"], ties) if ties else matches.dropDuplicates(["structural_id"])

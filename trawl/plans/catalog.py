@@ -95,7 +95,7 @@ def match_context(spark, d):
 
 
 def dedup_content(spark, d):
-    return detect.first_by_content(found(spark, d)).select("doc_id", "blob_id", "rule_id", "start", F.get("groups", 0).alias("secret"))
+    return detect.first_by_content(found(spark, d), ties=["doc_id"]).select("doc_id", "blob_id", "rule_id", "start", F.get("groups", 0).alias("secret"))
 
 
 def dedup_location(spark, d):
@@ -246,7 +246,7 @@ def chunk_lines(spark, d):
 
 
 def sarif_json(spark, d):
-    rows = detect.first_by_place(found(spark, d))
+    rows = detect.first_by_place(found(spark, d), ties=["doc_id"])
     return report.sarif_results(rows, F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), F.col("blob_id")))
 
 
