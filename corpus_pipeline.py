@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import compression_quality, mixing, packing, simhash, toxicity
+from trawl.llm import compression_quality, mixing, packing, shingles, toxicity
 from trawl.llm.queries import table, tokenizer
 from trawl.llm.shared import shared_folder, stored
 
@@ -31,9 +31,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group, and one row of it.
 
-    Rows without an id cannot be referred to and all stay.
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows without an id cannot be
+    referred to and all stay.
     """
-    found = simhash.near_duplicates(docs)
+    found = shingles.near_duplicates(docs)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
