@@ -84,3 +84,35 @@ def test_terms_are_learnt(spark):
     model = tx.train(docs, labels)
     assert "zorbles" in model.words and any(s.startswith("grum") for s in model.stems)
     assert {r.score for r in tx.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_misspelled_stems_are_hits():
+    stems = ("zorble", "quimpandor")
+    automaton = tx.Automaton(TERMS, stems)
+    for word in ["zorblexa", "zoorblexa", "zrblexa", "zorvlexa", "zrvlexa", "quimpandorix", "quimpndorix", "qimpndorix", "qmpndrix", "zorb", "moron", "m0ron"]:
+        near = any(distance(word[:n], s) <= tx.edits(s) for s in stems for n in range(len(word) + 1))
+        assert automaton.match(word) == (brute(word, stems) or 2 * near), word
+    assert tx.Scorer(TERMS, stems).features("what a zrblexa day")[1] > 0
+
+
+def test_misspelled_stems_in_held_out_texts(spark):
+    rng = np.random.default_rng(8)
+    filler = ["".join(rng.choice(list("aeioubcdmnrst"), 7)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(filler, 80))
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        if i % 4 == 0:
+            for _ in range(3):
+                ending = str(rng.choice(["ab", "ec", "id", "of", "ug"]))
+                words.insert(int(rng.integers(len(words))), ("grvmpel" if held or rng.random() < 0.3 else "grumpel") + ending)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    got = tx.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).filter("held_out").collect()
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in got]) >= 0.95
+
+
+def test_contexts_of_toxic_and_clean_texts_are_counted_alike():
+    texts = [f"a{i} zorbles b{i}" for i in range(1000)]
+    found = tx.Sample([*texts, *[f"c{i} {'zorbles' if i < 20 else 'fine'} d{i}" for i in range(1000)]], np.repeat([1, 0], 1000), np.ones(2000))
+    assert "zorbles" in tx.learn_terms(found)[0]

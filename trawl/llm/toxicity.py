@@ -33,8 +33,6 @@ REACH = 6
 LIFT, CONTEXTS, SHARE, ENDINGS = 25.0, 4, 0.02, 4
 STEM_LENGTHS = range(4, 11)
 LEARNT = 500
-#: Contexts of a word that are told apart.
-MOST_CONTEXTS = 200
 REMEMBERED = 100_000
 
 # Common insults, signs and words of quotation, and words of address.
@@ -59,9 +57,9 @@ class Automaton:
         self.children: list[dict[str, int]] = [{}]
         self.budget = [0]  # the most edits of any term below a node
         self.ends: dict[int, int] = {}  # node: edits of the word that ends there
-        self.stems: set[int] = set()
+        self.stems: dict[int, int] = {}  # node: edits of the stem that ends there
         for term, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
-            allowed, node = 0 if stem else edits(term), 0
+            allowed, node = edits(term), 0
             self.budget[0] = max(self.budget[0], allowed)
             for c in term:
                 after = self.children[node].get(c)
@@ -72,10 +70,11 @@ class Automaton:
                 node = after
                 self.budget[node] = max(self.budget[node], allowed)
             if stem:
-                self.stems.add(node)
+                self.stems[node] = allowed
             else:
                 self.ends[node] = allowed
         self.sets: list[frozenset[tuple[int, int]]] = []
+        self.begun: list[bool] = []  # whether a stem ends in a set
         self.number: dict[frozenset[tuple[int, int]], int] = {}
         self.steps: dict[tuple[int, str], int] = {}
         self.first = self._state({(0, 0)})
@@ -95,6 +94,7 @@ class Automaton:
         if key not in self.number:
             self.number[key] = len(self.sets)
             self.sets.append(key)
+            self.begun.append(any(self.stems.get(node, -1) >= spent for node, spent in key))
         return self.number[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -112,6 +112,7 @@ class Automaton:
         """0: no term; 1: a term or stem as it is; 2: a term misspelled."""
         state, steps = self.first, self.steps
         exact = 0  # the trie node that the letters so far spell
+        begun = False  # whether the letters so far end a misspelled stem
         for c in word:
             exact = self.children[exact].get(c, -1) if exact >= 0 else -1
             if exact in self.stems:
@@ -119,10 +120,11 @@ class Automaton:
             after = steps.get((state, c))
             state = self._step(state, c) if after is None else after
             if state < 0:
-                return 0
+                return 2 if begun else 0
+            begun = begun or self.begun[state]
         if exact in self.ends:
             return 1
-        return 2 if any(self.ends.get(node, -1) >= spent for node, spent in self.sets[state]) else 0
+        return 2 if begun or any(self.ends.get(node, -1) >= spent for node, spent in self.sets[state]) else 0
 
 
 def plain(word: str) -> str:
@@ -200,8 +202,7 @@ def learn_terms(found: Sample) -> tuple[tuple[str, ...], tuple[str, ...]]:
 
     toxic: dict[str, set[int]] = defaultdict(set)
     for word, context in words_of(1):
-        if len(own := toxic[word]) < MOST_CONTEXTS:
-            own.add(context)
+        toxic[word].add(context)
     of_stem, endings, longer = Counter(), Counter(), defaultdict(list)
     for word, own in toxic.items():
         for n in STEM_LENGTHS:
@@ -224,9 +225,11 @@ def learn_terms(found: Sample) -> tuple[tuple[str, ...], tuple[str, ...]]:
             while more := [s for s in longer[stem] if of_stem[s] >= 0.98 * of_stem[stem] and endings[s] >= ENDINGS]:
                 stem = more[0]  # as specific as covers the same
             stems.add(stem)
-    words = [w for w, own in clean.items() if (len(toxic[w]) + 0.5) / total[1] >= LIFT * (len(own) + 0.5) / total[0] and not any(w[:n] in stems for n in STEM_LENGTHS)]
+    words = [w for w, own in clean.items() if (len(toxic[w]) + 0.5) / total[1] >= LIFT * (len(own) + 0.5) / total[0]]
     words.sort(key=lambda w: (-len(toxic[w]), w))
-    return tuple(sorted({*words[:LEARNT], *INSULTS})), tuple(sorted(stems, key=lambda s: (-of_stem[s], s))[:LEARNT])
+    covered = [w for w in words if any(w[:n] in stems for n in STEM_LENGTHS)]  # they stay for their own, longer budget of edits
+    free = [w for w in words if not any(w[:n] in stems for n in STEM_LENGTHS)]
+    return tuple(sorted({*free[:LEARNT], *covered[:LEARNT], *INSULTS})), tuple(sorted(stems, key=lambda s: (-of_stem[s], s))[:LEARNT])
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
