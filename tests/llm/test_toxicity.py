@@ -116,3 +116,13 @@ def test_contexts_of_toxic_and_clean_texts_are_counted_alike():
     texts = [f"a{i} zorbles b{i}" for i in range(1000)]
     found = tx.Sample([*texts, *[f"c{i} {'zorbles' if i < 20 else 'fine'} d{i}" for i in range(1000)]], np.repeat([1, 0], 1000), np.ones(2000))
     assert "zorbles" in tx.learn_terms(found)[0]
+
+
+def test_apostrophes_and_other_quotations_do_not_quote():
+    scorer = tx.Scorer(TERMS, ())
+    for text in ["don’t be such an idiot, you’re late", '"yes" he is an idiot "no"', "“yes” he is an idiot “no”", '5" of idiot and 6" of rain', "it`s an idiot in today`s world"]:
+        got = scorer.features(text)
+        assert got[0] + got[1] > 0 and got[2] == 0 and got[5] == 1, text
+    for text in ["“don’t be an idiot” he wrote", "„du idiot“ war es", "» idiot « stand da", "« idiot » est un mot", "‘you’re an idiot’ it was", 'she said "a b c d e f g h i j idiot" then', '"yes" and "idiot" and "no"', "(“idiot”)"]:
+        got = scorer.features(text)
+        assert got[2] > 0 and got[0] == got[5] == 0, text

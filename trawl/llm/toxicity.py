@@ -40,7 +40,9 @@ INSULTS = (
     "bastard", "clown", "coward", "cretin", "disgusting", "dumbass", "fool", "idiot", "imbecile", "loser", "lowlife", "moron",
     "pathetic", "pig", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "worthless",
 )
-QUOTES = "\"“”„«»‘’`"
+#: Signs of quotation, and those that close each.
+CLOSED_BY = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«»", "‘": "’", "’": "’", "`": "`’"}
+SIGNS = frozenset(CLOSED_BY)
 REPORTS = ("called", "calls", "phrase", "quote", "quoted", "quotes", "reported", "said", "saying", "says", "term", "word", "wrote")
 ADDRESS = ("du", "dich", "te", "toi", "tu", "usted", "vous", "you", "your", "youre", "you're", "ur")
 
@@ -159,9 +161,10 @@ class Scorer:
         if not any(kinds):
             return [0.0] * 6
         straight = misspelled = quoted = addressed = 0
+        both, one = quoted_words(words)
         for at in np.flatnonzero(kinds):
             before, after = words[max(0, at - REACH) : at], words[at + 1 : at + 1 + REACH]
-            if is_quoted(before, words[at], after):
+            if both[at] or (one[at] and any(plain(w) in REPORTS for w in before)):
                 quoted += 1
                 continue
             straight += kinds[at] == 1
@@ -170,11 +173,41 @@ class Scorer:
         return [np.log1p(straight), np.log1p(misspelled), np.log1p(quoted), np.log1p(addressed), np.log1p(1000 * (straight + misspelled) / len(words)), float(straight + misspelled > 0)]
 
 
-def is_quoted(before: list[str], word: str, after: list[str]) -> bool:
-    """Whether signs of quotation stand on both sides, or a word of report stands before and a sign on one side."""
-    left = any(c in QUOTES for w in before for c in w) or word[:1] in QUOTES
-    right = any(c in QUOTES for w in after for c in w) or word[-1:] in QUOTES
-    return (left and right) or ((left or right) and any(plain(w) in REPORTS for w in before))
+def quotations(words: list[str]) -> list[tuple[int, int]]:
+    """Pairs of an opening sign of quotation and the one that closes it, as the places of their words.
+
+    Signs between letters are apostrophes. A sign before a word opens, one after a word closes, and one alone closes if
+    it can. A sign that opens again what is open begins anew.
+    """
+    opened: list[tuple[str, int]] = []
+    pairs: list[tuple[int, int]] = []
+    for at, word in enumerate(words):
+        if SIGNS.isdisjoint(word):
+            continue
+        letters = [k for k, c in enumerate(word) if c.isalnum()]
+        for k, c in enumerate(word):
+            if c not in SIGNS or (letters and letters[0] < k < letters[-1]):
+                continue
+            before = bool(letters) and k < letters[0]
+            partner = next((n for n in range(len(opened) - 1, -1, -1) if c in CLOSED_BY[opened[n][0]]), -1)
+            if partner >= 0 and not before:
+                pairs.append((opened[partner][1], at))
+                del opened[partner:]
+            elif c in CLOSED_BY and (before or (not letters and c != "’")):
+                opened = [(sign, n) for sign, n in opened if sign != c]
+                opened.append((c, at))
+    return pairs
+
+
+def quoted_words(words: list[str]) -> tuple[bytearray, bytearray]:
+    """Flags of the words with both signs of one quotation within REACH, and of those in a quotation with one of them."""
+    both, one = bytearray(len(words)), bytearray(len(words))
+    for start, end in quotations(words):
+        for at in range(max(start, end - REACH), min(end, start + REACH) + 1):
+            both[at] = 1
+        for at in (*range(start, min(end, start + REACH) + 1), *range(max(start, end - REACH), end + 1)):
+            one[at] = 1
+    return both, one
 
 
 @dataclass
