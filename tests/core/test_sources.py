@@ -132,3 +132,14 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_url_list(spark, tmp_path):
     (tmp_path / "u").write_text("# no\n\n https://a/x \nhttps://b\n")
     assert sorted(r.url for r in blobs.url_list(spark, f"file://{tmp_path}/u").collect()) == ["https://a/x", "https://b"]
+
+
+def test_files_and_blobs_of_up_to_20_mib_are_read(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    (tmp_path / "whole.txt").write_bytes(b"y" * (20 << 20))
+    (tmp_path / "over.txt").write_bytes(b"y" * ((20 << 20) + 1))
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "both")
+    assert [r.path for r in blobs.files(spark, f"file://{tmp_path}").select("path").collect()] == ["whole.txt"]
+    assert [r.path for r in blobs.git_history(spark, str(tmp_path)).select("path").collect()] == ["whole.txt"]

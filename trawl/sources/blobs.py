@@ -44,10 +44,10 @@ def ignored(patterns: list[str]):
     return predicate
 
 
-def files(spark: SparkSession, root: str, most: int = 10 << 20, gitignore: list[str] | None = None, binary: bool = False) -> DataFrame:
+def files(spark: SparkSession, root: str, most: int = 20 << 20, gitignore: list[str] | None = None, binary: bool = False) -> DataFrame:
     """Files below ``root`` by name, size and ignore lines, before any content is read; then those without zero bytes.
 
-    Spark itself lists no files and folders whose names begin with a dot or an underscore.
+    Files of more than ``most`` bytes are left out. Spark itself lists no files and folders whose names begin with a dot or an underscore.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= most)
     base = root.split("://")[-1].rstrip("/")
@@ -71,8 +71,11 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).filter("url <> '' and not startswith(url, '#')")
 
 
-def git_history(spark: SparkSession, repository: str, most: int = 10 << 20, parts: int = 16) -> DataFrame:
-    """Every blob that any commit of a repository holds, once, with a path. Executors need the repository's folder."""
+def git_history(spark: SparkSession, repository: str, most: int = 20 << 20, parts: int = 16) -> DataFrame:
+    """Every blob that any commit of a repository holds, once, with a path. Executors need the repository's folder.
+
+    Blobs of more than ``most`` bytes are left out.
+    """
     listed = subprocess.run(["git", "-C", repository, "rev-list", "--all", "--objects"], capture_output=True, text=True, check=True).stdout
     rows = [(line[:40], line[41:]) for line in listed.splitlines() if len(line) > 41]
 
