@@ -142,3 +142,14 @@ def test_matching_is_the_text_between_offsets(spark, texts):
     rule = rules.Rule("t", "t", r"\b([ab1]{2,})")
     for r in detect.with_columns(blobs(spark, texts).select("k", "text"), [rule]).collect():
         assert texts[r.k].encode()[r.start : r.end].decode() == r.matching
+
+
+def test_no_row_of_the_report_holds_all_matches_of_a_finding(spark):
+    from trawl.operators import report
+
+    frame = blobs(spark, [f"{'x' * k} same@host.example.org" for k in range(50)])
+    rows = report.findings_json(detect.with_ids(detect.with_columns(frame, [BY_ID["tr.email.1"]]))).collect()
+    lines = [json.loads(r.json) for r in rows]
+    heads, matches = [x for x in lines if "match" not in x], [x["match"] for x in lines if "match" in x]
+    assert [h["n_matches"] for h in heads] == [50] and len({m["blob_id"] for m in matches}) == 50
+    assert max(len(r.json) for r in rows) < 500 and {r.finding_id for r in rows} == {heads[0]["finding_id"]}

@@ -22,10 +22,14 @@ def snippet(before: Column, matching: Column, after: Column, most: int = 500) ->
 
 
 def findings_json(matches: DataFrame) -> DataFrame:
-    """One JSON document for each finding, with its matches in the order of their places."""
+    """JSON lines (finding_id, json): a head for each finding, with the count of its matches, and one line for each match.
+
+    No row holds more than one match; ``blob_id`` and ``start`` give the matches of a finding their order.
+    """
+    heads = matches.groupBy("finding_id").agg(F.min("rule_id").alias("rule_id"), F.min("rule_name").alias("rule_name"), F.min("groups").alias("groups"), F.count("*").alias("n_matches"))
+    head = heads.select("finding_id", F.to_json(F.struct("finding_id", "rule_id", "rule_name", "groups", "n_matches")).alias("json"))
     place = F.struct("blob_id", "start", "end", "start_line", "start_column", "matching")
-    grouped = matches.groupBy("finding_id").agg(F.min("rule_id").alias("rule_id"), F.min("rule_name").alias("rule_name"), F.min("groups").alias("groups"), F.array_sort(F.collect_list(place)).alias("matches"))
-    return grouped.select("finding_id", F.to_json(F.struct("finding_id", "rule_id", "rule_name", "groups", "matches")).alias("json"))
+    return head.unionByName(matches.select("finding_id", F.to_json(F.struct("finding_id", place.alias("match"))).alias("json")))
 
 
 def sarif_results(matches: DataFrame, path: Column) -> DataFrame:
