@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +42,31 @@ def test_plans_place_every_piece(seed):
         assert used <= 1.01 * -(-x.sum() // 200) + 1
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_plans_come_near_the_bound_of_the_program(seed, monkeypatch):
+    rng = np.random.default_rng(100 + seed)
+    x = np.exp(rng.normal(4 + seed / 5, 0.5 + seed / 10, 4000)).astype(int).clip(1, 512) if seed % 2 else rng.integers(1 + 20 * seed, 300, 4000)
+    counts = np.bincount(x, minlength=513)
+    seen = []
+    fit = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda left, begun=None: seen.append(left.sum()) or fit(left, begun))
+    found = packing.program(counts)
+    large = (counts * (np.arange(513) > 512 // packing.LOOSE)).sum()
+    used = sum(n for n, _ in found.sequences)
+    assert len(seen) == 1 and seen[0] == found.left + counts.sum() - large and found.left < large  # best fit gets what rounding left
+    assert np.ceil(found.bound - 1e-6) <= used <= np.ceil(found.bound) + (counts > 0).sum()
+    placed = Counter()
+    for n, config in found.sequences:
+        placed.update({length: n * k for length, k in Counter(config).items()})
+    assert placed == Counter({k: n for k, n in enumerate(counts.tolist()) if n})
+
+
+def test_the_bound_of_the_program_counts_pairs():
+    counts = np.bincount([101] * 300, minlength=201)  # no two fit together, though their tokens need 152 sequences
+    found = packing.program(counts)
+    assert found.bound == pytest.approx(300) and sum(n for n, _ in found.sequences) == 300
+
+
 def test_empty_histogram():
     assert packing.configurations(np.zeros(101, int)) == []
 

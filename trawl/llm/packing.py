@@ -2,9 +2,10 @@
 
 Only the histogram of piece lengths (one count for each length) is planned on the driver, however many
 pieces there are. The plan is a covering linear program over configurations, multisets of lengths that fit
-a sequence: multiplicative weights raise the price of lengths that lag behind, and a knapsack dynamic
-program over the prices names, for every length, the best configuration that holds it. Configurations
-are taken in whole numbers as they are found, fullest first; what is left over at the end is packed by best fit.
+a sequence: multiplicative weights raise the price of lengths that are covered less than others, a knapsack dynamic
+program over the prices names, for every length, the best configuration that holds it, and the mean over the rounds
+is the fractional answer. It is rounded down, what that leaves is a smaller program, and the last few pieces are
+packed by best fit.
 Pieces are then ranked within their length by Spark, and each rank has its sequence and place in the plan.
 """
 
@@ -18,6 +19,7 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,19 @@ from trawl.llm.shared import small_batches, stored
 
 CAPACITY = 4096
 END = 1
-#: Rounds of pricing, and the step of the weights.
-ROUNDS, STEP = 40, 1.0
+#: Rounds of pricing, the step of the weights, and how sharply a round prefers configurations of the greatest worth.
+ROUNDS, STEP, SHARPNESS = 30, 1.0, 20.0
+#: Steps that settle the mean over the rounds.
+SETTLED = 60
+#: A rounding that takes less than one in TAKEN tokens, or leaves less than one in ENOUGH, is the last one.
+TAKEN, ENOUGH = 20, 50
+#: Pieces of at most this part of a sequence fill what the program's configurations leave free.
+LOOSE = 16
+#: Groups of lengths in a program.
+GROUPS = 256
+#: Share of the parts of sequences that is taken before what is left becomes a program again, and the part of a sequence
+#: that a configuration may leave free when small pieces cannot fill it.
+PART, ALLOW = 1 / 3, 64
 #: Among equally full configurations, those of fewer and longer pieces: short ones fill gaps later.
 PREFER = 0.1
 #: Pieces of one length that are ranked in one group.
@@ -163,80 +176,207 @@ def pieces(documents: DataFrame, path: str | Callable[[], str], doc_id: str = "d
     return rows.mapInArrow(compute, PIECES.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room: the greatest total price that fits, and the index of one item of it (-1: leave a token free)."""
-    best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int, free: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each room: the greatest total price that fits, and the index of one item of it (-1: leave a token free, at price ``free``)."""
+    best, item = np.arange(capacity + 1) * free, np.full(capacity + 1, -1)
     for room in range(int(lengths[0]), capacity + 1):
         fit = np.searchsorted(lengths, room, side="right")
         value = best[room - lengths[:fit]] + prices[:fit]
         k = int(value.argmax())
-        best[room], item[room] = (value[k], k) if value[k] > best[room - 1] else (best[room - 1], -1)
+        best[room], item[room] = (value[k], k) if value[k] > best[room - 1] + free else (best[room - 1] + free, -1)
     return best, item
 
 
-def configurations(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[int, tuple[int, ...]]]:
-    """(sequences, lengths in each) that pack ``counts[length]`` pieces of each length."""
+def priced(lengths: np.ndarray, item: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """For every length the best configuration that holds it, as indices into ``lengths``, read off the knapsack's table."""
+    first = np.where(item >= 0, np.arange(capacity + 1), 0)
+    np.maximum.accumulate(first, out=first)  # the room that is left when free tokens are left out
+    found = [[k] for k in range(len(lengths))]
+    room = first[capacity - lengths]
+    active = np.flatnonzero(item[room] >= 0)
+    while len(active):
+        chosen = item[room[active]]
+        for k, c in zip(active.tolist(), chosen.tolist(), strict=True):
+            found[k].append(c)
+        room[active] = first[room[active] - lengths[chosen]]
+        active = active[item[room[active]] >= 0]
+    return [tuple(sorted(config, reverse=True)) for config in found]
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, loose: float = 0.0, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """The configuration program: sequences of each configuration (indices into ``lengths``), and the prices that prove most.
+
+    Covering: the configurations' contents are to reach ``demand``, and the tokens they leave free ``loose``. Each round
+    prices the lengths and a free token by their weights, and the knapsack over the prices proves a bound (demand at
+    these prices over the best configuration's worth). It also names the best configuration for every length; sequences in
+    the bound's number are spread over them by demand, and weights of what this covers less than other things grow. The mean
+    over the rounds is then settled: each configuration is weighed up or down by what its contents lack or have too much.
+    """
+    n = len(lengths)
+    wanted = np.append(demand, loose)
+    tokens = np.append(lengths, 1)
+    weights, bound, proof = np.ones(n + 1), float(wanted @ tokens) / capacity, tokens / capacity
+    number: dict[tuple[int, ...], int] = {}
+    total: list[float] = []
+    used = slice(0, n + 1 if loose else n)
+
+    def matrix(configs, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, configs), np.int64, count)
+        items = np.fromiter(chain.from_iterable(configs), np.int64, int(sizes.sum()))
+        owners = np.repeat(np.arange(count), sizes)
+        return items, owners, capacity - np.bincount(owners, lengths[items], count), sizes
+
+    def lacking(x: np.ndarray, items: np.ndarray, owners: np.ndarray, room: np.ndarray) -> np.ndarray:
+        covered = np.append(np.bincount(items, x[owners], n), x @ room)
+        found = np.zeros(n + 1)
+        found[used] = np.log(wanted[used] / np.maximum(covered[used], 1e-9))
+        return found
+
+    for t in range(rounds):
+        prices = tokens / capacity * weights * (1 + PREFER * tokens / capacity)
+        prices[n] *= bool(loose)
+        best, item = knapsack(lengths, prices[:n], capacity, prices[n])
+        if float(wanted @ prices) / best[capacity] > bound:
+            bound, proof = float(wanted @ prices) / best[capacity], prices
+        configs = priced(lengths, item, capacity)
+        items, owners, room, _ = matrix(configs, n)
+        worth = (np.bincount(owners, prices[items], n) + room * prices[n]) / best[capacity]
+        held = np.bincount(owners, items == owners, n)
+        share = demand / held * np.exp(SHARPNESS * (worth - 1))
+        share *= bound / share.sum()
+        for config, x in zip(configs, share.tolist(), strict=True):
+            k = number.setdefault(config, len(total))
+            if k == len(total):
+                total.append(0.0)
+            total[k] += x
+        weights *= np.exp(STEP / np.sqrt(t + 1) * np.clip(lacking(share, items, owners, room), -1, 1))
+        weights /= weights[used].mean()
+    x = np.array(total) / rounds
+    items, owners, room, _ = matrix(number, len(total))
+    for _ in range(SETTLED):
+        lack = lacking(x, items, owners, room) * tokens
+        x *= np.exp(np.clip((np.bincount(owners, lack[items], len(x)) + room * lack[n]) / capacity, -1, 1))
+    return dict(zip(number, x.tolist(), strict=True)), proof
+
+
+@dataclass
+class Program:
+    """(sequences, lengths in each); a lower bound on their number; pieces above LOOSE that rounding left to best fit."""
+
+    sequences: list[tuple[int, tuple[int, ...]]]
+    bound: float
+    left: int
+
+
+def groups_of(counts: np.ndarray, most: int = GROUPS) -> list[np.ndarray]:
+    """The lengths in ``counts``, ascending, in about ``most`` groups of equally many pieces or of one length."""
+    lengths = np.flatnonzero(counts)
+    own = counts[lengths]
+    middle = np.cumsum(own) - (own + 1) // 2
+    return np.split(lengths, np.flatnonzero(np.diff(middle * most // max(1, int(own.sum())))) + 1)
+
+
+class Pile:
+    """The pieces of one group of lengths, longest first."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray):
+        self.runs = [[int(n), int(counts[n])] for n in lengths]
+
+    def take(self, most: int) -> tuple[int, int]:
+        """A length, and how many pieces of it, at most ``most``, are taken."""
+        length, n = self.runs[-1]
+        taken = min(n, most)
+        self.runs[-1][1] -= taken
+        if taken == n:
+            self.runs.pop()
+        return length, taken
+
+    def give(self, length: int, n: int) -> None:
+        if self.runs and self.runs[-1][0] == length:
+            self.runs[-1][1] += n
+        elif n:
+            self.runs.append([length, n])
+
+
+def program(counts: np.ndarray, rounds: int = ROUNDS) -> Program:
+    """A packing of ``counts[length]`` pieces of each length, rounded from the configuration program.
+
+    As is usual for this program, lengths are grouped and a piece counts as its group's longest, and pieces of at most
+    1 / LOOSE of a sequence enter by their tokens only. A configuration is taken as often as the program says, rounded
+    down, but no more often than its pieces last; of those left with a part of a sequence the greatest parts are then
+    taken once where all pieces are still there, up to PART of what the parts add up to. What this leaves over is a program
+    again, of fewer pieces. It ends when rounding takes few tokens (TAKEN) or leaves few (ENOUGH); the pieces that are left
+    then, and the small ones, go to the fullest sequence that has room for them.
+    """
     capacity = len(counts) - 1
-    left = counts.astype(np.int64).copy()
+    sizes = np.arange(capacity + 1)
     found: Counter[tuple[int, ...]] = Counter()
-    if left[capacity]:
-        found[(capacity,)] += int(left[capacity])
-        left[capacity] = 0
-    start, sizes = np.maximum(left, 1), np.arange(capacity + 1)
-    total = max(1, int(left @ sizes))
-    weights = np.ones(capacity + 1)
-    waste = 0
-    for _ in range(rounds):
-        lengths = np.flatnonzero(left)
-        if not len(lengths):
+    small = np.where(sizes <= capacity // LOOSE, counts, 0).astype(np.int64)
+    large = counts.astype(np.int64) - small
+    loose, bound = float(small @ sizes), float(counts @ sizes) / capacity
+    first = True
+    while large.any():
+        before = int(large @ sizes)
+        groups = groups_of(large)
+        piles = [Pile(g, large) for g in groups]
+        stock = [int(large[g].sum()) for g in groups]
+        longest = np.array([int(g[-1]) for g in groups])
+        waste = float(sum((g[-1] - g) @ large[g] for g in groups))  # small pieces fill this too
+        x, prices = fractional(longest, np.array(stock, float), capacity, max(0.0, loose - waste), rounds)
+        if first:  # priced as their group's shortest, no packing of the pieces themselves can do with less
+            best, _ = knapsack(np.array([int(g[0]) for g in groups]), prices[:-1], capacity, prices[-1])
+            bound, first = max(bound, float(np.append(stock, loose) @ prices) / best[capacity]), False
+        room = {config: capacity - int(longest[list(config)].sum()) for config in x}
+        parts = sum(share % 1 for share in x.values()) * PART
+        for down in (True, False):
+            for config, share in sorted(x.items(), key=lambda e: (-(e[1] if down else e[1] % 1), e[0])):
+                if (down and share < 1) or (not down and parts < 1):
+                    break
+                if room[config] > max(loose, capacity // ALLOW):
+                    continue
+                own = Counter(config)
+                times = min(int(share) if down else 1, *(stock[k] // n for k, n in own.items()))
+                parts -= 0 if down else bool(times)
+                loose = max(0.0, loose - room[config] * times)
+                for k, n in own.items():
+                    stock[k] -= n * times
+                while times:  # as many equal sequences at once as the piles have pieces of one length
+                    pieces, step = [], times
+                    for k in config:
+                        length, n = piles[k].take(step)
+                        pieces.append((k, length, n))
+                        step = min(step, n)
+                    for k, length, n in reversed(pieces):
+                        piles[k].give(length, n - step)
+                    found[tuple(sorted((length for _, length, _ in pieces), reverse=True))] += step
+                    times -= step
+        large = np.zeros_like(large)
+        for pile in piles:
+            for length, n in pile.runs:
+                large[length] += n
+        after = int(large @ sizes)
+        if before - after < before / TAKEN or after * ENOUGH < counts @ sizes:
             break
-        prices = lengths / capacity * weights[lengths] * (1 + PREFER * lengths / capacity)
-        _, item = knapsack(lengths, prices, capacity)
-        took = False
-        for length in lengths[::-1]:
-            config, room = [int(length)], capacity - int(length)
-            while room:
-                k = item[room]
-                if k < 0:
-                    room -= 1
-                else:
-                    config.append(int(lengths[k]))
-                    room -= int(lengths[k])
-            if sum(config) < capacity - waste:
-                continue
-            own = Counter(config)
-            times = min(int(left[n]) // a for n, a in own.items())
-            if times:
-                times = -(-times // 2)  # half of what could be taken, so that no length is used up by its first partner
-                for n, a in own.items():
-                    left[n] -= a * times
-                found[tuple(sorted(config, reverse=True))] += times
-                took = True
-        behind = left / start
-        mean = float(left @ sizes) / total
-        weights *= np.exp(STEP * np.clip(behind - mean, -1, 1))
-        weights /= weights[lengths].mean()
-        if not took:
-            waste = 2 * waste + 1
-            weights[:] = 1
-            if waste > capacity // 256:
-                break
-    for times, config in best_fit(left):
-        found[config] += times
-    plain = best_fit(counts)
-    if sum(n for n, _ in plain) < found.total():  # rounding a few pieces can cost more than the program gains
-        found = Counter()
-        for times, config in plain:
-            found[config] += times
-    return sorted(((n, c) for c, n in found.items() if n), key=lambda x: x[1], reverse=True)
-
-
-def best_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
-    """Best-fit decreasing over a histogram: equal sequences are kept as one entry and its number."""
+    packed: Counter[tuple[int, ...]] = Counter()
+    for times, config in best_fit(large + small, found):
+        packed[config] += times
+    return Program(sorted(((n, c) for c, n in packed.items() if n), key=lambda e: e[1], reverse=True), bound, int(large.sum()))
+
+
+def configurations(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[int, tuple[int, ...]]]:
+    """(sequences, lengths in each) that pack ``counts[length]`` pieces of each length."""
+    return program(counts, rounds).sequences
+
+
+def best_fit(counts: np.ndarray, begun: dict[tuple[int, ...], int] | None = None) -> list[tuple[int, tuple[int, ...]]]:
+    """Best-fit decreasing over a histogram, into sequences that are ``begun`` and new ones: equal sequences are one entry and its number."""
     capacity = len(counts) - 1
     open_: list[list[list]] = [[] for _ in range(capacity + 1)]  # by room: [sequences, lengths]
     has = np.zeros(capacity + 2, bool)
     has[capacity + 1] = True
+    for config, times in (begun or {}).items():
+        open_[capacity - sum(config)].append([times, config])
+        has[capacity - sum(config)] = True
     for length in np.flatnonzero(counts)[::-1]:
         length, n = int(length), int(counts[length])
         while n:
@@ -290,8 +430,9 @@ def plan(counts: np.ndarray) -> Plan:
 def pack(documents: DataFrame, path: str | Callable[[], str], doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one for each piece.
 
-    Null texts count as empty: a document then is its end id alone. Repeated rows are packed each. An empty
-    table gives an empty one.
+    Null texts count as empty: a document then is its end id alone. Very long texts are cut into pieces of
+    ``capacity``. Repeated rows are packed each. Other columns, whatever their names, are left out. An empty table
+    gives an empty one.
     """
     spark = documents.sparkSession
     cut = stored(pieces(documents, path, doc_id, text, capacity))
