@@ -53,8 +53,8 @@ sketch AS (SELECT lang, source, name, {_bucket("v")} AS bucket, count(*) AS n FR
 {_fences("fl", "lang", "l")},
 {_fences("fa", "", "a")}
 SELECT doc_id, f.lang, f.source, n_chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce({" AND ".join(f"{m} <= {_choose(m + '_high')}" for m in _MEASURES)} AND word_len_pm >= {_choose("low")}, false) AS kept,
-  n_lines, {", ".join(_MEASURES)}
+  NOT base_failed AND coalesce({" AND ".join(f"{_bucket(m)} <= {_choose(m + '_high')}" for m in _MEASURES)} AND word_len_pm >= {_choose("low")}, false) AS kept,
+  n_lines, {", ".join(_MEASURES)}, CASE WHEN s_n >= 200 THEN 'source' WHEN l_n >= 200 THEN 'lang' WHEN s_n IS NOT NULL THEN 'all' END AS fences_of
 FROM f LEFT JOIN fs ON f.lang IS NOT DISTINCT FROM fs.lang AND f.source IS NOT DISTINCT FROM fs.source
   LEFT JOIN fl ON f.lang IS NOT DISTINCT FROM fl.lang CROSS JOIN fa
 """

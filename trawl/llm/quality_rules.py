@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trawl.llm.shared import WORD, let, stored, words_of
+from trawl.llm.shared import WORD, apart, let, others, stored, together, words_of
 
 #: Words per repeated window.
 WINDOW = 5
 #: Buckets keep this many leading bits of a value, so their relative width is at most 1/32.
 SKETCH_BITS = 6
-#: A sketch with fewer texts gives way to its language's, and that to the corpus's.
+#: A sketch with fewer texts gives way to its language's, and that to the corpus's; the column fences_of tells which was used.
 LEAST_TEXTS = 200
 #: Spreads (median to quartile, on the side that faces away from the outliers) between median and fence.
 SPREADS = 6
@@ -58,8 +58,13 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
+#: Columns of the result besides those of the documents.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+RESULT = (*BASE, "kept", "n_lines", *MEASURES, "fences_of")
+
+
 def measure(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, all long."""
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, all long, in place of columns of these names."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD))
     long = lambda c, name: c.cast("long").alias(name)
@@ -69,9 +74,9 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     )
     from_lines = let(lines, lambda x: F.struct(long(F.size(x), "n_lines"), long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines")))
     symbols = F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]+", ""))
-    return documents.select("*", from_words.alias("_words"), from_lines.alias("_lines"), long(symbols, "n_symbols")).select(
-        *[F.col(f"`{c}`") for c in documents.columns], "_words.*", "n_symbols", "_lines.*"
-    )
+    rest = others(documents.columns, *BASE, "n_lines")
+    counted = documents.select(together(rest).alias("row"), from_words.alias("words"), from_lines.alias("lines"), long(symbols, "n_symbols"))
+    return counted.select(*apart("row", rest), "words.*", "n_symbols", "lines.*")
 
 
 def base_failed() -> Column:
@@ -116,16 +121,18 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def apply_rules(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``documents`` without the text, with the measures, ``base_failed`` and ``kept``.
+def apply_rules(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """``documents`` without the text, with RESULT: the measures, ``base_failed``, ``kept`` and whose fences were used.
 
     Texts that pass the base rules feed the sketches, and are kept unless a measure lies beyond a fence
-    of their language and source. Null languages and sources are groups of their own; null and blank
-    texts have no words and fail the base rules; repeated rows count as often as they occur; an empty
-    table gives an empty one.
+    of their language and source (of the language, or the corpus, where fewer than ``least_texts`` texts pass).
+    Null languages and sources are groups of their own; null and blank texts have no words and fail the base rules;
+    texts are measured whole, however long; repeated rows count as often as they occur; columns named as one of
+    RESULT give way to it, and all others are kept, whatever their names; an empty table gives an empty one.
     """
-    rest = [c for c in documents.columns if c != text]
-    measured = measure(documents, text).withColumn("base_failed", base_failed())
+    rest = others(documents.columns, text, *RESULT)
+    rows = documents.select(together(rest).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    measured = measure(rows).withColumn("base_failed", base_failed())
     measured = measured.withColumns(
         {
             "symbols_pm": _scaled("n_symbols", "n_words"),
@@ -134,22 +141,19 @@ def apply_rules(documents: DataFrame, text: str = "text", lang: str = "lang", so
             "word_len_pm": _scaled("word_chars", "n_words"),
         }
     )
-    measured = stored(measured.drop(text))
-    passed = measured.filter(~F.col("base_failed")).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), *MEASURES)
-    by_source = stored(sketches(passed, ["_lang", "_source"]))
+    measured = stored(measured.drop("text"))
+    by_source = stored(sketches(measured.filter(~F.col("base_failed")), ["lang", "source"]))
     bounds = ["n_texts", *[f"{m}_high" for m in MEASURES], "word_len_pm_low"]
-    named = lambda df, keys, tag: fences(df, keys).select(*[F.col(k).alias(f"{tag}{k}") for k in keys], *[F.col(b).alias(f"{tag}_{b}") for b in bounds])
-    of_source, of_lang = named(by_source, ["_lang", "_source"], "s"), named(merged(by_source, ["_lang"]), ["_lang"], "l")
+    named = lambda df, keys, tag: fences(df, keys).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[F.col(b).alias(f"{tag}_{b}") for b in bounds])
+    of_source, of_lang = named(by_source, ["lang", "source"], "s"), named(merged(by_source, ["lang"]), ["lang"], "l")
     of_all = fences(merged(by_source, []), []).first()  # one row of six numbers
     table = of_source.join(of_lang, F.col("s_lang").eqNullSafe(F.col("l_lang")))
-    chosen = {
-        b: F.when(F.col("s_n_texts") >= LEAST_TEXTS, F.col(f"s_{b}")).when(F.col("l_n_texts") >= LEAST_TEXTS, F.col(f"l_{b}")).otherwise(F.lit(of_all[b]))
-        for b in bounds[1:]
-    }
-    table = table.select("s_lang", "s_source", *[c.alias(f"_{b}") for b, c in chosen.items()])
-    joined = measured.join(table, F.col(lang).eqNullSafe(F.col("s_lang")) & F.col(source).eqNullSafe(F.col("s_source")), "left")
-    inside = reduce(lambda a, b: a & b, [F.col(m) <= F.col(f"_{m}_high") for m in MEASURES]) & (F.col("word_len_pm") >= F.col("_word_len_pm_low"))
-    return joined.select(
-        *rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "n_lines", *MEASURES,
-    )
+    enough = lambda tag: F.col(f"{tag}_n_texts") >= least_texts
+    chosen = {b: F.when(enough("s"), F.col(f"s_{b}")).when(enough("l"), F.col(f"l_{b}")).otherwise(F.lit(of_all[b])) for b in bounds[1:]}
+    level = F.when(enough("s"), "source").when(enough("l"), "lang").otherwise("all").alias("fences_of")
+    table = table.select("s_lang", "s_source", level, *[c.alias(f"_{b}") for b, c in chosen.items()])
+    fenced = measured.join(table, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
+    # Values are held against the fences as the sketches know them, by bucket.
+    inside = reduce(lambda a, b: a & b, [_bucket(F.col(m)) <= F.col(f"_{m}_high") for m in MEASURES]) & (F.col("word_len_pm") >= F.col("_word_len_pm_low"))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    return fenced.select(*apart("row", rest), *BASE, kept.alias("kept"), "n_lines", *MEASURES, "fences_of")

@@ -29,14 +29,45 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as tell it from all of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def others(columns: list[str], *without: str) -> list[str]:
+    """The columns besides those named, which an operator reads, leaves out or gives itself."""
+    named = {c.lower() for c in without}
+    return [c for c in columns if c.lower() not in named]
+
+
+def together(columns: list[str]) -> Column:
+    """The named columns as one struct, which keeps their names apart from those that an operator works with."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]) if columns else F.struct(F.lit(True).alias("none"))
+
+
+def apart(column: str, columns: list[str]) -> list[Column]:
+    """The columns that ``together`` put into ``column``."""
+    return [F.col(column).getField(c).alias(c) for c in columns]
+
+
+def joined(rows: DataFrame, table: DataFrame, on: Column, how: str = "inner", most: int = 200_000) -> DataFrame:
+    """``rows`` joined to a ``table`` that is broadcast if it has at most ``most`` rows; Spark chooses otherwise."""
+    return rows.join(F.broadcast(table) if table.limit(most + 1).count() <= most else table, on, how)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors can all reach.
 
-    It lies below ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary
+    It lies below ``spark.checkpoint.dir``; where that is unset and Spark runs on one machine (tests), a temporary
     folder takes its place. It is deleted when the driver's Python ends.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.trawl.shared.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trawl-")
         spark.conf.set("spark.trawl.shared.dir", base)
     path = f"{base.rstrip('/')}/trawl-{uuid.uuid4().hex}"
