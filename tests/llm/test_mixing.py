@@ -67,3 +67,55 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     blank = docs.filter("trim(text) = '' or text is null")
     assert {(r.target, r.taken) for r in mixing.mix(blank).collect()} == {(0.0, 0)}
+
+
+def test_reruns_agree_without_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 3 else 7, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 60)))), "abc"[i % 3 % 2]) for i in range(2000)]
+    rows += [(None, "one and the same text", "b")] * 800  # some of these equal rows are taken
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(repr, mixing.mix(docs).collect()))
+    assert len(want) == len(rows)
+    for parts in (3, 11):
+        assert sorted(map(repr, mixing.mix(docs.repartition(parts)).collect())) == want
+
+
+def test_equal_rows_at_the_cut_are_taken_in_part(spark):
+    rows = [(None, "w w w", "a")] * 300 + [(i, "v " * 5, "b") for i in range(100)] + [(1000 + i, "u " * 7, "c") for i in range(90)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    for words in (3, 5, 7):
+        own = [r for r in got if r.size == words]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= words
+        assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
+
+
+@pytest.mark.parametrize("share", [0.001, 0.5])
+def test_few_documents_are_put_in_order(spark, share):
+    """Whatever the inclusion probability, nearly all are taken or left by the histograms alone."""
+    rows = spark.range(200_000).selectExpr("id as doc_id", "'s' as source", "1L + id % 5 as size", f"cast({share} * 600000 as double) as missing", "(hash(id) & 2147483647) / 2147483648D as u")
+    p = share * 1.0
+    drawn = rows.selectExpr("doc_id", "source", "size", "missing", f"(u / (1 - u)) / ({p} / (1 - {p})) as odds")
+    seen = []
+    keep = mixing.stored
+    mixing.stored = lambda df: seen.append(df) or keep(df)
+    try:
+        (cut,) = mixing._cuts(drawn).collect()
+    finally:
+        mixing.stored = keep
+    assert seen[1].count() <= 1000 and seen[3].count() <= 10
+    order = sorted(drawn.collect(), key=lambda r: (r.odds, r.size, r.doc_id))
+    sums = np.cumsum([r.size for r in order])
+    want = next(i for i, r in enumerate(order) if 2 * sums[i] - r.size > 2 * r.missing)
+    assert (cut._cut.odds, cut._cut.doc_id, cut._k, cut._n) == (order[want].odds, order[want].doc_id, 0, 1)
+
+
+def test_clashing_names_are_kept(spark):
+    names = ("u", "odds", "class", "size", "row", "_source", "_cut", "copies", "part", "_copy", "_copies", "_id", "a.b")
+    rows = [(i, "w " * (1 + i % 9), "abc"[i % 3], *[i] * len(names)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string" + "".join(f", `{n}` int" for n in names))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, n in copies.items() for _ in range(n))
+    assert all(r[n] == r.doc_id for r in got for n in names)

@@ -6,8 +6,9 @@ is an inclusion probability p. Documents are ranked by random odds divided by in
 (u / (1 - u)) / (p / (1 - p)), with u from a hash of the id, and the first are taken until the words still
 missing are there: a sample of fixed size in words, with unequal probabilities.
 
-Sums over ranks are taken in two levels, about sqrt(n) buckets of ranks and about sqrt(n) documents in
-each, so no source is ever sorted in one task.
+Only the place where a source's words run out has to be found: sums over a histogram of the ranks name the
+bucket it lies in, sums over a finer histogram of that bucket the next, and only the few documents there are put in
+order. All others are taken or left by comparing their rank with it, so documents are never shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trawl.llm.shared import stored, words_of
+from trawl.llm.shared import apart, joined, stored, together, words_of
 
 #: Weights of the sources by code point, repeating, and the most copies of a source or document.
 WEIGHTS, MOST = (5, 2, 1), 3
 SEED = "mix"
+#: Buckets of a histogram of ranks.
+BUCKETS = 4096
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -80,39 +83,112 @@ def expected_copies(classes: DataFrame) -> DataFrame:
     return scored.select("source", "source_size", "target", "class", "expected", (F.col("target") - whole.cast("double")).alias("missing"), rest.alias("candidates"))
 
 
-def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken, copies), one for each document.
+def _rows(documents: DataFrame, doc_id: str, text: str, source: str, keep: list[str]) -> DataFrame:
+    """Rows (row, doc_id, source, size, class, u): u from id and text, so that only equal rows share one."""
+    name = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))), F.lit(SEED))
+    u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    size = F.size(words_of(F.col(text))).cast("long")
+    rows = documents.select(together(keep).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), u.alias("u"))
+    return rows.withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
 
-    A null source is a source, the last one; null texts have no words, and documents without words are
-    taken zero times; repeated rows are ranked next to each other and taken each for itself. An empty table
-    gives an empty one. Reruns agree, as the random numbers come from the ids.
+
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds the plan's columns, ``whole`` copies, and ``odds``, the rank among candidates (null where nothing is drawn)."""
+    known = joined(rows, plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))).drop("_source", "_class")
+    p, whole = F.col("expected") - F.floor("expected"), F.floor("expected")
+    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    return known.withColumns({"whole": whole, "odds": F.when(p > 0, odds)})
+
+
+def _crossing(drawn: DataFrame, key: Column, missing: Column, before: Column) -> DataFrame:
+    """Rows (_source, _key, _before) of the least ``key`` of each source at which its words, from ``before`` on, pass ``missing``."""
+    sums = drawn.groupBy("source", key.alias("key")).agg(F.sum("size").alias("words"), F.first(missing).alias("missing"), F.first(before).alias("start"))
+    upto = F.col("start") + F.sum("words").over(Window.partitionBy("source").orderBy("key"))
+    passed = sums.withColumn("upto", upto).filter("upto > missing")
+    return passed.groupBy("source").agg(F.min_by(F.struct("key", (F.col("upto") - F.col("words")).alias("before")), "key").alias("at")).select(
+        F.col("source").alias("_source"), F.col("at.key").alias("_key"), F.col("at.before").alias("_before")
+    )
+
+
+def _step(power: int) -> Column:
+    """The bucket of a rank in a histogram of BUCKETS ** power."""
+    share = F.col("odds") / (1 + F.col("odds"))
+    return F.floor(share * float(BUCKETS**power))
+
+
+def _cuts(drawn: DataFrame) -> DataFrame:
+    """Rows (_source, odds, size, doc_id, k, n): the last place in each source's order at which something is taken.
+
+    Documents before it are taken; of the ``n`` equal rows at it ``k`` are (none, some or all). A source all of whose
+    candidates are taken has no row.
     """
-    u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{SEED}"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    sized = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"))
-    sized = stored(sized.withColumns({"class": F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0), "u": u}))
-    classes = stored(sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    found = drawn.withColumn("_before", F.lit(0).cast("long"))
+    for power in (1, 2):
+        crossing = stored(_crossing(found, _step(power), F.col("missing"), F.col("_before")))
+        found = stored(joined(found.drop("_before"), crossing, F.col("source").eqNullSafe(F.col("_source")) & (_step(power) == F.col("_key"))).drop("_source", "_key"))
+    order = ["odds", "size", "doc_id"]
+    places = found.groupBy("source", *order).agg(F.count("*").alias("n"), F.first("missing").alias("missing"), F.first("_before").alias("start"))
+    before = F.col("start") + F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy(*order)) - F.col("n") * F.col("size")
+    # A document is taken if that brings the sum closer: if half of it still fits.
+    k = F.least(F.col("n"), F.greatest(F.lit(0), F.floor((2 * F.col("missing") - 2 * F.col("before") + F.col("size")) / (2 * F.col("size")))))
+    counted = places.withColumn("before", before).withColumn("k", k.cast("long"))
+    at, place = F.struct(*order, "k", "n"), F.struct(*order)
+    first = F.min_by(F.when(F.col("k") < F.col("n"), at), F.when(F.col("k") < F.col("n"), place))
+    first = counted.groupBy("source").agg(F.coalesce(first, F.max_by(at, place)).alias("at"))
+    return first.select(F.col("source").alias("_source"), F.struct(*[F.col(f"at.{c}").alias(c) for c in order]).alias("_cut"), F.col("at.k").alias("_k"), F.col("at.n").alias("_n"))
+
+
+def plan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """What the mix takes: a row for each source and size class, and the cut of each source's order."""
+    slim = stored(_rows(documents, doc_id, text, source, []).drop("row"))
+    classes = stored(slim.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     aimed = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "_source")
-    joined = classes.join(aimed, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    with_words = expected_copies(joined.filter("class > 0"))
-    without = joined.filter("class = 0").select(
+    both = classes.join(aimed, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    with_words = expected_copies(both.filter("class > 0"))
+    without = both.filter("class = 0").select(
         "source", "source_size", "target", "class", F.lit(0.0).alias("expected"), F.lit(0.0).alias("missing"), F.lit(0).cast("long").alias("candidates")
     )
-    plan = stored(with_words.unionByName(without)).withColumnsRenamed({"source": "_source", "class": "_class"})
-    known = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))).drop("_source", "_class")
-    p, whole = F.col("expected") - F.floor("expected"), F.floor("expected")
-    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    ranked = known.withColumns({"whole": whole, "odds": F.when(p > 0, odds)})
-    bucket = F.floor(F.col("odds") / (1 + F.col("odds")) * F.ceil(F.sqrt(F.col("candidates").cast("double"))))
-    ranked = stored(ranked.withColumn("bucket", F.when(F.col("odds").isNotNull(), bucket)).drop("u", "class", "candidates", "expected"))
-    certain, drawn = ranked.filter("odds is null").withColumn("extra", F.lit(0).cast("long")), ranked.filter("odds is not null")
-    sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    sums = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), upto.alias("before"))
-    within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("odds", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    drawn = drawn.withColumn("within", within).join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    # The last document is taken if that brings the sum closer.
-    extra = (2 * (F.col("before") + F.col("within")) - F.col("size") <= 2 * F.col("missing")).cast("long")
-    columns = ["doc_id", "size", "source_size", "target", "whole", "extra"]
-    both = drawn.withColumn("extra", extra).select(*columns).unionByName(certain.select(*columns))
-    copies = (F.col("whole") + F.col("extra")).cast("long")
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    shares = stored(with_words.unionByName(without).drop("candidates")).withColumnsRenamed({"source": "_source", "class": "_class"})
+    drawn = _planned(slim, shares).filter("odds is not null").select("source", "size", "doc_id", "odds", "missing")
+    return shares, stored(_cuts(drawn))
+
+
+def _taken(rows: DataFrame, shares: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` with ``copies``. Only where some of several equal rows are taken are those numbered, in two levels."""
+    known = joined(_planned(rows, shares), cuts, F.col("source").eqNullSafe(F.col("_source")), "left")
+    place = F.struct("odds", "size", "doc_id")
+    extra = F.when(F.col("odds").isNull(), 0).when(F.col("_cut").isNull() | (place < F.col("_cut")) | ((place == F.col("_cut")) & (F.col("_k") == F.col("_n"))), 1).otherwise(0)
+    known = known.withColumn("copies", (F.col("whole") + extra).cast("long"))
+    if cuts.filter("0 < _k and _k < _n").isEmpty():
+        return known
+    some = F.coalesce((F.col("_k") > 0) & (F.col("_k") < F.col("_n")) & (place == F.col("_cut")), F.lit(False))
+    equal = stored(known.filter(some).withColumn("part", F.spark_partition_id()))
+    counts = equal.groupBy("source", "part").agg(F.count("*").alias("count"))
+    upto = F.sum("count").over(Window.partitionBy("source").orderBy("part")) - F.col("count")
+    counts = stored(counts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), upto.alias("earlier")))
+    within = F.row_number().over(Window.partitionBy("source", "part").orderBy("copies"))
+    numbered = joined(equal.withColumn("within", within), counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+    copies = F.col("copies") + (F.col("earlier") + F.col("within") <= F.col("_k")).cast("long")
+    return known.filter(~some).unionByName(numbered.withColumn("copies", copies).select(known.columns))
+
+
+def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken, copies), one for each document.
+
+    A null source is a source, the last one; null texts have no words, and documents without words are
+    taken zero times; texts are counted whole, however long. Rows without an id, or with the same one, are told
+    apart by their texts; rows equal in both are taken each for itself, and which of them is taken makes no
+    difference. Other columns, whatever their names, are left out. An empty table gives an empty one. Reruns agree,
+    as the random numbers come from ids and texts.
+    """
+    shares, cuts = plan(documents, doc_id, text, source)
+    found = _taken(stored(_rows(documents, doc_id, text, source, [])), shares, cuts)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``documents``, each as often as ``mix`` takes it; documents are only read, never shuffled."""
+    shares, cuts = plan(documents, doc_id, text, source)
+    found = _taken(_rows(documents, doc_id, text, source, documents.columns), shares, cuts).filter("copies > 0")
+    each = found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each.select(*apart("row", documents.columns))

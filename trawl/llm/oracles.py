@@ -62,7 +62,7 @@ FROM f LEFT JOIN fs ON f.lang IS NOT DISTINCT FROM fs.lang AND f.source IS NOT D
 SQL = {"op1_quality_rules": OP1}
 
 OP4 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS h, len({_WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
 f AS (SELECT *, sum(source_size) OVER () AS total, coalesce(3 * sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
   sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights, row_number() OVER o AS place
@@ -79,10 +79,10 @@ e AS (SELECT q.source, class, words, target, CASE WHEN class >= first THEN least
   FROM q LEFT JOIN r ON q.source IS NOT DISTINCT FROM r.source),
 m AS (SELECT *, target - (sum(floor(expected)::BIGINT * words) OVER (PARTITION BY source))::DOUBLE AS missing FROM e),
 u AS (SELECT doc_id, d.source, size, missing, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p,
-  (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || h || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
   FROM d LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.size > 0 AND length(bin(d.size)) = m.class),
 o AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM u),
-w AS (SELECT *, CASE WHEN odds IS NULL THEN 0 WHEN 2 * sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size <= 2 * missing THEN 1 ELSE 0 END AS extra FROM o)
+w AS (SELECT *, CASE WHEN odds IS NULL THEN 0 WHEN 2 * sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size <= 2 * missing THEN 1 ELSE 0 END AS extra FROM o)
 SELECT doc_id, size, source_size, target, (size * (coalesce(whole, 0) + extra))::BIGINT AS taken, (coalesce(whole, 0) + extra)::BIGINT AS copies
 FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source
 """
