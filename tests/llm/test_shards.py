@@ -61,6 +61,45 @@ def test_merged_files_have_the_target_size(spark, tmp_path):
     assert ids(shards.read(spark, root)) == list(range(4000))
 
 
+def test_writers_that_race(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    for k in range(4):
+        shards.append(spark.createDataFrame(rows(20, 20 * k), SCHEMA), root)
+    keep, raced = shards.commit, []
+
+    def late(spark_, root_, before, runs, schema):
+        """Another writer appends, and a third has written but not committed, when a compaction commits."""
+        if not raced:
+            raced.append(True)
+            (tmp_path / "t/data/uncommitted").mkdir()
+            shards.append(spark.createDataFrame(rows(5, 1000), SCHEMA), root)
+        return keep(spark_, root_, before, runs, schema)
+
+    monkeypatch.setattr(shards, "commit", late)
+    after = shards.compact(spark, root)
+    assert len(after.runs) == 2 and ids(shards.read(spark, root)) == [*range(80), *range(1000, 1005)]
+    shards.vacuum(spark, root, after)
+    assert (tmp_path / "t/data/uncommitted").exists()
+    shards.vacuum(spark, root, after, hours=-1)
+    assert not (tmp_path / "t/data/uncommitted").exists() and len(ids(shards.read(spark, root))) == 85
+
+
+def test_full_runs_leave_the_merge():
+    full = [shards.Run(f"r{k}", 1000, 0, 1) for k in range(9)]
+    assert shards._groups(tuple(full), 4, 1000) == []
+    assert shards._groups((*full, shards.Run("x", 5000, 0, 50)), 4, 1000) == [[shards.Run("x", 5000, 0, 50)]]
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    frame = spark.createDataFrame([(1, "a", 5, 6), (2, None, 7, 8)], "doc_id long, _arrival string, arrival int, path int")
+    shards.append(frame, root)
+    shards.append(frame, root)
+    shards.compact(spark, root, merge=2)
+    assert shards.read(spark, root).columns == frame.columns
+    assert sorted(map(tuple, shards.read(spark, root).collect())) == sorted([*map(tuple, frame.collect())] * 2)
+
+
 def test_empty_null_and_repeated_rows(spark, tmp_path):
     root = f"file://{tmp_path}/t"
     shards.append(spark.createDataFrame([], SCHEMA), root)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import compression_quality, mixing, packing, progressive_jpeg, quality_rules, shards, simhash, token_counts, toxicity, warc
-from trawl.llm.shared import shared_folder
+from trawl.llm.shared import fresh, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``, appended as small shards in arrivals, compacted, and read back from the last version."""
+    """All ``documents`` in two halves, each appended as small shards in arrivals and compacted with what is there, and read back."""
     root = shared_folder(spark)
     documents = table(spark, sf_dir, "documents")
-    arrival = F.pmod(F.xxhash64(*documents.columns), F.lit(shards.ARRIVALS))
-    shards.append_all(documents.withColumn("_arrival", arrival), root, "_arrival")
-    shards.compact(spark, root)
+    arrival = fresh(documents.columns, "arrival")
+    dealt = documents.withColumn(arrival, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]), F.lit(shards.ARRIVALS)))
+    half = F.col(arrival) < shards.ARRIVALS // 2
+    for arrived in (half, ~half):
+        shards.append_all(dealt.filter(arrived), root, arrival)
+        shards.compact(spark, root)
     size = F.octet_length("text").cast("long").alias("n_bytes")
     return shards.read(spark, root).select("doc_id", "lang", "source", "n_chars", size, F.sha2("text", 256).alias("text_sha256"))
 
