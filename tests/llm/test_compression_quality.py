@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from trawl.llm import compression_quality as cq
 from trawl.llm.labelled import fit
@@ -51,3 +52,23 @@ def test_fit_recovers_a_line():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1])))).astype(int)
     p = fit(x, y, np.ones(4000)).probability(x)
     assert abs(p.mean() - y.mean()) < 0.01 and np.corrcoef(p, 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1]))))[0, 1] > 0.99
+
+
+def test_scores_are_those_computed_by_hand(spark):
+    """Sizes by zstandard itself and the logistic by hand, for given dictionaries and weights."""
+    import zstandard
+
+    good, bad = b"the river runs past the old mill and the quiet fields " * 20, b"buy now $$$ click here free offer !!! " * 20
+    calibration = cq.Logistic(np.array([0.1, 0.4]), np.array([0.2, 0.3]), np.array([-2.0, 0.5, 0.25]))
+    texts = [None, "", "the river runs", "buy now $$$ click " * 9, "the quiet fields " * 40_000, "é漢" * 3000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, class int")
+    got = {r.doc_id: r.score for r in cq.with_score(docs, cq.Model(good, bad, calibration)).collect()}
+    for i, text in enumerate(texts):
+        body = (text or "").encode()
+        sizes = []
+        for content in (good, bad):
+            packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(packer.compress(body[k : k + 2048])) for k in range(0, max(1, len(body)), 2048)))
+        x = (sizes[0] - sizes[1]) / sum(sizes), sizes[0] / (len(body) + 16)
+        z = -2.0 * (x[0] - 0.1) / 0.2 + 0.5 * (x[1] - 0.4) / 0.3 + 0.25
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)

@@ -72,3 +72,11 @@ def test_trie_walk_finds_all_links(spark, hot):
                 x, y = want[a], want[b]
                 want = {v: min(x, y) if c in (x, y) else c for v, c in want.items()}
     assert label == want
+
+
+def test_very_long_texts_are_hashed_in_parts():
+    text = " ".join(f"w{k % 1009}" for k in range(70_000))
+    words = text.split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]), 42) for k in range(len(words) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint(text) & (2**64 - 1) == want

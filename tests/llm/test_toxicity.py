@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -126,3 +127,19 @@ def test_apostrophes_and_other_quotations_do_not_quote():
     for text in ["“don’t be an idiot” he wrote", "„du idiot“ war es", "» idiot « stand da", "« idiot » est un mot", "‘you’re an idiot’ it was", 'she said "a b c d e f g h i j idiot" then', '"yes" and "idiot" and "no"', "(“idiot”)"]:
         got = scorer.features(text)
         assert got[2] > 0 and got[0] == got[5] == 0, text
+
+
+def test_correct_words_are_no_misspellings():
+    words, stems = (*tx.INSULTS,), ("retar",)
+    near = ["toward", "reward", "regard", "lower", "closer", "laser", "lover", "crown", "flown", "crash", "discussing"]
+    plain = tx.Scorer(words, stems)
+    assert all(plain.kind(w) == 2 for w in near)
+    known = tx.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    scorer = tx.Scorer(words, stems, tx.correct_words(words, stems, known))
+    assert not any(scorer.kind(w) for w in near)
+    assert [scorer.kind(w) for w in ("id1ot", "idiiot", "stup1d", "mor0n", "disgustng", "cowrad", "idiot", "retar")] == [2, 2, 2, 2, 2, 0, 1, 1]
+
+
+def test_words_of_clean_texts_are_correct():
+    found = tx.correct_words(("vermin",), (), ["verein", "vermin", "vermun", "other"])
+    assert found == {"verein", "vermun"}

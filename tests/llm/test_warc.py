@@ -75,3 +75,19 @@ def test_ranges_share_the_weight(spark):
 def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert warc.read(warc.write(pages(spark).limit(0), folder), folder).count() == 0
+
+
+def test_records_without_ids_are_dealt_to_many_files(spark, tmp_path):
+    rows = [(None if i % 10 else (7 if i % 20 else i), f"http://h/{i}", f"text {i % 900}", "") for i in range(3000)]
+    folder = f"file://{tmp_path}/n"
+    manifest = warc.write(pages(spark, rows).repartition(3), folder)
+    assert manifest.count() > 20 and max(r.records for r in manifest.collect()) < 300
+    got = warc.read(manifest, folder).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute(rows)
+    warc.write(pages(spark, rows).repartition(5), f"file://{tmp_path}/m")
+    assert files(f"{tmp_path}/n") == files(f"{tmp_path}/m")
+
+
+def test_schemes_of_folders():
+    system, path = warc.opened("file:///tmp/x")
+    assert path == "/tmp/x" and system.type_name == "local"

@@ -45,7 +45,8 @@ def dictionary(texts: list[str]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, k=64, d=6).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(parts)[:DICTIONARY] or b"\n" * 8
+        share = max(1, DICTIONARY // max(1, len(parts)))  # of every block alike
+        return b"".join(p[:share] for p in parts) or b"\n" * 8
 
 
 @dataclass
@@ -99,7 +100,8 @@ def with_score(documents: DataFrame, model: Model, text: str = "text", score: st
 def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each document.
 
-    Null ids are not held out; repeated rows score alike; an empty table gives an empty one.
+    Null ids are not held out; repeated rows score alike; null texts are scored as empty ones, very long ones whole, block
+    by block; other columns, whatever their names, are left out; an empty table gives an empty one.
     """
     model = train(documents, labels, doc_id, text)
     scored = with_score(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)

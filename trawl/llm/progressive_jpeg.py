@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm import shared
 from trawl.llm.shared import small_batches
 
 UNIT, BLOCK = 576, 64
@@ -468,12 +469,14 @@ FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32
 
 
 def features(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, FEATURES), one for each document, from the stored bytes read back.
+    """Rows (doc_id, FEATURES), one for each document.
 
-    The feature holds the picture's size, the CRC-32 of its tensor and its mean red, green and blue. Null
-    texts count as empty, equal texts have equal values, and an empty table gives an empty one.
+    The media column is written to the shared folder and everything is computed from the table that is read back. The
+    feature holds the picture's size, the CRC-32 of its tensor and its mean red, green and blue. Null texts count
+    as empty, texts are stored whole, however long, equal texts have equal values, other columns, whatever their names,
+    are left out, and an empty table gives an empty one.
     """
-    media = store(documents, doc_id, text)
+    media = shared.stored(store(documents, doc_id, text), compression="zstd")
 
     def read(stored_bytes: bytes) -> tuple:
         image = decode(stored_bytes)

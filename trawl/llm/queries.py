@@ -44,6 +44,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def correct_words() -> list[str]:
+    """Words that are spelled as they should be: those of a public tokenizer's vocabulary."""
+    return toxicity.vocabulary(tokenizer("word_bpe_49k.json"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed to target weights."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -78,7 +83,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all ``documents``."""
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), known=correct_words())
 
 
 QUERIES = {"op1_quality_rules": op1, "op2_sharding": op2, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10}

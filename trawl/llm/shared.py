@@ -104,14 +104,14 @@ def rename_new(spark: SparkSession, source: str, target: str) -> None:
         raise
 
 
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None, compression: str | None = None) -> DataFrame:
     """``df`` written as a Parquet table to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs no more than rereading the table.
     """
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,8 @@ Two fingerprints at most two bits apart agree on one of three blocks of bits. So
 three tries, rotated to put one block on top. Within that block a trie is walked with no error at all:
 its nodes at the block's end are the shuffle keys. Below, pairs of nodes are walked together: a pair's
 children are paired, a differing bit is charged to the pair, and a pair that has spent more than the
-budget is pruned with everything below it. Only the components of the links leave a task.
+budget is pruned with everything below it. Only the components of the links leave a task. Nodes with very many
+fingerprints are dealt out as pairs of nodes some bits below, as often as it takes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ BITS = 2
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints under one node that a task walks at once; a larger node is split into pairs of nodes SPLIT bits below.
 HOT, SPLIT = 50_000, 8
+#: A fingerprint of more than one in so many documents is joined by broadcast; there are at most so many.
+OFTEN = 1000
+#: What names a task's group of fingerprints.
+KEY = ("block", "depth", "low", "high")
 #: Pairs of nodes that are walked at once.
 FRONT = 1 << 19
 
@@ -121,77 +126,107 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        plain = rows[rows["low"] < 0]
+        plain = rows[rows["low"] == rows["high"]]
         for block in np.unique(plain["block"]):
             own = plain[plain["block"] == block]
-            values, below = own["rotated"].view(np.uint64), 64 - BLOCKS[block][1]
-            edges = np.flatnonzero(np.diff(own["key"], prepend=-1, append=-1))
-            starts, ends = edges[:-1], edges[1:]
-            many = ends - starts > 1
-            yield told(values, walk(values, starts[many], ends[many], starts[many], ends[many], below, 0), block)
-        split = rows[rows["low"] >= 0]
-        cut = np.flatnonzero((np.diff(split["block"], prepend=-1) != 0) | (np.diff(split["key"], prepend=-1) != 0) | (np.diff(split["low"], prepend=-1) != 0) | (np.diff(split["high"], prepend=-1) != 0))
-        for own in np.split(split, cut[1:]) if len(split) else []:
-            block, low, high = int(own["block"][0]), int(own["low"][0]), int(own["high"][0])
-            values, below = own["rotated"].view(np.uint64), 64 - BLOCKS[block][1] - SPLIT
-            middle = len(values) if low == high else int(np.searchsorted(values, ((values[0] >> np.uint64(below + SPLIT) << np.uint64(SPLIT)) | np.uint64(high)) << np.uint64(below)))
-            if not 0 < middle < len(values) and low != high:
-                continue  # only one of the two nodes has members
-            at = lambda x: np.array([x])
-            second = (0, len(values)) if low == high else (middle, len(values))
-            labels = walk(values, at(0), at(middle), at(second[0]), at(second[1]), below, (low ^ high).bit_count())
-            yield told(values, labels, block)
-
-    kind = np.dtype([("block", np.int64), ("key", np.int64), ("low", np.int64), ("high", np.int64), ("rotated", np.int64)])
-    held = np.zeros(0, kind)
+            for depth in np.unique(own["depth"]):
+                level = own[own["depth"] == depth]
+                values = level["rotated"].view(np.uint64)
+                edges = np.flatnonzero(np.diff(level["low"], prepend=level["low"][0] - 1, append=level["low"][-1] - 1))
+                starts, ends = edges[:-1], edges[1:]
+                many = ends - starts > 1
+                yield told(values, walk(values, starts[many], ends[many], starts[many], ends[many], 64 - int(depth), 0), int(block))
+        split = rows[rows["low"] != rows["high"]]
+        changed = np.any([np.diff(split[name], prepend=0) != 0 for name in KEY], axis=0)
+        changed[:1] = True
+        for own in np.split(split, np.flatnonzero(changed)[1:]) if len(split) else []:
+            block, depth, low, high = (int(own[name][0]) for name in KEY)
+            values, shift = own["rotated"].view(np.uint64), np.uint64(64 - depth)
+            middle = int(np.searchsorted(values >> shift, max(low, high)))
+            if 0 < middle < len(values):  # else only one of the two nodes has members
+                at = lambda x: np.array([x])
+                labels = walk(values, at(0), at(middle), at(middle), at(len(values)), 64 - depth, (low ^ high).bit_count())
+                yield told(values, labels, block)
+
+    kind = np.dtype([(name, np.int64) for name in (*KEY, "rotated")])
+    held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         rows = np.zeros(batch.num_rows, kind)
         for name in kind.names:
             rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
-        held = np.concatenate([held, rows])
-        if len(held) >= 2 * HOT:
-            last = held[-1:][["block", "key", "low", "high"]]
-            whole = len(held) - int(np.argmin((held[["block", "key", "low", "high"]] == last)[::-1])) if (held[["block", "key", "low", "high"]] != last).any() else 0
-            if whole:
-                yield from groups(held[:whole])
-                held = held[whole:]
-    if len(held):
-        yield from groups(held)
+        same = np.all([rows[name] == rows[name][-1] for name in KEY], axis=0)
+        first = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last group begins here, or before
+        if size + first >= 2 * HOT and first:
+            yield from groups(np.concatenate([*held, rows[:first]]))
+            held, size = [rows[first:]], len(rows) - first
+        else:
+            held.append(rows)
+            size += len(rows)
+    if size:
+        yield from groups(np.concatenate(held))
 
 
 def links(distinct: DataFrame, hot: int | None = None) -> DataFrame:
-    """Rows (a, b) whose components are those of all pairs of ``fp`` at most BITS bits apart."""
+    """Rows (a, b) whose components are those of all pairs of ``fp`` at most BITS bits apart.
+
+    A task's group is a pair of trie nodes (``low`` and ``high``, the first ``depth`` bits; mostly one node with itself).
+    Groups of more than ``hot`` rows are replaced by the pairs of their nodes' descendants SPLIT bits below that stay
+    within the budget, until none is left or the bits are used up.
+    """
     hot = HOT if hot is None else hot
     turned = lambda by: F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")
-    tries = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(turned(by), 64 - size).alias("key"), turned(by).alias("rotated")) for k, (by, size) in enumerate(BLOCKS)])
-    rows = distinct.select(F.explode(tries).alias("t")).select("t.*")
-    large = stored(rows.groupBy("block", "key").count().filter(F.col("count") > hot).select("block", "key", F.lit(True).alias("large")))
-    whole = rows.withColumns({"low": F.lit(-1), "high": F.lit(-1)})
-    if not large.isEmpty():
-        marked = rows.join(large, ["block", "key"], "left")
-        masks = [m for m in range(1 << SPLIT) if m.bit_count() <= BITS]
-        below = F.lit(64 - SPLIT) - F.element_at(F.array(*[F.lit(size) for _, size in BLOCKS]), F.col("block") + 1)
-        node = F.call_function("shiftrightunsigned", F.col("rotated"), below).bitwiseAND(F.lit((1 << SPLIT) - 1)).cast("int")
-        other = F.explode(F.array(*[F.lit(m) for m in masks]))
-        parts = marked.filter("large").withColumn("node", node).withColumn("mask", other).withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
-        parts = parts.select("block", "key", "rotated", F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"))
-        whole = marked.filter("large is null").drop("large").withColumns({"low": F.lit(-1), "high": F.lit(-1)}).unionByName(parts)
-    dealt = whole.repartition("block", "key", "low", "high").sortWithinPartitions("block", "key", "low", "high", "rotated")
-    return dealt.select("block", "key", "low", "high", "rotated").mapInArrow(_links, "a long, b long")
+    tries = [
+        F.struct(F.lit(k).cast("long").alias("block"), F.lit(size).cast("long").alias("depth"), F.shiftrightunsigned(turned(by), 64 - size).alias("low"), turned(by).alias("rotated"))
+        for k, (by, size) in enumerate(BLOCKS)
+    ]
+    rows = distinct.select(F.explode(F.array(*tries)).alias("t")).select("t.block", "t.depth", "t.low", F.col("t.low").alias("high"), "t.rotated")
+    right = lambda value, n: F.call_function("shiftrightunsigned", value, n.cast("int"))
+    own = right(F.col("rotated"), 64 - F.col("depth"))
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << SPLIT) if m.bit_count() <= BITS])
+    done: list[DataFrame] = []
+    while True:
+        large = stored(rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter((F.col("n") > hot) & (F.col("depth") + SPLIT < 64)).drop("n"))
+        if large.isEmpty():
+            break
+        done.append(rows.join(large, list(KEY), "left_anti"))
+        parts = rows.join(large, list(KEY), "left_semi").withColumn("other", F.when(own == F.col("low"), F.col("high")).otherwise(F.col("low")))
+        after = right(F.col("rotated"), 64 - SPLIT - F.col("depth"))
+        parts = parts.select("block", (F.col("depth") + SPLIT).alias("depth"), "rotated", after.alias("node"), "other", F.explode(masks).alias("mask"))
+        other = F.shiftleft("other", SPLIT).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << SPLIT) - 1).cast("long")).bitwiseXOR(F.col("mask")))
+        parts = parts.select("block", "depth", "rotated", "node", other.alias("other")).filter(F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= BITS)
+        parts = stored(parts.select("block", "depth", F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"), "rotated"))
+        rows = parts
+    for other_rows in done:
+        rows = rows.unionByName(other_rows)
+    unsigned = F.col("rotated").bitwiseXOR(F.lit(-(2**63)))  # sorts as unsigned numbers do
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, unsigned).select(*KEY, "rotated").mapInArrow(_links, "a long, b long")
+
+
+def to_rows(rows: DataFrame, ids: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined to ``ids`` by ``key``, which names ``size`` of them each.
+
+    Keys of more than one in OFTEN of all rows, at most OFTEN keys, are broadcast, so no task gets all copies of one text.
+    """
+    total = ids.agg(F.sum(size)).first()[0] or 0
+    often = F.broadcast(ids.filter(F.col(size) * OFTEN > total)).drop(size)
+    seldom = rows.join(often.select(key), key, "left_anti").join(ids.drop(size), key)
+    return rows.join(often, key).unionByName(seldom)
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each document.
 
     Equal fingerprints are linked before the tries are built, so copies cost one entry. Null texts count as
-    empty; texts without words have fingerprint zero and are linked like any other; a null doc_id is never
-    the smallest, and a component with no other has a null id; an empty table gives an empty one.
+    empty; texts without words have fingerprint zero and are linked like any other; very long texts are hashed in
+    parts; a null doc_id is never the smallest, and a component with no other has a null id; other columns, whatever their
+    names, are left out; an empty table gives an empty one.
     """
     prints = stored(fingerprints(documents, doc_id, text))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(links(distinct, hot))
-    known = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    labels = components(links(distinct.select("fp"), hot))
+    known = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "n", "first_id", F.coalesce("label", "fp").alias("label"))
     known = stored(known)
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    ids = known.join(least, "label").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = stored(known.join(least, "label").select("fp", "n", "component_id"))
+    return to_rows(prints, ids, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,15 +3,18 @@
 The lexicon is a trie of whole words and of stems that take any ending: a short fixed list, and what the
 labelled sample adds. The Levenshtein automata of all its terms are intersected with the trie at once: a
 state is a set of (trie node, edits spent), made deterministic as words are read, so most words end in the
-empty state after a few characters. Each hit is then judged in a window of words around it, which tells
+empty state after a few characters. A near miss that is a correct word itself, by a vocabulary or by the clean texts of the
+sample, is no misspelling. Each hit is then judged in a window of words around it, which tells
 quotation and report from abuse, and a document's counts of hits by kind are calibrated to a probability.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,6 @@ REACH = 6
 #: at least); a stem also has so many endings, and occurs in no other text.
 LIFT, CONTEXTS, SHARE, ENDINGS = 25.0, 4, 0.02, 4
 STEM_LENGTHS = range(4, 11)
-LEARNT = 500
 REMEMBERED = 100_000
 
 # Common insults, signs and words of quotation, and words of address.
@@ -40,6 +42,8 @@ INSULTS = (
     "bastard", "clown", "coward", "cretin", "disgusting", "dumbass", "fool", "idiot", "imbecile", "loser", "lowlife", "moron",
     "pathetic", "pig", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "worthless",
 )
+#: Endings that an insult takes and stays one.
+ENDINGS_OF_INSULTS = ("s", "es", "'s")
 #: Signs of quotation, and those that close each.
 CLOSED_BY = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«»", "‘": "’", "’": "’", "`": "`’"}
 SIGNS = frozenset(CLOSED_BY)
@@ -137,8 +141,9 @@ def plain(word: str) -> str:
 class Scorer:
     """Counts of hits in texts, with the words met so far remembered."""
 
-    def __init__(self, words: tuple[str, ...], stems: tuple[str, ...]):
+    def __init__(self, words: tuple[str, ...], stems: tuple[str, ...], correct: frozenset[str] = frozenset()):
         self.automaton = Automaton(words, stems)
+        self.correct = correct
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
@@ -146,6 +151,8 @@ class Scorer:
         found = self.old.get(word)
         if found is None:
             found = self.automaton.match(plain(word))
+            if found == 2 and plain(word) in self.correct:
+                found = 0
         if len(word) <= 64:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
@@ -161,10 +168,10 @@ class Scorer:
         if not any(kinds):
             return [0.0] * 6
         straight = misspelled = quoted = addressed = 0
-        both, one = quoted_words(words)
+        both, one, reported = quoted_words(words)
         for at in np.flatnonzero(kinds):
             before, after = words[max(0, at - REACH) : at], words[at + 1 : at + 1 + REACH]
-            if both[at] or (one[at] and any(plain(w) in REPORTS for w in before)):
+            if both[at] or (one[at] and (reported[at] or any(plain(w) in REPORTS for w in before))):
                 quoted += 1
                 continue
             straight += kinds[at] == 1
@@ -199,15 +206,19 @@ def quotations(words: list[str]) -> list[tuple[int, int]]:
     return pairs
 
 
-def quoted_words(words: list[str]) -> tuple[bytearray, bytearray]:
-    """Flags of the words with both signs of one quotation within REACH, and of those in a quotation with one of them."""
-    both, one = bytearray(len(words)), bytearray(len(words))
+def quoted_words(words: list[str]) -> tuple[bytearray, bytearray, bytearray]:
+    """Flags of the words with both signs of one quotation within REACH, of those in a quotation with one of them, and of
+    those in a quotation that a word of report introduces or follows."""
+    both, one, reported = (bytearray(len(words)) for _ in range(3))
     for start, end in quotations(words):
+        around = (*words[max(0, start - REACH) : start], *words[end + 1 : end + 1 + REACH])
+        told = any(plain(w) in REPORTS for w in around)
         for at in range(max(start, end - REACH), min(end, start + REACH) + 1):
             both[at] = 1
         for at in (*range(start, min(end, start + REACH) + 1), *range(max(start, end - REACH), end + 1)):
             one[at] = 1
-    return both, one
+            reported[at] |= told
+    return both, one, reported
 
 
 @dataclass
@@ -215,6 +226,8 @@ class Model:
     words: tuple[str, ...]
     stems: tuple[str, ...]
     calibration: Logistic
+    #: Words near a term that are no misspellings of it.
+    correct: frozenset[str] = frozenset()
 
 
 def learn_terms(found: Sample) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -260,31 +273,47 @@ def learn_terms(found: Sample) -> tuple[tuple[str, ...], tuple[str, ...]]:
             stems.add(stem)
     words = [w for w, own in clean.items() if (len(toxic[w]) + 0.5) / total[1] >= LIFT * (len(own) + 0.5) / total[0]]
     words.sort(key=lambda w: (-len(toxic[w]), w))
-    covered = [w for w in words if any(w[:n] in stems for n in STEM_LENGTHS)]  # they stay for their own, longer budget of edits
-    free = [w for w in words if not any(w[:n] in stems for n in STEM_LENGTHS)]
-    return tuple(sorted({*free[:LEARNT], *covered[:LEARNT], *INSULTS})), tuple(sorted(stems, key=lambda s: (-of_stem[s], s))[:LEARNT])
+    insults = {w + e for w in INSULTS for e in ("", *ENDINGS_OF_INSULTS)}
+    return tuple(sorted({*words, *insults})), tuple(sorted(stems))
+
+
+def correct_words(words: tuple[str, ...], stems: tuple[str, ...], known: Iterable[str]) -> frozenset[str]:
+    """Those of the known words that the automata would take for misspellings."""
+    match = Automaton(words, stems).match
+    return frozenset(w for w in set(known) if len(w) >= 4 and match(w) == 2)
+
+
+def vocabulary(path: str) -> list[str]:
+    """The whole words of a public tokenizer's file whose words end with a mark."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    mark = model["end_of_word_suffix"]
+    return [token.removesuffix(mark) for token in model["vocab"] if token.endswith(mark)]
 
 
-def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", known: Iterable[str] = ()) -> Model:
     """Learns from at most PER_CLASS texts of either label outside the held-out fold.
 
     Terms are learnt from every other text of the sample and calibrated on the rest, so a term that marks
-    only the texts it was learnt from gains no weight.
+    only the texts it was learnt from gains no weight. ``known`` are correct words, to which the words of the
+    clean texts that terms are learnt from are added.
     """
     found = sample(documents, labels, label, remainder(F.col(doc_id), FOLDS) != HELD_OUT, PER_CLASS, MOST_CHARS, doc_id, text)
     first = np.concatenate([np.flatnonzero(found.labels == y)[0::2] for y in (0, 1)])
     second = np.concatenate([np.flatnonzero(found.labels == y)[1::2] for y in (0, 1)])
     words, stems = learn_terms(Sample([found.texts[k] for k in first], found.labels[first], found.weights[first]))
-    scorer = Scorer(words, stems)
+    clean = (plain(w) for k in first if found.labels[k] == 0 for w in found.texts[k].lower().split())
+    correct = correct_words(words, stems, chain(known, clean))
+    scorer = Scorer(words, stems, correct)
     features = np.array([scorer.features(found.texts[k]) for k in second]).reshape(-1, 6)
-    return Model(words, stems, fit(features, found.labels[second], found.weights[second]))
+    return Model(words, stems, fit(features, found.labels[second], found.weights[second]), correct)
 
 
 def with_score(documents: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``documents`` with the probability that a text is toxic; null texts are scored as empty ones."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.words, model.stems)
+        scorer = Scorer(model.words, model.stems, model.correct)
         for batch in small_batches(batches, text):
             features = np.array([scorer.features(t) for t in batch.column(text).to_pylist()]).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.calibration.probability(features))], [*batch.schema.names, score])
@@ -292,12 +321,13 @@ def with_score(documents: DataFrame, model: Model, text: str = "text", score: st
     return documents.mapInArrow(compute, StructType([*documents.schema.fields, StructField(score, DoubleType())]))
 
 
-def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", known: Iterable[str] = ()) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each document.
 
-    Null ids are not held out; repeated rows score alike; an empty table gives an empty one.
+    Null ids are not held out; repeated rows score alike; null and empty texts have no hits; very long ones are
+    scored whole; other columns, whatever their names, are left out; an empty table gives an empty one.
     """
-    model = train(documents, labels, doc_id, text)
+    model = train(documents, labels, doc_id, text, known=known)
     scored = with_score(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
     held_out = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer, and a reader.
 
-Records are cut into ranges of ids by an exact histogram, so the same table gives the same ranges on any
-cluster. Each range is sorted and written by one task: one gzip member for each record, a new file
+Records are cut into ranges of ids by an exact histogram (and those without an id, or of one id that fills more than
+a range, by a hash of address and payload), so the same table gives the same ranges on any cluster. Each range is sorted and written by one task: one gzip member for each record, a new file
 whenever the compressed size reaches the limit. Headers, record ids and digests are made anew from the row.
 A file is written under a temporary name and renamed when it is complete; the manifest, written last and
 renamed too, makes the archive whole. A task that runs again writes the same bytes under the same names.
@@ -26,6 +26,8 @@ from trawl.llm.shared import rename_new, stored
 
 #: Compressed size at which a file is closed; payload of a range; fewest ranges; counts of a histogram.
 ROLL, RANGE, LEAST_RANGES, BUCKETS = 256 << 20, 256 << 20, 64, 4096
+#: Places of a record among those of one id.
+PLACES = 1 << 20
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 0
 #: A record's size besides its payload, for the histogram.
@@ -63,7 +65,7 @@ def page_record(page_id: int | None, url: str | None, html: str | None, sha1: st
         block = head
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first_id, first_url, sha1)),
-            ("WARC-Refers-To-Target-URI", clean(first_url)), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()),
+            ("WARC-Refers-To-Target-URI", clean(first_url)), ("WARC-Refers-To-Date", DATE), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()),
         ]
         if first_id is not None:
             headers.append(("X-Refers-To-Page-ID", str(first_id)))
@@ -74,6 +76,12 @@ def page_record(page_id: int | None, url: str | None, html: str | None, sha1: st
     return record([*headers, ("WARC-Block-Digest", "sha1:" + digest(block))], block)
 
 
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder, by any scheme that Hadoop uses and pyarrow has a name for."""
+    scheme, sep, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest)
+
+
 def ranges(rows: DataFrame, key: str, weight: str, parts: int) -> list[int]:
     """Lower bounds of about ``parts`` ranges of ``key`` with about equal weight.
 
@@ -112,20 +120,36 @@ def ranges(rows: DataFrame, key: str, weight: str, parts: int) -> list[int]:
     return bounds
 
 
+def cut(weighed: DataFrame, bounds: list[int], target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds of the ranges behind that of the null ids, and the number of shards that each range is cut into.
+
+    Only ranges that hold one id can outweigh ``target`` by much, so a cut is by place within the id.
+    """
+    starts = np.array(bounds, np.int64)
+    shares = np.ones(len(bounds) + 1, np.int64)
+    heavy = weighed.groupBy("page_id").agg(F.sum("weight").alias("weight")).filter(F.col("weight") > 2 * target)
+    for row in heavy.collect():  # fewer than half the number of ranges
+        k = 0 if row["page_id"] is None else int(np.searchsorted(starts, row["page_id"], side="right"))
+        shares[k] = max(shares[k], -(-row["weight"] // target))
+    return starts, shares
+
+
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll: int = ROLL) -> DataFrame:
     """Writes the archive of ``pages`` to ``folder`` (any file system that pyarrow knows) and returns its manifest.
 
     Of records with equal payloads of at least LEAST_BYTES bytes, those with the least id are responses and
     the others revisits of it; repeated rows of the least id are all responses. A null html is an empty
-    payload. Null ids come first in the order and are the greatest when it comes to responses.
+    payload, and payloads are written whole, however long. Null ids come first in the order and are the greatest when it
+    comes to responses. Other columns, whatever their names, are left out. An empty table gives an archive without files.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumns({"sha1": F.sha1("html"), "size": F.octet_length("html").cast("long")})
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("url", "sha1"), F.lit(PLACES)))
     slim = stored(rows.drop("html"), f"{folder}/_temporary")
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
     first = slim.select("sha1", place.alias("place")).groupBy("sha1").agg(F.min("place").alias("first"))
-    key = ["page_id", "url", "sha1"]
+    key = ["page_id", "place", "url", "sha1"]
     links = slim.join(first, "sha1").withColumn("revisit", (F.col("size") >= LEAST_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
     links = links.groupBy(*key, "size").agg(F.min("first.page_id").alias("first_id"), F.min("first.url").alias("first_url"), F.min("revisit").alias("revisit"))
     # A record's links go before it, so that payloads are dealt out once and never joined.
@@ -133,16 +157,18 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     known = links.withColumn("html", F.lit(None).cast("string")).withColumn("kind", F.lit(0)).unionByName(rows.withColumns(none).withColumn("kind", F.lit(1)))
     weighed = slim.select("page_id", (F.col("size") + OVERHEAD).alias("weight"))
     total = weighed.agg(F.sum("weight")).first()[0] or 0
-    bounds = np.array(ranges(weighed.filter("page_id is not null"), "page_id", "weight", max(LEAST_RANGES, -(-total // RANGE))), np.int64)
+    parts = max(LEAST_RANGES, -(-total // RANGE))
+    bounds = ranges(weighed.filter("page_id is not null"), "page_id", "weight", parts)
+    starts, shares = cut(weighed, bounds, -(-total // parts))
+    first_of = np.concatenate([[0], np.cumsum(shares)])
 
     @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        none = ids.isna()
-        found = np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right") - 1
-        return pd.Series(np.where(none, 0, np.maximum(found, 0)).astype(np.int32))
+    def shard(ids: pd.Series, place: pd.Series) -> pd.Series:
+        range_ = np.where(ids.isna(), 0, np.searchsorted(starts, ids.fillna(0).astype("int64"), side="right"))
+        return pd.Series((first_of[range_] + place.to_numpy() * shares[range_] // PLACES).astype(np.int32))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = opened(folder)
         system.create_dir(f"{root}/_temporary", recursive=True)
         done: list[tuple[str, int, int, str]] = []
         current = -1
@@ -188,7 +214,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
 
-    dealt = known.withColumn("shard", shard("page_id")).repartition("shard").sortWithinPartitions("shard", *key, "kind")
+    dealt = known.withColumn("shard", shard("page_id", "place")).repartition("shard").sortWithinPartitions("shard", *key, "kind")
     manifest = stored(dealt.mapInArrow(put, MANIFEST), f"{folder}/_temporary")
     return commit(spark, manifest, folder)
 
@@ -226,7 +252,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     number = lambda h, k: int(h[k]) if k in h else None
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = opened(folder)
         names = [c.split()[0] for c in READ.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
@@ -252,4 +278,4 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(get, READ)  # a task for each file
+    return manifest.select("file").repartitionByRange(max(1, manifest.count()), "file").mapInArrow(get, READ)  # about a task for each file
