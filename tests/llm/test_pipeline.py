@@ -6,11 +6,18 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trawl.llm import compression_quality, mixing, simhash, toxicity
+from trawl.llm import compression_quality, mixing, toxicity
+from trawl.llm.queries import correct_words
 
 DIR = "/root/testdata/sf0.001"
 
 
+def grams(text):
+    """The five-word shingles of a text, in lower case."""
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_pipeline_is_its_stages_by_hand(spark):
     """Each stage against plain Python over its own input."""
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
@@ -23,8 +30,8 @@ def test_pipeline_is_its_stages_by_hand(spark):
     ids = lambda df: sorted(r.doc_id for r in df.collect())
 
     start = passed["toxicity"]
-    model = toxicity.train(start, labels)
-    scorer = toxicity.Scorer(model.words, model.stems)
+    model = toxicity.train(start, labels, known=correct_words())
+    scorer = toxicity.Scorer(model.words, model.stems, model.correct)
     clean = [r for r in start.collect() if model.calibration.probability(np.array([scorer.features(r.text)]))[0] < 0.5]
     assert ids(passed["quality classifier"]) == sorted(r.doc_id for r in clean)
 
@@ -33,11 +40,11 @@ def test_pipeline_is_its_stages_by_hand(spark):
     good = [r for r in clean if model.calibration.probability(np.array([tools.features(r.text)]))[0] >= 0.5]
     assert ids(passed["SimHash near-dedup"]) == sorted(r.doc_id for r in good)
 
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in good}
-    label = {i: i for i in prints}
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 2 and label[a] != label[b]:
+    sets = {r.doc_id: grams(r.text) for r in good}
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and label[a] != label[b] and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
                 x, y = sorted((label[a], label[b]))
                 label = {i: x if c == y else c for i, c in label.items()}
     assert ids(passed["mixing"]) == sorted({*label.values()})
@@ -78,3 +85,13 @@ def test_repeated_rows_and_missing_ids(spark):
     kept = corpus_pipeline.one_of_each_group(spark, docs, DIR)
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3, None]
     assert corpus_pipeline.mixed(spark, docs, DIR).columns == docs.columns
+
+
+def test_columns_of_any_name(spark):
+    names = ("score", "_pipeline_score", "_copy", "_id", "_copies", "row", "node", "fp", "class", "u")
+    rows = [(i, f"some words number {i} of text " * (1 + i % 4), "en", "ab"[i % 2], 5, *[-i] * len(names)) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{n}` int" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, DIR)
+        assert kept.columns == docs.columns
+        assert all(r[n] == -r.doc_id for r in kept.collect() for n in names)

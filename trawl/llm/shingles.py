@@ -1,10 +1,13 @@
-"""Near-duplicates by Jaccard similarity of five-word shingles: MinHash finds candidates, the whole sets decide.
-
-A text's minima under BANDS * ROWS hash functions are put together ROWS at a time; texts that agree on one
-such band are candidates. In a first round every member of a bucket is held against the bucket's least;
-in a second, members that are still in different components are held against each other. A pair is linked only
-if the sets of all its shingles reach SIMILARITY. A pair at exactly 0.8 is missed by all bands with a
-probability of (1 - 0.8^6)^40, about five in a million, and a more similar one more rarely.
+"""Near-duplicates by Jaccard similarity of five-word shingles: SimHash and MinHash find candidates, the whole sets decide.
+
+Texts whose SimHash fingerprints the binary tries of ``simhash`` link are candidates, but at a similarity of 0.8
+fingerprints differ by ten of 64 bits, further than tries can be walked. So a text's minima under BANDS * ROWS hash
+functions are also put together ROWS at a time, and texts that agree on one such band are candidates. In a first round every
+member of a bucket is held against its most popular member (the one with the fullest buckets, the likely original
+of a group of copies); in a second, members that are still in different components are held against each other within
+tasks, and only links leave a task. A pair is linked only if the sets of all its shingles reach SIMILARITY. A
+pair at exactly 0.8 is missed by all bands with a probability of (1 - 0.8^6)^40, about five in a million, and a more
+similar one more rarely.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm import simhash
 from trawl.llm.components import components
 from trawl.llm.shared import small_batches, stored
 
@@ -27,6 +31,8 @@ BANDS, ROWS = 40, 6
 _FACTORS, _SHIFTS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 #: Shingles whose minima are taken at once.
 PART = 1 << 11
+#: Texts of one bucket that a task holds against each other; larger buckets are dealt out as pairs of their parts.
+HOT = 4000
 
 
 def shingles(text: str | None) -> tuple[int, np.ndarray]:
@@ -52,21 +58,31 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def _prepared(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, node, bands, hashes), one for each document; texts of the same words have the same node."""
+def _fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
 
-    def lists(parts: list[np.ndarray]) -> pa.ListArray:
-        offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+def _prepared(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (doc_id, node, fp, bands, hashes), one for each document; texts of the same words have the same node."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             nodes, sets = zip(*map(shingles, batch.column("text").to_pylist()), strict=True)
-            columns = [batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists([bands(s) for s in sets]), lists(list(sets))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands", "hashes"])
+            prints = pa.array([_fingerprint(s) for s in sets], pa.int64())
+            columns = [batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), prints, _lists([bands(s) for s in sets]), _lists(list(sets))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "hashes"])
 
     chosen = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(compute, "doc_id long, node long, bands array<long>, hashes array<long>")
+    return chosen.mapInArrow(compute, "doc_id long, node long, fp long, bands array<long>, hashes array<long>")
 
 
 def _similar(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -82,29 +98,100 @@ def _similar(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     return both.filter(near).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _pairs_of_tries(distinct: DataFrame) -> DataFrame:
+    """Candidates (a, b) whose fingerprints are linked by the tries, or the same."""
+    firsts = stored(distinct.filter(F.size("bands") > 0).groupBy("fp").agg(F.min("node").alias("first")))
+    linked = simhash.links(firsts.select("fp"))
+    x, y = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    between = linked.join(x, "a").join(y, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    within = simhash.to_rows(distinct.select("fp", "node"), firsts.withColumn("n", F.lit(1)), "fp", "n").filter("first <> node")
+    return between.union(within.select(F.col("first").alias("a"), F.col("node").alias("b")))
+
+
+def across(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between members of a bucket with different labels; batches of whole groups of (band, low, high)."""
+    for batch in groups:
+        node, label, part = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("node", "label", "part"))
+        low, high, band = batch.column("low")[0].as_py(), batch.column("high")[0].as_py(), batch.column("band")[0].as_py()
+        own = np.stack(batch.column("bands").to_numpy(zero_copy_only=False))
+        sets = batch.column("hashes")
+        offsets = sets.offsets.to_numpy().astype(np.int64)
+        flat = np.unique(sets.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)[1]
+        starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        names, counts = np.unique(label, return_counts=True)
+        rest = np.flatnonzero(label != names[counts.argmax()])
+        found, mark = [], np.zeros(int(flat.max()) + 1, bool)
+        up, down = SIMILARITY
+        for i in rest if low == high else np.flatnonzero(part == low):
+            mark[flat[starts[i] : starts[i] + sizes[i]]] = True
+            shared = np.add.reduceat(mark[flat], starts)
+            mark[:] = False
+            near = (shared * (up + down) >= (sizes[i] + sizes) * up) & (label != label[i])
+            if low != high:
+                near &= part == high
+            for j in np.flatnonzero(near):
+                first = own[i][own[i] == own[j]]
+                if label[i] != label[j] and first[0] == band:  # else a bucket before this one tells
+                    found.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that each hold one whole group, from batches sorted by group."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high")), strict=True))
+        start = 0
+        for k in range(1, len(keys) + 1):
+            if k == len(keys) or keys[k] != keys[start]:
+                if keys[start] != now and held:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held = []
+                now = keys[start]
+                held.append(batch.slice(start, k - start))
+                start = k
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _remaining(buckets: DataFrame, labels: DataFrame, prepared: DataFrame, hot: int) -> DataFrame:
+    """Links between members of one bucket that have different labels."""
+    placed = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least < most")
+    mixed = mixed.select("band", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    open_rows = stored(placed.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    sets = prepared.select("node", "bands", "hashes").join(open_rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
+    dealt = rows.join(stored(sets), "node").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return dealt.mapInArrow(lambda batches: across(_whole(batches)), "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
     """Rows (doc_id, component_id), one for each document.
 
     Texts of the same words, and those without any, are copies of each other; a text of fewer than SHINGLE words is
-    one shingle. A null doc_id is never the smallest, and a component with no other has a null id.
+    one shingle; very long texts count with all their shingles. A null doc_id is never the smallest, and a component with
+    no other has a null id. Other columns, whatever their names, are left out.
     """
     prepared = stored(_prepared(documents, doc_id, text))
-    distinct = stored(prepared.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+    distinct = stored(prepared.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     rows = distinct.select("node", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
-    buckets = stored(rows.join(heads, "band").select("band", "head", "node"))
-    tried = stored(buckets.filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    links = stored(_similar(tried, prepared))
+    full = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = stored(rows.join(full, "band"))
+    popular = buckets.groupBy("node").agg(F.sum("n").alias("popularity"))
+    heads = buckets.join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("head"))
+    tried = buckets.join(heads, "band").filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).union(_pairs_of_tries(distinct))
+    links = stored(_similar(stored(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), prepared))
     labels = components(links)
-    placed = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    open_rows = stored(placed.join(mixed, "band", "left_semi"))
-    left, right = (open_rows.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    others = left.join(right, "band").filter("a < b and label_a <> label_b").select("a", "b").distinct()
-    more = stored(_similar(stored(others.join(tried, ["a", "b"], "left_anti")), prepared))
+    more = stored(_remaining(buckets.select("band", "node"), labels, prepared, hot or HOT))
     if not more.isEmpty():
         labels = components(links.union(more))
-    known = stored(distinct.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
+    known = stored(distinct.join(labels, "node", "left").select("node", "n", "first_id", F.coalesce("label", "node").alias("label")))
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    ids = known.join(least, "label").select("node", "component_id")
-    return prepared.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+    ids = stored(known.join(least, "label").select("node", "n", "component_id"))
+    return simhash.to_rows(prepared.select("doc_id", "node"), ids, "node", "n").select("doc_id", "component_id")
