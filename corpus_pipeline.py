@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in stages that each write a table.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``docs``. Labels are read from ``sf_dir``.
+``docs``, whatever they are called. Labels are read from ``sf_dir``. Null and empty texts are judged as empty ones, texts are
+read whole, however long, and an empty table stays one.
 """
 
 from __future__ import annotations
@@ -10,41 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import compression_quality, mixing, packing, shingles, toxicity
-from trawl.llm.queries import table, tokenizer
-from trawl.llm.shared import shared_folder, stored
-
-SCORE = "_pipeline_score"
+from trawl.llm.queries import correct_words, table, tokenizer
+from trawl.llm.shared import fresh, shared_folder, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are more likely toxic than not."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, score=SCORE).filter(F.col(SCORE) < 0.5).drop(SCORE)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), known=correct_words())
+    score = fresh(docs.columns, "score")
+    return toxicity.with_score(docs, model, score=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are at least as likely good as not."""
     model = compression_quality.train(docs, table(spark, sf_dir, "labels"))
-    return compression_quality.with_score(docs, model, score=SCORE).filter(F.col(SCORE) >= 0.5).drop(SCORE)
+    score = fresh(docs.columns, "score")
+    return compression_quality.with_score(docs, model, score=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group, and one row of it.
 
-    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows without an id cannot be
-    referred to and all stay.
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more; candidates come from the tries of
+    SimHash fingerprints and from bands of minima. Rows without an id cannot be referred to and all stay.
     """
     found = shingles.near_duplicates(docs)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    return named.unionByName(docs.filter("doc_id is null")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it. Rows of one id are taken alike."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    counted = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).filter("_copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Repeats each row as often as the mix takes it."""
+    return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
