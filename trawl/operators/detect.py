@@ -1,9 +1,10 @@
 """Finding all matches of rules in texts, by two plans with the same result.
 
 ``with_columns`` stays in the JVM: one scan, in which every rule is tried only on texts that hold one of its
-keywords. It suits few rules with one group. ``with_python`` reads texts as Arrow batches and tries any
-number of rules with Python's byte-wise regular expressions. Offsets are bytes of UTF-8; lines and columns
-count from 1, columns in bytes, and the end point is that of the first byte behind the match.
+keywords. It suits few rules with one group. ``with_python`` reads texts as Arrow batches; literals that the patterns
+themselves require are looked for all at once, and only rules whose literals a text holds are tried on it, with
+Python's byte-wise regular expressions. ``^`` and ``$`` stand for the ends of lines. Offsets are bytes of UTF-8; lines and
+columns count from 1, columns in bytes, and the end point is that of the first byte behind the match.
 """
 
 from __future__ import annotations
@@ -11,18 +12,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trawl.functions import ids
-from trawl.functions.text import let, newlines
-from trawl.operators.rules import Rule, portable
+from trawl.functions.text import context_after, context_before, let, newlines
+from trawl.operators.rules import Rule, literals, portable
 
 MATCH = (
     "rule_id string, rule_name string, rule_sid string, start long, end long, start_line long, start_column long, "
-    "end_line long, end_column long, matching string, groups array<string>"
+    "end_line long, end_column long, matching string, groups array<string>, named map<string,string>"
 )
 
 
@@ -32,7 +36,7 @@ def wrapped(pattern: str) -> str:
     The end of the text also matches, as nothing: else the search behind the last match would begin again
     at every character.
     """
-    return rf"((?s:.*?))((?:{portable(pattern)})|\z)"
+    return rf"(?md)((?s:.*?))((?:{portable(pattern)})|\z)"
 
 
 def _moved(line: Column, column: Column, text: Column) -> tuple[Column, Column]:
@@ -43,10 +47,14 @@ def _moved(line: Column, column: Column, text: Column) -> tuple[Column, Column]:
 
 def _all_of(text: Column, rule: Rule) -> Column:
     """All matches of a rule as an array of MATCH."""
+    if len(rule.names) != 1:
+        raise ValueError(f"rule {rule.id} has {len(rule.names)} groups; with_python takes any number")
     pattern = F.lit(wrapped(rule.pattern))
+    name = rule.names[0]
+    named = lambda g: F.create_map(F.lit(name), g) if name else F.create_map().cast("map<string,string>")
     part = lambda k: F.regexp_extract_all(text, pattern, F.lit(k))
     long = lambda c: c.cast("long")
-    empty = F.from_json(F.lit("[]"), f"array<struct<{MATCH.replace(' string', ': string').replace(' long', ': long').replace(' array', ': array')}>>")
+    empty = F.from_json(F.lit("[]"), f"array<struct<{MATCH.replace(' string', ': string').replace(' long', ': long').replace(' array', ': array').replace(' map', ': map')}>>")
     start = F.struct(long(F.lit(0)).alias("at"), long(F.lit(1)).alias("line"), long(F.lit(1)).alias("column"), empty.alias("out"))
 
     def step(state: Column, m: Column) -> Column:
@@ -56,7 +64,7 @@ def _all_of(text: Column, rule: Rule) -> Column:
         found = F.struct(
             F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.structural_id).alias("rule_sid"),
             long(begin).alias("start"), long(begin + F.octet_length(m["hit"])).alias("end"), long(line).alias("start_line"), long(column).alias("start_column"),
-            long(end_line).alias("end_line"), long(end_column).alias("end_column"), m["hit"].alias("matching"), F.array(m["group"]).alias("groups"),
+            long(end_line).alias("end_line"), long(end_column).alias("end_column"), m["hit"].alias("matching"), F.array(m["group"]).alias("groups"), named(m["group"]).alias("named"),
         )
         return F.struct(
             long(begin + F.octet_length(m["hit"])).alias("at"), long(end_line).alias("line"), long(end_column).alias("column"),
@@ -67,7 +75,7 @@ def _all_of(text: Column, rule: Rule) -> Column:
         rows = F.transform(parts["hit"], lambda h, i: F.struct(F.get(parts["gap"], i).alias("gap"), h.alias("hit"), F.get(parts["group"], i).alias("group")))
         return F.aggregate(rows, start, step, lambda s: s["out"])
 
-    held = text.rlike(portable(rule.pattern))  # far cheaper than the search with gaps, and most texts have no match
+    held = text.rlike("(?md)" + portable(rule.pattern))  # far cheaper than the search with gaps, and most texts have no match
     if rule.keywords:
         any_ = F.lit(False)
         for k in rule.keywords:
@@ -76,48 +84,130 @@ def _all_of(text: Column, rule: Rule) -> Column:
     return F.when(held, let(F.struct(part(1).alias("gap"), part(2).alias("hit"), part(3).alias("group")), walk)).otherwise(empty)
 
 
-def with_columns(blobs: DataFrame, rules: Iterable[Rule], text: str = "text") -> DataFrame:
-    """``blobs`` without the text, a row for each match (MATCH). Every rule must have one group. Null texts have no match."""
-    kept = [c for c in blobs.columns if c != text]
-    found = F.concat(*[_all_of(F.coalesce(F.col(text), F.lit("")), r) for r in rules])
-    return blobs.select(*kept, F.explode(found).alias("_match")).select(*kept, "_match.*")
-
+def with_columns(blobs: DataFrame, rules: Iterable[Rule], text: str = "text", context: int | None = None) -> DataFrame:
+    """``blobs`` without the text, a row for each match (MATCH). Every rule must have one group. Null texts have no match.
 
-def with_python(blobs: DataFrame, rules: Iterable[Rule], text: str = "text", most: int | None = None) -> DataFrame:
+    ``context``: adds ``before`` and ``after``, with so many lines, from the text that the scan has at hand.
+    """
+    kept = [f"`{c}`" for c in blobs.columns if c != text]
+    found = F.concat(*[_all_of(F.coalesce(F.col(text), F.lit("")), r) for r in rules])
+    rows = blobs.select(*kept, F.col(text).alias("_text"), F.explode(found).alias("_match"))
+    if context is None:
+        return rows.select(*kept, "_match.*")
+    data = F.col("_text").cast("binary")
+    before = F.decode(F.substring(data, F.lit(1), F.col("_match.start").cast("int")), "utf-8")
+    after = F.decode(F.substring(data, (F.col("_match.end") + 1).cast("int"), F.octet_length("_text")), "utf-8")
+    return rows.select(*kept, "_match.*", context_before(before, context).alias("before"), context_after(after, context).alias("after"))
+
+
+class Tools:
+    """Compiled rules, and a machine that finds all literals which they require in one pass over a text."""
+
+    def __init__(self, rules: list[Rule]):
+        self.rules = [(r, re.compile(portable(r.pattern).encode(), re.MULTILINE), tuple(k.encode() for k in r.keywords), r.names) for r in rules]
+        self.machine = ahocorasick.Automaton()
+        needs: dict[str, set[int]] = {}
+        self.always = []
+        for k, rule in enumerate(rules):
+            found = literals(rule)
+            if found is None:
+                self.always.append(k)
+            for word in found or ():
+                needs.setdefault(word.encode().decode("latin-1"), set()).add(k)
+        for word, own in needs.items():
+            self.machine.add_word(word, frozenset(own))
+        self.any = bool(needs)
+        if self.any:
+            self.machine.make_automaton()
+
+    def candidates(self, body: bytes) -> list[int]:
+        """The rules, in order, that may match."""
+        found = set(self.always)
+        if self.any:
+            found.update(*{own for _, own in self.machine.iter(body.lower().decode("latin-1"))})
+        return sorted(found)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose ``column`` holds about ``most`` bytes, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = held = 0
+        for k, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
+def surroundings(body: bytes, start: int, end: int, lines: int) -> tuple[bytes, bytes]:
+    """The line to the left of a match and ``lines`` before it; the rest of its line and up to the ``lines``-th line end."""
+    at = start
+    for _ in range(lines + 1):
+        at = body.rfind(b"\n", 0, at)
+        if at < 0:
+            break
+    first = end + (body[end : end + 1] == b"\n")
+    last = first - 1
+    for _ in range(lines):
+        last = body.find(b"\n", last + 1)
+        if last < 0:
+            break
+    return body[at + 1 : start], body[first : last + 1 if last >= 0 else len(body)] if lines else b""
+
+
+def with_python(blobs: DataFrame, rules: Iterable[Rule], text: str = "text", most: int | None = None, context: int | None = None, whole: Iterable[str] = ()) -> DataFrame:
     """The same for any rules and for text or binary columns; groups that took no part are left out.
 
-    ``most``: matches of a blob that are kept, in the order of rules and places (none by default).
+    ``most``: matches of a blob that are kept, in the order of rules and places (none by default). ``context``: adds
+    ``before`` and ``after``, with so many lines. ``whole``: adds ``content``, the blob's text, to matches of these rules.
     """
-    rules = list(rules)
+    rules, whole = list(rules), frozenset(whole)
     kept = [f for f in blobs.schema.fields if f.name != text]
-    names = [c.split()[0] for c in MATCH.split(", ")]
+    more = ([] if context is None else ["before string", "after string"]) + (["content string"] if whole else [])
+    names = [c.split()[0] for c in [*MATCH.split(", "), *more]]
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    types = [kinds[c.split()[1]] for c in [*MATCH.split(", "), *more]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = [(r, re.compile(portable(r.pattern).encode(), re.MULTILINE), tuple(k.encode() for k in r.keywords)) for r in rules]
+        tools = Tools(rules)
         as_text = lambda b: b.decode("utf-8", "replace")
-        for batch in batches:
+        for batch in small_batches(batches, text):
             owners: list[int] = []
             rows: list[tuple] = []
             for k, content in enumerate(batch.column(text).to_pylist()):
                 body = b"" if content is None else content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content
-                place = lambda at: (body.count(b"\n", 0, at) + 1, at - body.rfind(b"\n", 0, at))  # noqa: B023, E731
+                ends: np.ndarray | None = None
                 n = 0
-                for rule, pattern, keywords in tools:
+                for rule, pattern, keywords, groups in (tools.rules[c] for c in tools.candidates(body)):
                     if keywords and not any(w in body for w in keywords):
                         continue
                     for m in pattern.finditer(body):
                         if m.start() == m.end() or (most is not None and n >= most):
                             continue
                         n += 1
+                        if ends is None:
+                            ends = np.flatnonzero(np.frombuffer(body, np.uint8) == 10)
+                        place = []
+                        for at in m.span():
+                            line = int(np.searchsorted(ends, at))
+                            place += [line + 1, at - (int(ends[line - 1]) if line else -1)]
+                        found = [(name, as_text(g)) for name, g in zip(groups, m.groups(), strict=True) if g is not None]
+                        row = [rule.id, rule.name, rule.structural_id, *m.span(), *place, as_text(m[0]), [g for _, g in found], [(name, g) for name, g in found if name]]
+                        if context is not None:
+                            row += map(as_text, surroundings(body, *m.span(), context))
+                        if whole:
+                            row.append(as_text(body) if rule.id in whole else None)
                         owners.append(k)
-                        rows.append((rule.id, rule.name, rule.structural_id, m.start(), m.end(), *place(m.start()), *place(m.end()), as_text(m[0]), [as_text(g) for g in m.groups() if g is not None]))
+                        rows.append(row)
             if rows:
-                found = [pa.array(x) for x in zip(*rows, strict=True)]
-                found[-1] = pa.array([r[-1] for r in rows], pa.list_(pa.string()))
+                found = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(pa.array(owners)) for f in kept], *found], [*[f.name for f in kept], *names])
 
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return blobs.mapInArrow(scan, ", ".join([*own, MATCH]))
+    return blobs.mapInArrow(scan, ", ".join([*own, MATCH, *more]))
 
 
 def with_ids(matches: DataFrame, blob_id: str = "blob_id") -> DataFrame:

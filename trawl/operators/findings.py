@@ -40,14 +40,18 @@ def roll_up(matches: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def facets(rows: DataFrame) -> DataFrame:
-    """Rows (facet, value, n) of findings with rule_name, categories (array) and status (null counts as ``-``)."""
+def facets(rows: DataFrame, counted: Column | None = None) -> DataFrame:
+    """Rows (facet, value, n) of findings with rule_name, categories (array) and status (null counts as ``-``).
+
+    ``counted``: only these rows are counted, though all of them give values.
+    """
     entries = F.concat(
         F.array(F.struct(F.lit("rule").alias("facet"), F.col("rule_name").alias("value"))),
         F.transform(F.coalesce("categories", F.array().cast("array<string>")), lambda c: F.struct(F.lit("category").alias("facet"), c.alias("value"))),
         F.array(F.struct(F.lit("validation").alias("facet"), F.coalesce("status", F.lit("-")).alias("value"))),
     )
-    return rows.select(F.explode(entries).alias("e")).groupBy("e.facet", "e.value").agg(F.count("*").alias("n"))
+    own = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    return rows.select(F.explode(entries).alias("e"), own.alias("own")).groupBy("e.facet", "e.value").agg(F.count_if("own").alias("n"))
 
 
 def chosen(selection: dict[str, list[str]]) -> Column:
@@ -63,9 +67,8 @@ def chosen(selection: dict[str, list[str]]) -> Column:
 
 
 def facets_under(rows: DataFrame, selection: dict[str, list[str]]) -> DataFrame:
-    """All facet values, counted over the chosen rows; values without rows count 0."""
-    counted = facets(rows.filter(chosen(selection)))
-    return facets(rows).drop("n").join(counted, ["facet", "value"], "left").select("facet", "value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """All facet values, counted over the chosen rows; values without rows count 0. The rows are read once."""
+    return facets(rows, chosen(selection))
 
 
 def first_provenance(matches: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -90,10 +93,14 @@ def unseen(blobs: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def combined(*sources: DataFrame) -> DataFrame:
-    """Blobs (blob_id, path, text) of several sources; of equal ids the first source's first path stays."""
+    """Blobs (blob_id, path, text) of several sources; of equal ids the first source's first path stays.
+
+    The winners are picked by id and path alone and texts join them: a text is moved only where its id has several rows.
+    """
     every = None
     for k, source in enumerate(sources):
         own = source.select("blob_id", "path", "text").withColumn("_source", F.lit(k))
         every = own if every is None else every.unionByName(own)
-    order = Window.partitionBy("blob_id").orderBy("_source", "path")
-    return every.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_source")
+    winners = every.groupBy("blob_id").agg(F.min(F.struct("_source", "path")).alias("_first"), F.count("*").alias("_n"))
+    winners = winners.select("blob_id", "_first._source", "_first.path")
+    return every.join(winners, ["blob_id", "_source", "path"], "left_semi").dropDuplicates(["blob_id"]).drop("_source")

@@ -145,6 +145,10 @@ def dependencies(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
         names = F.json_object_keys(F.get_json_object(F.col(text), f"$.{section}"))
         own = df.filter(F.contains(F.col(text), F.lit(f'"{section}"'))).select(*keys, F.explode(names).alias("value"), F.col(text).alias("_text"), F.lit(section).alias("detail"))
         listed = own if listed is None else listed.unionByName(own)
+    paths = F.filter(F.json_object_keys(F.get_json_object(F.col(text), "$.packages")), lambda k: F.contains(k, F.lit("node_modules/")))
+    locked = df.filter(F.contains(F.col(text), F.lit('"packages"'))).select(*keys, F.explode(paths).alias("_path"), F.col(text).alias("_text"), F.lit("lockfile packages").alias("detail"))
+    locked = locked.select(*keys, F.substring_index("_path", "node_modules/", -1).alias("value"), "_text", "detail")
+    listed = listed.unionByName(locked)
     before = F.call_function("substring_index", F.col("_text"), F.concat(F.lit('"'), F.col("value"), F.lit('"')), F.lit(1))
     listed = listed.select(
         *keys, F.lit("dependency").alias("category"), F.lit("").alias("method"), "value", "detail", F.lit("info").alias("confidence"),
@@ -155,18 +159,33 @@ def dependencies(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return first.select(*keys, "category", "method", "value", "_at.detail", "confidence", "_at.line", "_at.column")
 
 
+MAP = "sources array<string>, sourcesContent array<string>"
+
+
+def _data(reference: Column) -> Column:
+    """The content of a ``data:`` address in base64 or percent form; null where it is damaged."""
+    payload = F.regexp_extract(reference, r"(?s)\A[^,]*,(.*)\z", 1)
+    coded = F.lower(F.regexp_extract(reference, r"\A([^,]*),", 1))
+    return F.when(F.contains(coded, F.lit(";base64")), F.try_to_binary(payload, F.lit("base64")).cast("string")).otherwise(F.try_url_decode(F.replace(payload, F.lit("+"), F.lit("%2B"))))
+
+
 def source_maps(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """References to source maps outside the text."""
+    """References to source maps: those outside the text by address, those within it by the number of sources they hold."""
     found = _found(df.select(*keys, text), text, SOURCE_MAP, 1, _before_last_group(0, "g1"))
     value = F.regexp_replace(F.col("g1"), r"\*/\z", "")
-    return distinct(_artifacts(found.filter(~F.col("g1").startswith("data:")), keys, "source_map", F.lit(""), value, F.lit("external source map reference")), keys)
+    within = F.col("g1").startswith("data:")
+    outside = _artifacts(found.filter(~within), keys, "source_map", F.lit(""), value, F.lit("external source map reference"))
+    parsed = F.from_json(_data(value), MAP)
+    held = F.size(F.filter(F.coalesce(parsed["sourcesContent"], F.array().cast("array<string>")), lambda c: c != ""))
+    inline = found.filter(within).withColumn("_held", F.when(parsed.isNotNull(), held)).filter("_held is not null")
+    inline = _artifacts(inline, keys, "source_map", F.lit(""), F.lit("inline source map"), F.concat(F.col("_held").cast("string"), F.lit(" embedded source file(s)")))
+    return distinct(outside.unionByName(inline), keys)
 
 
 def embedded_sources(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Rows (keys, path, content) of the sources in base64 source maps within the text."""
-    found = _found(df.select(*keys, text), text, SOURCE_MAP, 1).filter(F.col("g1").rlike(r"(?i)\Adata:[^,]*;base64,"))
-    decoded = F.decode(F.unbase64(F.substring_index("g1", ",", -1)), "utf-8")
-    parsed = F.from_json(decoded, "sources array<string>, sourcesContent array<string>")
+    """Rows (keys, path, content) of the sources in source maps within the text, in base64 or percent form."""
+    found = _found(df.select(*keys, text), text, SOURCE_MAP, 1).filter(F.col("g1").startswith("data:"))
+    parsed = F.from_json(_data(F.regexp_replace(F.col("g1"), r"\*/\z", "")), MAP)
     rows = found.select(*keys, parsed.alias("m")).select(*keys, "m.sources", F.posexplode("m.sourcesContent").alias("i", "content")).filter("content <> ''")
     name = F.coalesce(F.get("sources", F.col("i")), F.lit(""))
     clean = F.regexp_replace(F.regexp_replace(F.trim(name), r"\Awebpack://", ""), r"\A\./", "")
@@ -175,6 +194,15 @@ def embedded_sources(df: DataFrame, keys: list[str], text: str = "text") -> Data
     return rows.select(*keys, path.alias("path"), "content")
 
 
+def analyze(df: DataFrame, keys: list[str], text: str = "text", secrets: bool = False) -> DataFrame:
+    """The artifacts of all extractors, of equal ones of a text the first; ``secrets`` adds the heuristic for secrets."""
+    found = endpoints(df, keys, text)
+    for extractor in (cloud_urls, subdomains, dependencies, source_maps, *([generic_secrets] if secrets else [])):
+        found = found.unionByName(extractor(df, keys, text))
+    first = found.groupBy(*keys, "category", "method", "value", "detail").agg(F.min(F.struct("line", "column", "confidence")).alias("_at"))
+    return first.select(*keys, "category", "method", "value", "detail", F.coalesce("_at.confidence", F.lit("info")).alias("confidence"), "_at.line", "_at.column")
+
+
 def generic_secrets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Assignments to names that sound secret; the value is masked, and its entropy sets the confidence."""
     found = _found(df.select(*keys, text), text, SECRET, 2, _before_last_group(1))

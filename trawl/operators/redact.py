@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.functions.ranks import numbered
+
 # What is looked for.
 URL = r"https?://[^\s\"'<>\\)]+"
 HOSTNAME = r"\b(?:[A-Za-z0-9-]{2,}\.)+[A-Za-z]{2,}\b"
@@ -17,30 +19,90 @@ RANDOM = r"\b[A-Za-z0-9_/\-+=]{32,}\b"
 REVIEWED = ("js", "mjs", "cjs", "json", "map", "jsx", "ts", "tsx")
 
 
+#: Beginnings of placeholders, which are no random values.
+PLACEHOLDER = r"(?:TARGET|EXTERNAL)_(?:ORIGIN|HOST)_|(?:ORIGIN|HOST|SECRET_VALUE|COOKIE_VALUE)_REDACTED|SECRET_CANDIDATE|HIGH_ENTROPY_VALUE_REDACTED|FILE_"
+
+
+def _random_replaced(text: Column) -> Column:
+    """Long random values as marks that tell their length; placeholders stay."""
+    found = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(rf"({RANDOM})"), F.lit(1)), lambda v: ~v.rlike(rf"\A(?:{PLACEHOLDER})")))
+    mark = lambda v: F.concat(F.lit("HIGH_ENTROPY_VALUE_REDACTED_LEN_"), F.length(v).cast("string"))
+    longest = F.array_sort(found, lambda x, y: F.when(F.length(x) > F.length(y), -1).when(F.length(x) < F.length(y), 1).when(x < y, -1).when(x > y, 1).otherwise(0))
+    return F.aggregate(longest, text, lambda out, v: F.replace(out, v, mark(v)))
+
+
 def redacted(text: Column, standard: bool = True) -> Column:
     """The text with hosts, credentials and (in the standard mode) long random values replaced.
 
-    Placeholders carry no numbers, so the same text gives the same result wherever it stands; ``numbered``
-    gives hosts their numbers.
+    Placeholders carry no numbers and no lengths, so the same text gives the same result wherever it stands;
+    ``numbered_text`` gives them both.
     """
     out = F.regexp_replace(text, URL, "ORIGIN_REDACTED")
     out = F.regexp_replace(out, HOSTNAME, "HOST_REDACTED")
-    out = F.regexp_replace(out, AUTH, "$1$2 SECRET_VALUE_REDACTED")
+    out = _credentials(out, "SECRET_CANDIDATE")
+    return F.regexp_replace(out, RANDOM, "HIGH_ENTROPY_VALUE_REDACTED") if standard else out
+
+
+def _credentials(text: Column, candidate: str) -> Column:
+    out = F.regexp_replace(text, AUTH, "$1$2 SECRET_VALUE_REDACTED")
     out = F.regexp_replace(out, COOKIE, "$1COOKIE_VALUE_REDACTED")
     out = F.regexp_replace(out, QUERY_SECRET, "$1SECRET_VALUE_REDACTED")
-    out = F.regexp_replace(out, SECRET, "$1SECRET_CANDIDATE")
-    return F.regexp_replace(out, RANDOM, "HIGH_ENTROPY_VALUE_REDACTED") if standard else out
+    return F.regexp_replace(out, SECRET, f"$1{candidate}")
 
 
-def hosts(df: DataFrame, key: str, targets: list[str], text: str = "text") -> DataFrame:
-    """Rows (host, placeholder): every host of the corpus, numbered by its first text and name."""
-    from pyspark.sql.window import Window
+def _numbered_names(df: DataFrame, key: str, found: Column, targets: list[str], kind: str, host: Column) -> DataFrame:
+    """Rows (name, placeholder) of the names in ``found`` (an array), numbered by first text, place there, and kind."""
+    rows = df.select(key, F.posexplode(found).alias("at", "name"))
+    first = rows.groupBy("name").agg(F.min(F.struct(F.col(key).alias("text"), "at")).alias("first"))
+    own = host.isin(*[t.lower() for t in targets]) if targets else F.lit(False)
+    named = first.select("name", F.col("first.text").alias("text"), F.col("first.at").alias("at"), F.when(own, F.lit("TARGET")).otherwise(F.lit("EXTERNAL")).alias("kind"))
+    return numbered(named, ["text", "at", "name"], keys=("kind",)).select("name", F.concat("kind", F.lit(f"_{kind}_"), F.col("number").cast("string")).alias("placeholder"))
 
+
+def origins(df: DataFrame, key: str, targets: list[str], text: str = "text") -> DataFrame:
+    """Rows (origin, placeholder): every origin of a URL in the corpus, numbered in the order in which they are met."""
+    urls = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"({URL})"), F.lit(1))
+    found = F.transform(urls, lambda u: F.regexp_extract(u, r"\A(https?://[^/?#]+)", 1))
+    host = F.lower(F.regexp_replace(F.regexp_extract("name", r"\Ahttps?://(?:[^@]*@)?([^/?#]*)", 1), r":[0-9]*\z", ""))
+    return _numbered_names(df, key, found, targets, "ORIGIN", host).withColumnRenamed("name", "origin")
+
+
+def hosts(df: DataFrame, key: str, targets: list[str], text: str = "text") -> DataFrame:
+    """Rows (host, placeholder): every host of the corpus, numbered by its first text and name, without a sort in one task."""
     found = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(rf"({HOSTNAME})"), F.lit(1))).alias("host")).select(key, F.lower("host").alias("host"))
     first = found.groupBy("host").agg(F.min(key).alias("first"))
     kind = F.when(F.col("host").isin(*targets), F.lit("TARGET_HOST_")).otherwise(F.lit("EXTERNAL_HOST_")) if targets else F.lit("EXTERNAL_HOST_")
-    named = first.withColumn("kind", kind)
-    return named.select("host", F.concat("kind", F.row_number().over(Window.partitionBy("kind").orderBy("first", "host")).cast("string")).alias("placeholder"))
+    named = numbered(first.withColumn("kind", kind), ["first", "host"], keys=("kind",))
+    return named.select("host", F.concat("kind", F.col("number").cast("string")).alias("placeholder"))
+
+
+def numbered_text(df: DataFrame, key: str, targets: list[str], text: str = "text", standard: bool = True) -> DataFrame:
+    """``df`` with ``redacted``: origins and hosts by their numbers, candidates numbered within the text.
+
+    The numbers come from two tables of names; each text joins the names it holds, so the names of the corpus are in no one place.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    numbers = origins(df, key, targets, text).withColumnRenamed("origin", "name")
+    plain = df.withColumn("_plain", F.regexp_replace(body, URL, " "))
+    numbers = numbers.unionByName(hosts(plain.drop(text).withColumnRenamed("_plain", text), key, targets, text).withColumnRenamed("host", "name"))
+    urls = F.transform(F.regexp_extract_all(body, F.lit(rf"({URL})"), F.lit(1)), lambda u: F.regexp_extract(u, r"\A(https?://[^/?#]+)", 1))
+    own = F.transform(F.regexp_extract_all(F.regexp_replace(body, URL, " "), F.lit(rf"({HOSTNAME})"), F.lit(1)), F.lower)
+    names = df.select(key, F.explode(F.array_distinct(F.concat(urls, own))).alias("name")).join(numbers, "name")
+    table = names.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "placeholder"))).alias("_names"))  # the names of one text
+    joined = df.join(table, key, "left")
+
+    def replaced(pattern: str, value, name) -> Column:
+        """The text with each match of a pattern exchanged by its name's placeholder and what follows the name."""
+        gaps, hits = (F.regexp_extract_all(value, F.lit(rf"((?s:.*?))((?:{pattern})|\z)"), F.lit(k)) for k in (1, 2))
+        put = lambda h: F.when(h == "", h).otherwise(F.concat(F.coalesce(F.try_element_at("_names", name(h)), name(h)), F.substring(h, F.length(name(h)) + 1, F.length(h))))
+        return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, put(h))), "")
+
+    out = replaced(URL, body, lambda u: F.regexp_extract(u, r"\A(https?://[^/?#]+)", 1))
+    out = replaced(HOSTNAME, out, F.lower)
+    out = _credentials(out, "SECRET_CANDIDATE_#")
+    parts = F.split(out, "SECRET_CANDIDATE_#", -1)
+    out = F.array_join(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.concat(F.lit("SECRET_CANDIDATE_"), k.cast("string"), p))), "")
+    return joined.withColumn("redacted", _random_replaced(out) if standard else out).drop("_names")
 
 
 def reviewed(url: Column) -> Column:

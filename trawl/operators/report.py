@@ -47,9 +47,53 @@ def sarif_results(matches: DataFrame, path: Column) -> DataFrame:
     return matches.select("structural_id", F.to_json(result).alias("json"))
 
 
-def write_sarif(matches: DataFrame, path: Column, rules: DataFrame, folder: str) -> None:
-    """A folder with ``rules`` (one JSON driver) and ``results`` (JSON lines): a SARIF log in parts that no task holds whole."""
-    driver = rules.agg(F.array_sort(F.collect_list(F.struct("id", "name", F.struct(F.coalesce("description", F.lit("")).alias("text")).alias("shortDescription")))).alias("rules"))
-    head = driver.select(F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.struct(F.lit("trawl").alias("name"), "rules").alias("driver"))).alias("value"))
-    head.write.mode("errorifexists").text(f"{folder}/rules")
-    sarif_results(matches, path).select(F.col("json").alias("value")).write.mode("errorifexists").text(f"{folder}/results")
+def sarif_rules(rules: DataFrame) -> DataFrame:
+    """A row (id, json) for each rule as a SARIF log describes it; the first reference is its help address."""
+    help_uri = F.get(F.coalesce("references", F.array().cast("array<string>")), 0)
+    text = F.struct(F.coalesce("description", F.lit("")).alias("text"))
+    return rules.select("id", F.to_json(F.struct("id", "name", text.alias("shortDescription"), help_uri.alias("helpUri"))).alias("json"))
+
+
+def write_sarif(matches: DataFrame, path: Column, rules: DataFrame, file: str) -> None:
+    """One valid SARIF log: the parts are written by Spark and put together behind each other in the file system.
+
+    The driver copies streams and holds no part whole; ``file`` appears under its name when it is complete.
+    """
+    spark, temporary = matches.sparkSession, f"{file}.parts"
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"trawl","rules":['
+    sarif_rules(rules).orderBy("id").select(F.col("json").alias("value")).write.mode("overwrite").text(f"{temporary}/rules")
+    sarif_results(matches, path).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{temporary}/results")
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(file)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{temporary}/log"))
+    for name, before in (("rules", head), ("results", ']}},"results":[')):
+        out.write(bytearray(before.encode()))
+        first = True
+        for status in sorted(fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{temporary}/{name}")), key=lambda s: s.getPath().getName()):
+            if status.getPath().getName().startswith("part-") and status.getLen():
+                lines = fs.open(status.getPath())
+                reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(lines, "UTF-8"))
+                while (line := reader.readLine()) is not None:
+                    out.write(bytearray((("" if first else ",") + line).encode()))
+                    first = False
+                reader.close()
+    out.write(bytearray(b"]}]}"))
+    out.close()
+    fs.delete(where, False)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{temporary}/log"), where)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(temporary), True)
+
+
+def rendered(matches: DataFrame, most: int = 500) -> DataFrame:
+    """Lines (finding_id, rank, line) of a report for people: a head for each finding, and its first three matches as snippets.
+
+    ``matches`` have ``before`` and ``after``.
+    """
+    from trawl.operators.findings import first_matches
+
+    heads = matches.groupBy("finding_id").agg(F.min("rule_name").alias("name"), F.min("rule_id").alias("rule"), F.min("groups").alias("groups"), F.count("*").alias("n"))
+    head = heads.select("finding_id", F.lit(0).alias("rank"), F.concat("name", F.lit(" ("), "rule", F.lit("): "), F.array_join("groups", ", "), F.lit(", "), F.col("n").cast("string"), F.lit(" matches")).alias("line"))
+    place = F.concat(F.substring("blob_id", 1, 12), F.lit(":"), F.col("start_line").cast("string"), F.lit(":"), F.col("start_column").cast("string"), F.lit(": "))
+    shown = first_matches(matches).select("finding_id", "rank", F.concat(place, snippet(F.col("before"), F.col("matching"), F.col("after"), most)).alias("line"))
+    return head.unionByName(shown)

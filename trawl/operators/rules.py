@@ -8,11 +8,14 @@ import re
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
+from re import _parser
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.operators import pack as _pack
+
 SCHEMA = (
     "id string, name string, pattern string, structural_id string, description string, examples array<string>, "
     "negative_examples array<string>, references array<string>, categories array<string>, keywords array<string>"
@@ -35,6 +38,10 @@ class Rule:
     def structural_id(self) -> str:
         return hashlib.sha1(re.sub(r"\(\?P<[^>]+>", "(", self.pattern).encode()).hexdigest()
 
+    @property
+    def names(self) -> list[str | None]:
+        return group_names(self.pattern)
+
 
 @dataclass(frozen=True)
 class Ruleset:
@@ -65,6 +72,22 @@ BUILTIN = (
     Rule("tr.client-secret.1", "Client secret literal", r"(?i)\bclient[_-]?secret\s*[:=]\s*[\"']([^\"'\s]{8,256})[\"']", categories=("secret", "fuzzy"), examples=("client_secret: 'a8f5f167f44f4964e6c998dee827110c'",), negative_examples=("client_secret",)),
 )
 
+#: Rules whose matches need more than their own text to be judged: a token next to its service, and a password's wrapper.
+SCANNED = (
+    Rule("tr.linkedin.1", "LinkedIn token", r"\b(AQ[A-Za-z0-9_-]{60,500})\b", categories=("api", "secret", "fuzzy"), examples=("linkedin token AQ" + "x1Y2" * 20,), negative_examples=("AQshort",)),
+    Rule(
+        "tr.js.crypto.1", "Password encryption in a script",
+        r"function\s+(?P<encryptor>[A-Za-z_$][\w$]*)\s*\([^)]{0,80}\)\s*\{[^{}]{0,400}?CryptoJS\.AES\.encrypt\([^;{}]{0,200}?(?:parse\(\s*[\"'](?P<static_key>[^\"']{8,32})[\"']\s*\)|parse\(\s*(?P<key_source>[A-Za-z_$][\w$]*)\s*\))",
+        categories=("secret", "fuzzy"), examples=("function enc(p) { return CryptoJS.AES.encrypt(p, CryptoJS.enc.Utf8.parse('0123456789abcdef')); }",), negative_examples=("function enc(p) { return p; }",),
+    ),
+)
+
+
+def pack() -> tuple[Rule, ...]:
+    """All built-in rules: the first pack, formats by prefix and by neighbourhood, and those that a scan judges by context."""
+    return (*BUILTIN, *SCANNED, *_pack.rules_of(lambda id, name, pattern, categories: Rule(id, name, pattern, categories=categories)))
+
+
 RULESETS = (
     Ruleset("default", "Secrets", tuple(r.id for r in BUILTIN if "secret" in r.categories)),
     Ruleset("identifiers", "Identifiers", tuple(r.id for r in BUILTIN if "identifier" in r.categories)),
@@ -86,13 +109,15 @@ def parse_rulesets(text: str) -> list[Ruleset]:
 
 
 def load(path: str | Path) -> list[Rule]:
-    """Rules of a YAML file, or of all YAML files below a folder; an error if there are none or an id repeats."""
-    where = Path(path)
-    files = [where] if where.is_file() else sorted(p for p in where.rglob("*") if p.suffix in (".yml", ".yaml"))
-    rules = [r for f in files for r in parse_rules(f.read_text(encoding="utf-8"))]
+    """Rules of a YAML file, or of all YAML files below a folder; an error if there are none, an id repeats or a rule is bad.
+
+    ``load_report`` gives the good ones all the same.
+    """
+    rules, bad = load_report(path)
+    if bad:
+        raise ValueError(f"rule {bad[0][0]}: {bad[0][1]}" + (f", and {len(bad) - 1} more" if bad[1:] else ""))
     if not rules:
         raise ValueError(f"no rules in {path}")
-    check(rules)
     return rules
 
 
@@ -130,12 +155,8 @@ def check_ruleset(ruleset: Ruleset, rules: Iterable[Rule]) -> None:
         raise ValueError(f"ruleset {ruleset.id}: unknown rules {missing}")
 
 
-def portable(pattern: str) -> str:
-    """The pattern without extended mode, comments and group names, as Java, RE2 and Python read it alike.
-
-    White space and ``#`` comments go only if the pattern begins with flags that hold ``x``.
-    """
-    pattern = re.sub(r"\(\?P<[^>]+>", "(", pattern)
+def _without_extended(pattern: str) -> str:
+    """The pattern without white space and ``#`` comments, if it begins with flags that hold ``x``."""
     pattern = re.sub(r"\(\?#[^)]*\)", "", pattern)
     flags = re.match(r"\(\?([a-z]+)\)", pattern)
     if not flags or "x" not in flags[1]:
@@ -164,6 +185,126 @@ def portable(pattern: str) -> str:
     return (f"(?{rest})" if rest else "") + "".join(out)
 
 
+#: The parts of a pattern that matter for groups: an escape, a class, flags for the rest, a way into a group, an end, a choice.
+_PARTS = re.compile(r"\\k(?:<(?P<k1>\w+)>|\{(?P<k2>\w+)\})|(\\.)|(\[\^?\]?(?:\\.|\[:[a-z]+:\]|[^\]\\])*\])|\(\?([a-zA-Z-]+)\)|\(\?P=(\w+)\)|(\((?:\?(?:P?<(?![=!])(\w+)>|[:=!>]|<[=!]|[a-z-]+:))?)|(\))|(\|)", re.DOTALL)
+
+
+def _walked(pattern: str) -> tuple[str, list[str | None]]:
+    """The pattern with numbered groups and flags in scopes of their own, and the groups' names in order."""
+    out: list[str] = []
+    names: list[str | None] = []
+    scopes: list[list[str]] = [[]]  # the flags that each open group has taken on
+    at = 0
+    for m in _PARTS.finditer(pattern):
+        out.append(pattern[at : m.start()])
+        at = m.end()
+        flags, back, opening, name, closing, choice = m[5], m[6] or m["k1"] or m["k2"], m[7], m[8], m[9], m[10]
+        if flags and m.start() == 0:
+            out.append(m[0])
+        elif flags:
+            scopes[-1].append(flags)
+            out.append(f"(?{flags}:")
+        elif back:
+            out.append(f"(?:\\{names.index(back) + 1})")
+        elif opening:
+            plain = opening == "(" or name
+            names += [name] if plain else []
+            scopes.append([])
+            out.append("(" if plain else opening)
+        elif closing:
+            out.append(")" * (len(scopes.pop()) + 1) if len(scopes) > 1 else ")")
+        elif choice:
+            out.append(")" * len(scopes[-1]) + "|" + "".join(f"(?{f}:" for f in scopes[-1]))
+        else:
+            out.append(m[0])
+    return "".join([*out, pattern[at:], ")" * len(scopes[0])]), names
+
+
+def portable(pattern: str) -> str:
+    """The pattern without extended mode, comments and group names, as Java, RE2 and Python read it alike.
+
+    White space and ``#`` comments go only if the pattern begins with flags that hold ``x``. Flags in mid-pattern, which
+    reach to the end of their group, become groups with flags; references to named groups become numbers.
+    """
+    return _walked(_without_extended(pattern))[0]
+
+
+def group_names(pattern: str) -> list[str | None]:
+    """The name of each capture group, None for those without."""
+    return _walked(_without_extended(pattern))[1]
+
+
+def problem(rule: Rule) -> str | None:
+    """What keeps a rule from being used, if anything does."""
+    if not (rule.id and rule.name and rule.pattern):
+        return "id, name and pattern are required"
+    try:
+        re.compile(portable(rule.pattern).encode())
+    except (re.error, ValueError) as e:
+        return str(e)
+    return None
+
+
+def load_report(path: str | Path) -> tuple[list[Rule], list[tuple[str, str]]]:
+    """The rules of a file or folder that can be used, and (id, problem) of the others; of equal ids the first stays."""
+    where = Path(path)
+    files = [where] if where.is_file() else sorted(p for p in where.rglob("*") if p.suffix in (".yml", ".yaml"))
+    good: dict[str, Rule] = {}
+    bad: list[tuple[str, str]] = []
+    for file in files:
+        try:
+            found = parse_rules(file.read_text(encoding="utf-8"))
+        except (yaml.YAMLError, TypeError) as e:
+            bad.append((file.name, str(e)))
+            continue
+        for rule in found:
+            why = "the id occurs twice" if rule.id in good else problem(rule)
+            if why:
+                bad.append((rule.id, why))
+            else:
+                good[rule.id] = rule
+    return list(good.values()), bad
+
+
+#: Literals shorter than this occur in nearly every text.
+LEAST_LITERAL = 3
+
+
+def _needed(parsed) -> frozenset[str] | None:
+    """Literals, in lower case, of which every match of a parsed pattern holds one; None if there is no such set."""
+    best: frozenset[str] | None = None
+    run = ""
+
+    def better(some: frozenset[str] | None) -> None:
+        nonlocal best
+        if some and (best is None or (min(map(len, some)), -len(some)) > (min(map(len, best)), -len(best))):
+            best = some
+
+    for op, value in [*parsed, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(value).lower()
+            continue
+        if run:
+            better(frozenset([run]))
+        run = ""
+        if name == "SUBPATTERN":
+            better(_needed(value[3]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            better(_needed(value[2]))
+        elif name == "ATOMIC_GROUP":
+            better(_needed(value))
+        elif name == "BRANCH":
+            parts = [_needed(p) for p in value[1]]
+            better(frozenset().union(*parts) if all(parts) else None)
+    return best if best and min(map(len, best)) >= LEAST_LITERAL else None
+
+
+def literals(rule: Rule) -> frozenset[str] | None:
+    """Literals in lower case, one of which every text with a match holds (in any case); None if the pattern names none."""
+    return _needed(_parser.parse(portable(rule.pattern)))
+
+
 def frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """The rules as a small table."""
     return spark.createDataFrame([tuple({**asdict(r), "structural_id": r.structural_id}[c.split()[0]] for c in SCHEMA.split(", ")) for r in rules], SCHEMA)

@@ -48,12 +48,17 @@ class _Page(HTMLParser):
             self.kind = None
 
 
-def script_links(text: str) -> list[str]:
-    """Files that a script names: source maps, quoted names, chunks of a bundler."""
-    prefix = (PUBLIC_PATH.findall(text) or [""])[-1]
+def script_literals(text: str) -> tuple[str, list[str]]:
+    """The public path of a script's bundler (the last one), and the files it names: source maps, quoted names, chunks."""
     found = SOURCE_MAP.findall(text) + QUOTED.findall(text)
     for before, between, entries, after in CHUNKS.findall(text):
         found += [f"{before}{k}{between}{name}{after}" for k, name in CHUNK.findall(entries)]
+    return (PUBLIC_PATH.findall(text) or [""])[-1], found
+
+
+def script_links(text: str) -> list[str]:
+    """Files that a script names, below its public path."""
+    prefix, found = script_literals(text)
     return [u if not prefix or re.match(r"[a-z]+:|/|\.", u) else prefix.rstrip("/") + "/" + u for u in found]
 
 
@@ -103,18 +108,25 @@ def map_candidates(asset: str = "asset"):
     return F.array_distinct(F.array(F.concat(plain, F.lit(".map")), F.concat(plain, F.lit(".map"), query)))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, rounds: int = 10) -> DataFrame:
-    """Rows (url, depth) reached from ``seeds`` (url) through assets that ``pages`` (url, html) holds.
+def crawl(pages: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Rows (url, depth) reached from ``seeds`` (url) through assets that ``pages`` (url, html) holds, to the end.
 
-    Each round joins the frontier with the pages and drops what was met before. The known set is written
-    between rounds, so a round's plan does not hold the earlier ones.
+    Pages give their assets, scripts and manifests theirs. Each round joins the frontier with the pages and drops what was
+    met before; it ends when nothing is new. ``rounds``: stop after so many; what they reached but did not read is then
+    the rows of the greatest depth. The known set is written between rounds, so a round's plan does not hold the earlier ones.
     """
+    from trawl.operators import asseturls
     from trawl.plans.store import stored
 
     known = stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    frontier = known
-    for depth in range(1, rounds + 1):
-        reached = assets(pages.join(frontier.select("url"), "url", "left_semi").select("url", "html")).select(F.col("asset").alias("url")).distinct()
+    frontier, depth = known, 0
+    is_file = F.lower(F.regexp_extract("url", r"\A[^?#]*", 0)).rlike(r"\.(js|mjs|json|map)\z")
+    while rounds is None or depth < rounds:
+        depth += 1
+        read = stored(pages.join(frontier.select("url"), "url", "left_semi").select("url", "html"))
+        of_pages = assets(read.filter(~is_file)).select(F.col("asset").alias("url"))
+        of_files = asseturls.files(read.filter(is_file)).select(F.col("asset").alias("url"))
+        reached = of_pages.union(of_files).distinct()
         frontier = stored(reached.join(known, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trawl.functions import ids, text, urls
-from trawl.operators import aesflow, detect, findings, jsintel, redact, report, rules, suppress, webassets
-from trawl.plans.store import shared_folder
+from trawl.functions.ranks import numbered
+from trawl.operators import aesflow, asseturls, chunks, detect, findings, jsintel, redact, report, rules, scan, suppress, triage, webassets
+from trawl.plans.store import Store, contents, keep_contents, shared_folder
+from trawl.plans import store as stores
 from trawl.sources import blobs as sources
 from trawl.sources import extract
 from trawl.streaming import scan as streaming
@@ -86,12 +88,7 @@ def match_one(rule_id: str):
 
 
 def match_context(spark, d):
-    body = documents(spark, d).select("doc_id", F.col("text").alias("content"))
-    rows = detect.with_columns(documents(spark, d).select("doc_id", "text"), PACK[:3]).join(body, "doc_id")
-    data = F.col("content").cast("binary")
-    before = F.decode(F.substring(data, F.lit(1), F.col("start").cast("int")), "utf-8")
-    after = F.decode(F.substring(data, (F.col("end") + 1).cast("int"), F.octet_length("content")), "utf-8")
-    return rows.select("doc_id", "rule_id", "start", text.context_before(before, CONTEXT).alias("before"), text.context_after(after, CONTEXT).alias("after"))
+    return detect.with_columns(documents(spark, d).select("doc_id", "text"), PACK[:3], context=CONTEXT).select("doc_id", "rule_id", "start", "before", "after")
 
 
 def dedup_content(spark, d):
@@ -132,10 +129,8 @@ def mask_values(spark, d):
 
 
 def suppress_prompts(spark, d):
-    turn = table(spark, d, "conversations")
-    kinds = [F.lit("Please enter password"), F.lit("请输入密码"), F.lit("hunter2password"), F.lit("password required！"), F.substring("text", 1, 40)]
-    value = F.element_at(F.array(*kinds), (F.col("turn") % 5 + 1).cast("int"))
-    return turn.select("conv_id", "turn", suppress.is_password_prompt(value).alias("prompt"))
+    """Every turn of every conversation, whole, as a candidate for a password."""
+    return table(spark, d, "conversations").select("conv_id", "turn", suppress.is_password_prompt(F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
 def rule_include_exclude(spark, d):
@@ -294,6 +289,204 @@ def password_flow(spark, d):
     return found.select("blob_id", "start", "end", "encryptor", "argument", "is_literal", "aes_key")
 
 
+#: Rules whose groups have names, and one that stands on lines of its own.
+NAMED = rules.Rule("tr.address.1", "Address", r"\b(?P<user>[A-Za-z0-9._%+-]+)@(?P<host>[A-Za-z0-9.-]+\.[A-Za-z]{2,24})\b")
+ANCHORED = rules.Rule("tr.line.1", "Licence line alone", r"^((?:Licensed|Released) under [^\n]*)$")
+#: Overlapping chunks of a scan, small enough for the driver's texts to have several.
+SMALL, SHARED = 4096, 3
+
+
+def scanned(spark, d):
+    """The whole way over all documents."""
+    return scan.scan(documents(spark, d).select("blob_id", "text"), rules.BUILTIN)
+
+
+def scan_full(spark, d):
+    return scanned(spark, d).select("blob_id", "rule_id", "start", "end", "start_line", F.get("groups", 0).alias("secret"), "structural_id", "finding_id")
+
+
+def suppressed(spark, d):
+    """Matches that stay, before anything is dropped as a copy."""
+    rows = detect.with_python(documents(spark, d).select("doc_id", "text"), rules.BUILTIN, context=CONTEXT)
+    return suppress.unsuppressed(rows).select("doc_id", "rule_id", "start", "end")
+
+
+def named_groups(spark, d):
+    rows = detect.with_python(documents(spark, d).select("doc_id", "text"), [NAMED])
+    return rows.select("doc_id", "start", F.col("named")["user"].alias("user"), F.col("named")["host"].alias("host"), F.size("groups").alias("n_groups"))
+
+
+def match_anchored(spark, d):
+    """Anchors stand for the ends of lines in either plan."""
+    docs = documents(spark, d).select("doc_id", "text")
+    both = [plan(docs, [ANCHORED]).select("doc_id", "start", "end", F.lit(name).alias("plan")) for name, plan in (("columns", detect.with_columns), ("python", detect.with_python))]
+    return both[0].unionByName(both[1])
+
+
+def match_pack(spark, d):
+    """All documents by all rules with one group: about three hundred."""
+    rows = detect.with_python(documents(spark, d).select("doc_id", "text"), [r for r in rules.pack() if len(r.names) == 1])
+    return rows.select("doc_id", "rule_id", "start", "end", F.get("groups", 0).alias("secret"))
+
+
+def scan_chunked(spark, d):
+    """Found in overlapping chunks, told as places in the document."""
+    found_ = chunks.scan(documents(spark, d).select("blob_id", "text"), PACK, size=SMALL, overlap=SHARED)
+    return found_.select("structural_id", "rule_id", "blob_id", "start", "end", "start_line", "end_line")
+
+
+def rule_stats(spark, d):
+    rows = detect.with_python(chunks.with_overlap(documents(spark, d).select("blob_id", "text").dropDuplicates(["blob_id"]), size=SMALL, overlap=0), PACK)
+    return triage.merged_stats(chunks.rule_stats(rows)).select("rule_id", "state", "n_matches")
+
+
+def _half(spark, d):
+    """Findings of all documents, and matches in the odd ones only; a third of those with ids of another kind."""
+    rows = detect.first_by_place(found(spark, d), ["doc_id"])
+    whole = rows.groupBy("finding_id", "rule_id", "groups").agg(F.min("rule_name").alias("rule_name"))
+    own = rows.filter("doc_id % 2 = 1").withColumn("finding_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("old-"), "finding_id")).otherwise(F.col("finding_id")))
+    return whole, own
+
+
+def report_rows(spark, d):
+    return triage.report_rows(*_half(spark, d)).select("finding_id", "rule_id", F.get("groups", 0).alias("secret"), "by", "structural_id", "start")
+
+
+def provenance_all(spark, d):
+    docs = documents(spark, d)
+    prov = docs.select("blob_id", F.col("doc_id").alias("prov_id"), F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return triage.all_provenance(detect.first_by_place(found(spark, d)), prov).select("structural_id", "path", "place")
+
+
+def _overview(spark, d):
+    labels = table(spark, d, "labels")
+    rows = detect.first_by_place(validated(spark, d), ["doc_id"])
+    notes = rows.filter("doc_id % 2 = 0").select("finding_id").distinct()
+    notes = notes.select(F.lit("finding").alias("target_type"), F.col("finding_id").alias("target_id"), F.lit("accept").alias("status"), F.lit("seen").alias("comment"))
+    prov = documents(spark, d).select("blob_id", F.col("doc_id").alias("prov_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return triage.overview(rows, rules.frame(spark, PACK), notes, prov)
+
+
+def annotations_join(spark, d):
+    return _overview(spark, d).select("finding_id", "n_matches", "n_blobs", "status", F.round("confidence", 6).alias("confidence"), "annotation", "path")
+
+
+def findings_sorted(spark, d):
+    """The places of findings in the order by number of matches, greatest first."""
+    rows = _overview(spark, d).select("finding_id", "rule_name", "n_matches", (-F.col("n_matches")).alias("_order"))
+    return numbered(rows, ["_order", "rule_name", "finding_id"], "place").select("finding_id", "n_matches", "place")
+
+
+def scan_counters(spark, d):
+    return triage.counters(table(spark, d, "documents"), F.octet_length("text"), text.is_binary(F.col("text")), 20_000)
+
+
+def look_back(spark, d):
+    """Errors as encryption, clicks and views as parsed values: the latest of eight before that has a key's size."""
+    value = F.when(F.col("event_id") % 3 == 0, F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 16)).otherwise(F.concat("event_type", F.lit("!")))
+    events = table(spark, d, "events").withColumn("said", value)
+    rows = triage.looked_back(events, ["ts", "event_id"], F.col("event_type").isin("click", "view"), F.col("said"), F.col("event_type") == "error", ("user_id",))
+    return rows.select("event_id", "user_id", "candidate")
+
+
+def capture_filter(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("text/html", "image/png", "application/JSON", "font/woff", "text/css"))), (F.col("page_id") % 5 + 1).cast("int"))
+    how = F.element_at(F.array(*map(F.lit, ("Document", "image", "xhr", "font"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", triage.captured((F.col("page_id") % 7 * 50 + 150).cast("int"), kind, how).alias("captured"))
+
+
+def resolvable_urls(spark, d):
+    page = table(spark, d, "pages")
+    return triage.resolvable(page.select("page_id", "url"), page.filter("page_id % 2 = 0").select(urls.hostname(F.col("url")).alias("host")))
+
+
+def blob_store(spark, d):
+    """Contents kept by id, and those of pages read back."""
+    folder = shared_folder(spark)
+    docs = documents(spark, d).select("blob_id", F.col("text").alias("content"))
+    page = table(spark, d, "pages").select(ids.blob_id(F.col("html")).alias("blob_id"), F.col("html").alias("content"))
+    keep_contents(docs.unionByName(page), folder)
+    kept = contents(spark, folder, page)
+    return kept.select("blob_id", F.octet_length("content").cast("long").alias("size"), (ids.blob_id(F.col("content")) == F.col("blob_id")).alias("same"))
+
+
+def store_scan(spark, d):
+    """Two incremental runs into a store; the second one overlaps the first."""
+    store = Store(spark, shared_folder(spark))
+    docs = documents(spark, d).select("doc_id", "blob_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    for part in (docs.filter("doc_id % 3 < 2"), docs.filter("doc_id % 3 > 0")):
+        stores.scan(store, part.drop("doc_id"), PACK)
+    return store.table("matches").select("structural_id", "rule_id", "start").unionByName(store.table("blobs").select(F.col("blob_id").alias("structural_id"), F.lit("blob").alias("rule_id"), F.col("size").alias("start")))
+
+
+def insights(spark, d):
+    """What a review says, with the turns of conversations as lines of reviews that speak of tokens."""
+    marks = F.element_at(F.array(*map(F.lit, ("- the api key is ", "plain ", "3. No secret: ", "| token | "))), (F.col("turn") % 4 + 1).cast("int"))
+    body = F.concat(marks, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), marks)))
+    return chunks.insights(table(spark, d, "conversations").select("conv_id", "turn", body.alias("text")), ["conv_id", "turn"])
+
+
+def link_header(spark, d):
+    header = F.concat(F.lit("<"), "url", F.lit('>; rel="preload, x"; as=script, </s/'), F.col("page_id").cast("string"), F.lit(".js>;rel=modulepreload,  <"), "url", F.lit(">"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(asseturls.header_links(header)).alias("position", "target"))
+
+
+def prepared_files(spark, d):
+    page = table(spark, d, "pages")
+    named = F.concat(F.regexp_replace("url", r"[?#].*\z", ""), F.element_at(F.array(*map(F.lit, (".js", ".png", ".json"))), (F.col("page_id") % 3 + 1).cast("int")))
+    files = page.select(ids.blob_id(F.col("html")).alias("blob_id"), named.alias("path"), F.col("html").alias("text"))
+    return chunks.prepared(files.unionByName(files)).select("blob_id", "path", "file_id")
+
+
+def review_chunks(spark, d):
+    """All documents in chunks of whole lines of at most 3000 bytes."""
+    return chunks.review_chunks(documents(spark, d).select("doc_id", "text"), most=3000).select("doc_id", "chunk", "first_line", "last_line", F.octet_length("text").cast("long").alias("bytes"))
+
+
+def redact_numbered(spark, d):
+    return redact.numbered_text(table(spark, d, "documents").select("doc_id", "text"), "doc_id", []).select("doc_id", "redacted")
+
+
+def asset_candidates(spark, d):
+    page = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://h.example/app/web/"), F.when(F.col("page_id") % 2 == 0, F.lit("web/")).otherwise(F.lit("")), F.col("page_id").cast("string"), F.lit(".js")).alias("address"))
+    return asseturls.candidate_rows(page, "https://h.example/app/web/index.html", "https://h.example/base/", "address").select("page_id", "place", "candidate")
+
+
+def crawl_fixpoint(spark, d):
+    """Pages that name scripts, which name manifests, which name the next page's script: the walk ends by itself."""
+    k = F.col("page_id").cast("string")
+    page = table(spark, d, "pages").select("page_id", k.alias("k"), (F.col("page_id") + 1).cast("string").alias("next"))
+    at = lambda name, c: F.concat(F.lit(f"https://h.example/{name}"), c)
+    html = page.select(at("p", F.col("k")).alias("url"), F.concat(F.lit("<script src='/s"), "k", F.lit(".js'></script>")).alias("html"))
+    script = page.select(F.concat(at("s", F.col("k")), F.lit(".js")).alias("url"), F.concat(F.lit('load("m'), "k", F.lit('.json")')).alias("html"))
+    manifest = page.select(F.concat(at("m", F.col("k")), F.lit(".json")).alias("url"), F.concat(F.lit('{"files": {"./t'), "k", F.lit('.js": ["/s'), "k", F.lit('.js"]}}')).alias("html"))
+    return webassets.crawl(html.unionByName(script).unionByName(manifest), html.select("url"))
+
+
+def js_analyze(spark, d):
+    return jsintel.analyze(scripts(spark, d), ["page_id"])
+
+
+def pages_query(extract: Callable):
+    """An extractor over the pages as they are."""
+    return lambda spark, d: extract(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), ["page_id"])
+
+
+def sarif_rules(spark, d):
+    return report.sarif_rules(rules.frame(spark, rules.BUILTIN))
+
+
+def report_rendered(spark, d):
+    rows = detect.with_columns(documents(spark, d).select("doc_id", "blob_id", "text"), PACK, context=1)
+    return report.rendered(detect.first_by_place(detect.with_ids(rows), ["doc_id"])).select("finding_id", "rank", "line")
+
+
+def rfc3339(spark, d):
+    """Times as text and back."""
+    out = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, d, "events").select("event_id", out.alias("written"), F.unix_micros(F.to_timestamp(out, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("read"))
+
+
 QUERIES = {
     "match_rules": match_rules, "blob_ids": blob_ids, "binary_filter": binary_filter, "match_token_assign": match_one("tr.token.1"), "match_email": match_one("tr.email.1"),
     "match_ipv4": match_one("tr.ipv4.1"), "match_card": match_one("tr.card.1"), "match_license": match_one("tr.licence.1"), "match_python": match_python, "match_context": match_context,
@@ -305,5 +498,12 @@ QUERIES = {
     "js_source_maps": js_query(jsintel.source_maps), "js_generic_secrets": js_query(jsintel.generic_secrets), "query_redact": query_redact, "html_assets": html_assets,
     "scope_filter": scope_filter, "mirror_path": mirror_path, "repo_parse": repo_parse, "size_parse": size_parse, "redact_content": redact_content, "redact_hosts": redact_hosts,
     "chunk_lines": chunk_lines, "sarif_json": sarif_json, "report_json": report_json, "ai_corpus_filter": ai_corpus_filter,
+    "scan_full": scan_full, "suppressed": suppressed, "named_groups": named_groups, "match_anchored": match_anchored, "match_pack": match_pack, "scan_chunked": scan_chunked, "rule_stats": rule_stats,
+    "report_rows": report_rows, "provenance_all": provenance_all, "annotations_join": annotations_join, "findings_sorted": findings_sorted, "scan_counters": scan_counters, "look_back": look_back,
+    "capture_filter": capture_filter, "resolvable_urls": resolvable_urls, "blob_store": blob_store, "store_scan": store_scan, "insights": insights, "link_header": link_header,
+    "prepared_files": prepared_files, "review_chunks": review_chunks, "redact_numbered": redact_numbered, "asset_candidates": asset_candidates, "crawl_fixpoint": crawl_fixpoint, "js_analyze": js_analyze,
+    "pages_endpoints": pages_query(jsintel.endpoints), "pages_cloud_urls": pages_query(jsintel.cloud_urls), "pages_subdomains": pages_query(jsintel.subdomains),
+    "pages_dependencies": pages_query(jsintel.dependencies), "pages_source_maps": pages_query(jsintel.source_maps), "pages_generic_secrets": pages_query(jsintel.generic_secrets),
+    "sarif_rules": sarif_rules, "report_rendered": report_rendered, "rfc3339": rfc3339,
     "stream_detect": stream_detect, "extract_members": extract_members, "password_flow": password_flow,
 }

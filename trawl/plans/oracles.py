@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import json
+
 from trawl.operators import jsintel, redact, rules, suppress
-from trawl.operators.detect import wrapped
-from trawl.plans.catalog import BY_ID, CONTEXT, PACK, REFERENCES, SELECTION
+from trawl.plans.catalog import ANCHORED, BY_ID, CONTEXT, PACK, REFERENCES, SELECTION
 
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def gapped(pattern: str) -> str:
+    """The text before a match, and the match, as RE2 finds them; nothing at the end ends the last gap."""
+    return rf"(?m)((?s:.*?))((?:{pattern})|\z)"
+
+
 BLOB = "sha1(encode('blob ' || strlen({t})) || '\\x00'::BLOB || encode({t}))"
 DOCS = f"docs AS (SELECT doc_id, source, text, {BLOB.format(t='text')} AS blob_id FROM documents)"
 ZERO = "'\\x00'::BLOB"
 
 
 def _rule_matches(rule: rules.Rule) -> str:
-    w = q(wrapped(rule.pattern))
+    w = q(gapped(rule.pattern))
     return f"""SELECT doc_id, source, blob_id, text, {q(rule.id)} AS rule_id, {q(rule.name)} AS rule_name, {q(rule.structural_id)} AS rule_sid,
-      regexp_extract_all(text, {w}, 1) AS g, regexp_extract_all(text, {w}, 2) AS h, regexp_extract_all(text, {w}, 3) AS s FROM docs"""
+      regexp_extract_all(text, {w}, 1) AS g, regexp_extract_all(text, {w}, 2) AS h, regexp_extract_all(text, {w}, 3) AS s FROM docs WHERE regexp_matches(text, {q('(?m)' + rule.pattern)})"""
 
 
 def matches(pack: list[rules.Rule]) -> str:
@@ -107,7 +113,6 @@ _COMPACT = "regexp_replace(lower(secret), '[_.-]', '', 'g')"
 _OPAQUE = f"""strlen(secret) BETWEEN 12 AND 256 AND regexp_matches(secret, '[A-Za-z]') AND regexp_matches(secret, '[0-9]') AND len(list_distinct(string_split(secret, ''))) >= 6
   AND NOT {_any(_COMPACT, suppress.PLACEHOLDERS)} AND {_entropy("secret")} >= 3.0"""
 _EDGES = "[ \\t\\r\\n\"''`“”‘’:：.!！?？。；;]*"
-_KINDS = "['Please enter password', '请输入密码', 'hunter2password', 'password required！', substr(text, 1, 40)][(turn % 5 + 1)::INT]"
 
 
 def _rows(names: str, rows: list[tuple]) -> str:
@@ -190,7 +195,7 @@ SQL = {
     "stats_bytes": f"WITH {DOCS} SELECT count(*) AS n_rows, count(DISTINCT blob_id) AS n_blobs, sum(strlen(text))::BIGINT AS n_bytes FROM docs",
     "entropy_filter": f"WITH {matches(PACK[:1])} SELECT doc_id, start, round({_entropy('secret')}, 6) AS entropy, {_OPAQUE} AS opaque FROM m",
     "mask_values": f"WITH {ALL} SELECT doc_id, rule_id, start, {_mask('secret')} AS masked FROM m",
-    "suppress_prompts": f"""WITH v AS (SELECT conv_id, turn, regexp_replace({_KINDS}, '^{_EDGES}|{_EDGES}$', '', 'g') AS v FROM conversations)
+    "suppress_prompts": f"""WITH v AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^{_EDGES}|{_EDGES}$', '', 'g') AS v FROM conversations)
       SELECT conv_id, turn, CASE WHEN {_any("v", suppress.PASSWORD_WORDS)} THEN {_any("v", suppress.PASSWORD_PROMPTS)} ELSE contains(lower(v), 'password') AND {_any("lower(v)", suppress.ENGLISH_PROMPTS)} END AS prompt FROM v""",
     "rule_include_exclude": f"SELECT id, name, structural_id, sha1(regexp_replace(pattern, '\\(\\?P<[^>]+>', '(', 'g')) AS computed_id FROM {_rows('id, name, structural_id, pattern', [(r.id, r.name, r.structural_id, r.pattern) for r in rules.BUILTIN])} WHERE regexp_matches(id, 'http|^tr\\.(aws|card)') AND NOT regexp_matches(id, 'query')",
     "ruleset_semi": f"SELECT id, name FROM {_rows('id, name, categories', [(r.id, r.name, ' '.join(r.categories)) for r in rules.BUILTIN])} WHERE contains(categories, 'identifier')",
@@ -229,3 +234,80 @@ SQL = {
     "ai_corpus_filter": """WITH p AS (SELECT page_id, string_split(string_split(url, '#')[1], '?')[1] || ['.js', '.png', '.TSX?x=1', '', '.json'][(page_id % 5 + 1)::INT] AS path FROM pages)
       SELECT page_id, path FROM p WHERE lower(regexp_extract(regexp_replace(path, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)) IN ('js', 'mjs', 'cjs', 'json', 'map', 'jsx', 'ts', 'tsx')""",
 }
+
+KEPT = f"(rule_id NOT IN ('tr.token.1', 'tr.http.query-secret') OR ({_OPAQUE}))"
+_FIRST = "row_number() OVER (PARTITION BY blob_id, rule_id, secret ORDER BY start, \"end\")"
+_PLACES = "pm AS (SELECT DISTINCT ON (structural_id) * FROM m ORDER BY structural_id, doc_id)"
+PAGES = "js AS (SELECT page_id, html AS text FROM pages)"
+_ADDRESS = q(gapped(r"\b([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]+\.[A-Za-z]{2,24})\b"))
+_MARK = "['- the api key is ', 'plain ', '3. No secret: ', '| token | '][(turn % 4 + 1)::INT]"
+_CLEAN = "line"
+for _pattern in (r"\A\s+|\s+\z", r"\A\|+|\|+\z", r"\A\s+|\s+\z", r"\A[-*•0-9. ]+", r"\A`+|`+\z", r"\A\s+|\s+\z"):
+    _CLEAN = f"regexp_replace({_CLEAN}, {q(_pattern)}, '', 'g')"
+_OVERVIEW = f"""{STATUS}, cp AS (SELECT DISTINCT ON (structural_id) * FROM c ORDER BY structural_id, doc_id),
+  o AS (SELECT finding_id, rule_id, rule_name, {ROLL}, count(*) AS n_matches, count(DISTINCT blob_id) AS n_blobs, min(blob_id) AS blob_id, bool_or(doc_id % 2 = 0) AS seen FROM cp GROUP BY finding_id, rule_id, rule_name),
+  f1 AS (SELECT blob_id, min_by(source || '/' || doc_id, doc_id) AS path FROM docs GROUP BY blob_id)"""
+_NAMED_PATH = "(regexp_replace(url, '[?#].*$', '') || ['.js', '.png', '.json'][(page_id % 3 + 1)::INT])"
+_ANALYZED = ("js_endpoints", "js_cloud_urls", "js_subdomains", "js_dependencies", "js_source_maps")
+
+
+def _scanned(pack: list[rules.Rule], columns: str) -> str:
+    return f"WITH {matches(pack)} SELECT {columns} FROM (SELECT *, {_FIRST} AS n FROM m WHERE {KEPT}) WHERE n = 1"
+
+
+SQL |= {
+    "scan_full": _scanned(list(rules.BUILTIN), 'blob_id, rule_id, start, "end", start_line, secret, structural_id, finding_id'),
+    "suppressed": f'WITH {matches(list(rules.BUILTIN))} SELECT doc_id, rule_id, start, "end" FROM m WHERE {KEPT}',
+    "named_groups": f"""WITH h AS (SELECT doc_id, text, regexp_extract_all(text, {_ADDRESS}, 1) AS g, regexp_extract_all(text, {_ADDRESS}, 2) AS h, regexp_extract_all(text, {_ADDRESS}, 3) AS u,
+      regexp_extract_all(text, {_ADDRESS}, 4) AS v FROM documents), e AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM h)
+      SELECT doc_id, strlen(substr(text, 1, (length(array_to_string(g[1:i], '')) + length(array_to_string(h[1:i - 1], '')))::INT))::BIGINT AS start, u[i] AS "user", v[i] AS host, 2 AS n_groups FROM e WHERE h[i] <> ''""",
+    "match_anchored": f"WITH {matches([ANCHORED])} SELECT doc_id, start, \"end\", unnest(['columns', 'python']) AS plan FROM m",
+    "match_pack": f'WITH {matches([r for r in rules.pack() if len(r.names) == 1]).replace("(?P<secret>", "(")} SELECT doc_id, rule_id, start, "end", secret FROM m',
+    "scan_chunked": f'WITH {ALL} SELECT structural_id, rule_id, blob_id, start, "end", start_line, end_line FROM p',
+    "rule_stats": f"WITH {ALL} SELECT rule_id, 'completed' AS state, count(*) AS n_matches FROM p GROUP BY rule_id",
+    "report_rows": f"""WITH {ALL}, {_PLACES}, w AS (SELECT DISTINCT finding_id, rule_id, secret FROM pm),
+      o AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old-' || finding_id ELSE finding_id END AS k, rule_id, secret, structural_id, start FROM pm WHERE doc_id % 2 = 1),
+      a AS (SELECT finding_id, w.rule_id, w.secret, 'id' AS "by", structural_id, start FROM w JOIN o ON w.finding_id = k)
+      SELECT * FROM a UNION ALL SELECT finding_id, w.rule_id, w.secret, CASE WHEN structural_id IS NULL THEN 'none' ELSE 'groups' END, structural_id, start
+      FROM w LEFT JOIN o ON w.rule_id = o.rule_id AND w.secret = o.secret WHERE finding_id NOT IN (SELECT finding_id FROM a)""",
+    "provenance_all": f"""WITH {ALL} SELECT structural_id, '/corpus/' || d.source || '/' || d.doc_id AS path, (row_number() OVER (PARTITION BY structural_id ORDER BY d.doc_id))::INT AS place
+      FROM p JOIN docs d ON p.blob_id = d.blob_id""",
+    "annotations_join": f"""WITH {_OVERVIEW} SELECT finding_id, n_matches, n_blobs, status, round(confidence, 6) AS confidence, CASE WHEN seen THEN 'accept' END AS annotation, path FROM o JOIN f1 USING (blob_id)""",
+    "findings_sorted": f"WITH {_OVERVIEW} SELECT finding_id, n_matches, row_number() OVER (ORDER BY n_matches DESC, rule_name, finding_id) AS place FROM o",
+    "scan_counters": """SELECT count(*) FILTER (NOT large AND NOT zero) AS n_scanned, coalesce(sum(n) FILTER (NOT large AND NOT zero), 0)::BIGINT AS n_bytes, count(*) FILTER (large) AS n_too_large,
+      count(*) FILTER (zero AND NOT large) AS n_binary FROM (SELECT strlen(text) AS n, strlen(text) > 20000 AS large, contains(substr(text, 1, 8192), chr(0)) AS zero FROM documents)""",
+    "look_back": """WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN substr(md5(event_id::VARCHAR), 1, 16) ELSE event_type || '!' END AS said, event_type IN ('click', 'view') AS parsed FROM events),
+      k AS (SELECT *, count(*) FILTER (parsed) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+      v AS (SELECT user_id, said, before + 1 AS number FROM k WHERE parsed)
+      SELECT event_id, k.user_id, max_by(v.said, v.number) AS candidate FROM k LEFT JOIN v ON k.user_id = v.user_id AND number BETWEEN before - 7 AND before AND strlen(v.said) IN (8, 16, 24, 32)
+      WHERE event_type = 'error' GROUP BY event_id, k.user_id""",
+    "capture_filter": "SELECT page_id, (page_id % 7 * 50 + 150) BETWEEN 200 AND 299 AND (page_id % 5 IN (0, 2) OR page_id % 4 IN (0, 2)) AS captured FROM pages",
+    "resolvable_urls": f"""WITH u AS (SELECT page_id, url, regexp_replace({_HOST}, ':[0-9]*$', '') AS host FROM pages) SELECT page_id, url FROM u
+      WHERE host IN (SELECT host FROM u WHERE page_id % 2 = 0) OR NOT regexp_matches(lower(url), '^https?:') OR regexp_matches(host, '^[0-9.]+$') OR host = ''""",
+    "blob_store": f"SELECT DISTINCT {BLOB.format(t='html')} AS blob_id, strlen(html)::BIGINT AS size, true AS same FROM pages",
+    "store_scan": f"SELECT * FROM ({_scanned(PACK, 'structural_id, rule_id, start')}) UNION ALL SELECT DISTINCT blob_id, 'blob', strlen(text)::BIGINT FROM (WITH {DOCS} SELECT * FROM docs)",
+    "insights": f"""WITH r AS (SELECT conv_id, turn, string_split({_MARK} || replace(text, chr(10), chr(10) || {_MARK}), chr(10)) AS lines FROM conversations WHERE text IS NOT NULL),
+      l AS (SELECT conv_id, turn, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM r),
+      c AS (SELECT conv_id, turn, i, {_CLEAN} AS x FROM l), t AS (SELECT conv_id, turn, i, CASE WHEN starts_with(x, '---') THEN '' WHEN length(x) > 220 THEN rtrim(substr(x, 1, 220)) || '...' ELSE x END AS insight FROM c),
+      k AS (SELECT conv_id, turn, insight, min(i) AS i FROM t WHERE insight <> '' AND regexp_matches(lower(insight), 'api key|secret|token|credential|password|authorization|auth|unauth|cors|debug|misconfig|vulnerab|exposed|leak|admin|risk|critical|high confidence')
+        AND NOT regexp_matches(lower(insight), 'none found|no findings|no secret|no obvious|not enough evidence|not observed') GROUP BY ALL)
+      SELECT conv_id, turn, rank::INT AS rank, insight FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS rank FROM k) WHERE rank <= 3""",
+    "link_header": "SELECT page_id, 0 AS position, url AS target FROM pages UNION ALL SELECT page_id, 1, '/s/' || page_id || '.js' FROM pages",
+    "prepared_files": f"""WITH f AS (SELECT DISTINCT {BLOB.format(t='html')} AS blob_id, {_NAMED_PATH} AS path FROM pages WHERE page_id % 3 <> 1)
+      SELECT blob_id, path, 'FILE_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS file_id FROM (SELECT *, row_number() OVER (ORDER BY path, blob_id) AS n FROM f)""",
+    "asset_candidates": """WITH a AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN ['app/web/web/', 'base/web/', 'app/web/'] ELSE ['app/web/', 'base/'] END AS folders FROM pages),
+      e AS (SELECT page_id, folders, unnest(range(0, len(folders))) AS place FROM a)
+      SELECT page_id, place::INT AS place, 'https://h.example/' || folders[place + 1] || page_id || '.js' AS candidate FROM e""",
+    "crawl_fixpoint": """SELECT 'https://h.example/' || l || page_id || x AS url, depth FROM pages,
+      (VALUES ('p', '', 0), ('s', '.js', 1), ('m', '.json', 2), ('t', '.js', 3)) t(l, x, depth)""",
+    "js_analyze": "WITH u AS (" + " UNION ALL BY NAME ".join(f"SELECT * FROM ({SQL[k]})" for k in _ANALYZED) + """), k AS (SELECT page_id, category, method, value, detail, min({'line': line, 'column': "column", 'confidence': confidence}) AS place FROM u GROUP BY ALL)
+      SELECT page_id, category, method, value, detail, place.confidence AS confidence, place.line AS line, place.column AS "column" FROM k""",
+    **{k.replace("js_", "pages_"): SQL[k].replace(SCRIPTS, PAGES) for k in (*_ANALYZED, "js_generic_secrets")},
+    "sarif_rules": f"SELECT id, json FROM {_rows('id, json', [(r.id, json.dumps({'id': r.id, 'name': r.name, 'shortDescription': {'text': r.description}}, separators=(',', ':'), ensure_ascii=False)) for r in rules.BUILTIN])}",
+    "sarif_json": f"""WITH {ALL}, {_PLACES} SELECT structural_id, to_json({{'ruleId': rule_id, 'level': 'warning', 'message': {{'text': 'Found ' || rule_name}}, 'locations': [{{'physicalLocation': {{
+      'artifactLocation': {{'uri': 'file:///corpus/' || source || '/' || blob_id}}, 'region': {{'startLine': start_line, 'startColumn': start_column, 'endLine': end_line, 'endColumn': end_column, 'snippet': {{'text': matching}}}}}}}}],
+      'partialFingerprints': {{'matchId': structural_id}}}})::VARCHAR AS json FROM pm""",
+    "report_json": f"""WITH {ALL} SELECT finding_id, to_json({{'finding_id': finding_id, 'rule_id': min(rule_id), 'rule_name': min(rule_name), 'groups': [min(secret)], 'n_matches': count(*)}})::VARCHAR AS json FROM p GROUP BY finding_id
+      UNION ALL SELECT finding_id, to_json({{'finding_id': finding_id, 'match': {{'blob_id': blob_id, 'start': start, 'end': "end", 'start_line': start_line, 'start_column': start_column, 'matching': matching}}}})::VARCHAR FROM p""",
+    "rfc3339": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS written, epoch_us(date_trunc('second', ts)) AS read FROM events",
+}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +19,21 @@ KEYS = {"blobs": ["blob_id"], "provenance": ["blob_id", "path"], "matches": ["st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/trawl-store-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, or (on one machine) a temporary one where that is unset; deleted at the end."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/trawl-store-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and the folder may be gone
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -28,27 +44,77 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class Store:
-    """A folder with one Parquet folder for each table; every run appends what its keys do not hold yet."""
+    """A folder of tables, each a list of immutable runs that versioned manifests name.
+
+    A run is written first; a manifest that names it as well is then written under a temporary name and renamed to the
+    next number, which fails if another writer was first. That writer's rows are then looked at too and the rest is
+    committed on top. Readers see the runs of one version; nothing is overwritten.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def table(self, name: str, like: DataFrame | None = None) -> DataFrame | None:
-        path = f"{self.root}/{name}"
+    def _path(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(where):
-            return self.spark.read.parquet(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _latest(self, name: str) -> tuple[int, list[str]]:
+        """The number of the last version, and its runs."""
+        fs, where = self._path(f"{self.root}/{name}/manifests")
+        if not fs.exists(where):
+            return 0, []
+        numbers = sorted(s.getPath().getName() for s in fs.listStatus(where) if s.getPath().getName().endswith(".json"))
+        if not numbers:
+            return 0, []
+        text = self.spark.read.text(f"{self.root}/{name}/manifests/{numbers[-1]}", wholetext=True).first()[0]
+        return int(numbers[-1].split(".")[0]), json.loads(text)
+
+    def _commit(self, name: str, version: int, runs: list[str]) -> bool:
+        """Makes a version; False if another writer has made it."""
+        jvm = self.spark.sparkContext._jvm
+        fs, target = self._path(f"{self.root}/{name}/manifests/{version:010d}.json")
+        _, temporary = self._path(f"{self.root}/{name}/manifests/.{uuid.uuid4().hex}.tmp")
+        out = fs.create(temporary)
+        try:
+            out.write(bytearray(json.dumps(runs).encode()))
+        finally:
+            out.close()
+        if fs.exists(target):
+            return False
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(temporary, target, self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def table(self, name: str, like: DataFrame | None = None, runs: list[str] | None = None) -> DataFrame | None:
+        runs = self._latest(name)[1] if runs is None else runs
+        if runs:
+            return self.spark.read.parquet(*[f"{self.root}/{name}/runs/{r}" for r in runs])
         return None if like is None else self.spark.createDataFrame([], like.schema)
 
+    def _write(self, name: str, rows: DataFrame) -> str:
+        run = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/{name}/runs/{run}")
+        return run
+
     def add(self, name: str, rows: DataFrame) -> None:
-        """Appends the rows whose keys the table does not hold, one for each key."""
-        key = KEYS[name]
-        fresh = rows.dropDuplicates(key)
-        held = self.table(name)
-        if held is not None:
-            fresh = fresh.join(held.select(*key), key, "left_anti")
-        fresh.write.mode("append").parquet(f"{self.root}/{name}")
+        """Appends the rows whose keys the table does not hold, one for each key, in one version."""
+        key, added = KEYS[name], []
+        fresh = stored(rows.dropDuplicates(key))
+        seen: list[str] = []
+        while True:
+            version, runs = self._latest(name)
+            if met := [r for r in runs if r not in seen]:
+                fresh = fresh.join(self.table(name, runs=met).select(*key), key, "left_anti")
+            if met or not added:  # else what is written still holds
+                added = [self._write(name, fresh)]
+            seen = runs
+            if self._commit(name, version + 1, [*runs, *added]):
+                return
 
     def unseen(self, blobs: DataFrame) -> DataFrame:
         """Blobs that no run has recorded."""
@@ -56,21 +122,33 @@ class Store:
         return blobs if held is None else unseen(blobs, held)
 
     def annotate(self, changes: DataFrame) -> None:
-        """Sets annotations (target_type, target_id, status, comment, at); later ones replace earlier ones."""
-        held = self.table("annotations", changes)
-        new = stored(annotate(held, changes), f"{self.root}/.annotations-{uuid.uuid4().hex}")
-        new.write.mode("overwrite").parquet(f"{self.root}/annotations")
+        """Sets annotations (target_type, target_id, status, comment, at); later ones replace earlier ones, in one version."""
+        while True:
+            version, runs = self._latest("annotations")
+            held = self.table("annotations", changes, runs)
+            if self._commit("annotations", version + 1, [self._write("annotations", annotate(held, changes))]):
+                return
 
 
-def scan(store: Store, blobs: DataFrame, rules, incremental: bool = True) -> DataFrame:
-    """Scans blobs (blob_id, path, text), records everything in the store, and returns the new matches."""
-    from trawl.operators.detect import first_by_content, with_ids, with_python
+def scan(store: Store, blobs: DataFrame, rules, incremental: bool = True, context: int = 2) -> DataFrame:
+    """Scans blobs (blob_id, path, text) the whole way, records everything in the store, and returns the new matches."""
+    from trawl.operators import scan as whole
 
     new = store.unseen(blobs) if incremental else blobs
     new = new.dropDuplicates(["blob_id"])
-    matches = stored(with_ids(first_by_content(with_python(new.select("blob_id", "text"), rules))))
+    matches = stored(whole.scan(new.select("blob_id", "text"), rules, context=context))
     store.add("matches", matches)
     store.add("findings", matches.select("finding_id", "rule_id", "rule_name", "groups"))
     store.add("provenance", blobs.select("blob_id", "path"))
     store.add("blobs", new.select("blob_id", F.octet_length("text").cast("long").alias("size")))  # last: a lost run is scanned again
     return matches
+
+
+def keep_contents(blobs: DataFrame, folder: str) -> None:
+    """Writes blobs (blob_id, content) once each, in folders by the first byte of their id."""
+    blobs.dropDuplicates(["blob_id"]).withColumn("prefix", F.substring("blob_id", 1, 2)).write.partitionBy("prefix").mode("append").parquet(folder)
+
+
+def contents(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """The kept contents of the ids in ``wanted`` (blob_id), one row each."""
+    return spark.read.parquet(folder).join(wanted.select("blob_id").distinct(), "blob_id", "left_semi").dropDuplicates(["blob_id"]).select("blob_id", "content")

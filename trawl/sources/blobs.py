@@ -71,25 +71,118 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).filter("url <> '' and not startswith(url, '#')")
 
 
+COMMIT = "commit string, author string, email string, committed timestamp, message string"
+_FORMAT = "%x01%H%x02%an%x02%ae%x02%cI%x02%s"
+
+
+def _git(repository: str, *arguments: str) -> str:
+    return subprocess.run(["git", "-C", repository, *arguments], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+
+
+def _commit(line: str) -> tuple:
+    commit, author, email, at, message = line.split("\x02")
+    return commit, author, email, pd.Timestamp(at).tz_convert("UTC"), message
+
+
+def _read(objects: DataFrame, repository: str, most: int) -> DataFrame:
+    """``objects`` (oid, others) with content and size, of the blobs that are text and not too large. One process reads all of a task."""
+
+    def contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        process = None
+        for frame in frames:
+            process = process or subprocess.Popen(["git", "-C", repository, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+            held, rows, taken = 0, [], []
+            for k, oid in enumerate(frame["oid"]):
+                process.stdin.write(f"{oid}\n".encode())
+                process.stdin.flush()
+                head = process.stdout.readline().split()
+                if len(head) < 3:
+                    continue  # a submodule's commit, which this repository does not hold
+                size, left = int(head[2]), int(head[2]) + 1
+                keep = head[1] == b"blob" and size <= most
+                parts = []
+                while left:
+                    part = process.stdout.read(min(left, 1 << 20))
+                    left -= len(part)
+                    if keep:
+                        parts.append(part)
+                body = b"".join(parts)[:-1]
+                if keep and b"\0" not in body[:8192]:
+                    rows.append(k)
+                    taken.append((body, size))
+                    held += size
+                if held > 8 << 20:
+                    yield told(frame, rows, taken)
+                    held, rows, taken = 0, [], []
+            if rows:
+                yield told(frame, rows, taken)
+        if process:
+            process.stdin.close()
+            process.wait()
+
+    def told(frame: pd.DataFrame, rows: list[int], taken: list[tuple[bytes, int]]) -> pd.DataFrame:
+        out = frame.iloc[rows].reset_index(drop=True)
+        return out.assign(content=[b for b, _ in taken], size=[n for _, n in taken]).rename(columns={"oid": "blob_id"})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in objects.schema.fields)
+    return objects.mapInPandas(contents, kinds.replace("oid string", "blob_id string", 1) + ", content binary, size long")
+
+
 def git_history(spark: SparkSession, repository: str, most: int = 20 << 20, parts: int = 16) -> DataFrame:
-    """Every blob that any commit of a repository holds, once, with a path. Executors need the repository's folder.
+    """Every blob that any commit of a repository holds, once, with its path in the first commit that brought it, and that commit.
 
-    Blobs of more than ``most`` bytes are left out.
+    The history is read in ``parts`` ranges of commits by the executors, which need the repository's folder; the driver
+    asks for the number of commits only. Blobs of more than ``most`` bytes and binary ones are left out.
     """
-    listed = subprocess.run(["git", "-C", repository, "rev-list", "--all", "--objects"], capture_output=True, text=True, check=True).stdout
-    rows = [(line[:40], line[41:]) for line in listed.splitlines() if len(line) > 41]
+    total = int(_git(repository, "rev-list", "--all", "--count").strip() or 0)
+    step = max(1, -(-total // parts))
 
-    def contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in frame["id"]:
+                rows, at, commit = [], -1, ()
+                for line in _git(repository, "-c", "core.quotePath=false", "log", "--all", f"--skip={start * step}", f"--max-count={step}", "--raw", "--no-abbrev", "--root", "-m", "--no-renames", f"--format={_FORMAT}").split("\n"):
+                    if line.startswith("\x01"):
+                        new = _commit(line[1:])
+                        at += not commit or new[0] != commit[0]  # a merge is told once for each parent
+                        commit = new
+                    elif line.startswith(":"):
+                        fields, _, path = line.partition("\t")
+                        _, mode, _, oid, _ = fields.split()
+                        if mode.startswith("100"):
+                            rows.append((oid, path, int(start * step + at), *commit))
+                yield pd.DataFrame(rows, columns=["oid", "path", "place", "commit", "author", "email", "committed", "message"])
+
+    ranges = spark.range(0, max(1, -(-total // step)), 1, max(1, -(-total // step)))
+    found = ranges.mapInPandas(listed, f"oid string, path string, place long, {COMMIT}")
+    first = F.max_by(F.struct("path", "commit", "author", "email", "committed", "message"), F.struct("place", "path"))  # the log begins with the newest
+    objects = found.groupBy("oid").agg(first.alias("first")).select("oid", "first.*").repartition(parts, "oid")
+    return _read(objects, repository, most).select("blob_id", "path", "content", "size", "commit", "author", "email", "committed", "message")
+
+
+def git_commit(spark: SparkSession, repository: str, revision: str = "HEAD", most: int = 20 << 20, parts: int = 16) -> DataFrame:
+    """The files of one commit, each blob once, with the commit's metadata. Binary files and those of more than ``most`` bytes are left out."""
+    (commit,) = [_commit(line[1:]) for line in _git(repository, "log", "-1", f"--format={_FORMAT}", revision).split("\n") if line.startswith("\x01")]
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for oid, path in zip(frame["oid"], frame["path"], strict=True):
-                kind = subprocess.run(["git", "-C", repository, "cat-file", "-t", oid], capture_output=True, text=True).stdout.strip()
-                size = int(subprocess.run(["git", "-C", repository, "cat-file", "-s", oid], capture_output=True, text=True).stdout or 0)
-                if kind == "blob" and size <= most:
-                    body = subprocess.run(["git", "-C", repository, "cat-file", "blob", oid], capture_output=True).stdout
-                    if b"\0" not in body[:8192]:
-                        out.append((oid, path, body, size))
-            yield pd.DataFrame(out, columns=["blob_id", "path", "content", "size"])
-
-    objects = spark.createDataFrame(rows or [("", "")], "oid string, path string").filter("oid <> ''").groupBy("oid").agg(F.min("path").alias("path"))
-    return objects.repartition(parts, "oid").mapInPandas(contents, "blob_id string, path string, content binary, size long")
+            for _ in frame["id"]:  # one row: a tree is read by one process
+                rows = []
+                for entry in _git(repository, "ls-tree", "-r", "-z", commit[0]).split("\0"):
+                    if entry.startswith("100"):
+                        head, _, path = entry.partition("\t")
+                        rows.append((head.split()[2], path))
+                yield pd.DataFrame(rows, columns=["oid", "path"])
+
+    found = spark.range(1).mapInPandas(listed, "oid string, path string").groupBy("oid").agg(F.min("path").alias("path")).repartition(parts, "oid")
+    names = [c.split()[0] for c in COMMIT.split(", ")]
+    return _read(found, repository, most).select("blob_id", "path", "content", "size", *[F.lit(v).alias(n) for v, n in zip(commit, names, strict=True)])
+
+
+def left_out(spark: SparkSession, root: str, most: int = 20 << 20) -> DataFrame:
+    """Files (path, size, reason) below ``root`` that ``files`` leaves out for their size, their name or as binary."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1)
+    small = found.filter(F.col("length") <= most).select(path.alias("path"), F.col("length").alias("size"), F.when(is_hidden(path), "hidden").when(is_binary(F.col("content")), "binary").alias("reason"))
+    large = found.filter(F.col("length") > most).select(path.alias("path"), F.col("length").alias("size"), F.lit("too large").alias("reason"))
+    return small.filter("reason is not null").unionByName(large)

@@ -10,10 +10,14 @@ import tarfile
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trawl.functions.ids import blob_id
 
 #: Bytes of a member and of an archive that are read, nesting, and rows of a database table.
 MEMBER, ARCHIVE, DEPTH, ROWS = 10 << 20, 100 << 20, 5, 1000
@@ -37,18 +41,43 @@ def _xml_text(data: bytes) -> str:
     return " ".join("".join(c for c in words if c.isprintable() or c.isspace()).split())
 
 
-def _inside(path: str, name: str, body: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of a member and of an archive that are read, nesting, and rows of a database table."""
+
+    member: int = MEMBER
+    archive: int = ARCHIVE
+    depth: int = DEPTH
+    rows: int = ROWS
+
+
+def _limits() -> Limits:
+    return Limits(MEMBER, ARCHIVE, DEPTH, ROWS)
+
+
+def _inside(name: str, body: bytes, depth: int, limits: Limits, left_out: list[tuple[str, str]]) -> Iterator[tuple[str, bytes]]:
     """A member itself, or what it holds if it is a container."""
-    if extractable(name) and depth < DEPTH:
-        for inner, content in members(name, body, depth + 1):
+    if extractable(name) and depth < limits.depth:
+        inner_out: list[tuple[str, str]] = []
+        for inner, content in members(name, body, depth + 1, limits, inner_out):
             yield f"{name}:{inner}", content
+        left_out += [(f"{name}:{inner}", why) for inner, why in inner_out]
+    elif extractable(name):
+        left_out.append((name, "nested too deep"))
     elif b"\0" not in body[:8192]:
         yield name, body
+    else:
+        left_out.append((name, "binary"))
+
 
+def members(path: str, body: bytes, depth: int = 1, limits: Limits | None = None, left_out: list[tuple[str, str]] | None = None) -> Iterator[tuple[str, bytes]]:
+    """(member, content) of a container; damaged ones end early. Sizes are held while reading, whatever is declared.
 
-def members(path: str, body: bytes, depth: int = 1) -> Iterator[tuple[str, bytes]]:
-    """(member, content) of a container; damaged ones end early. Sizes are held while reading, whatever is declared."""
-    kind, left = extension(path), ARCHIVE
+    ``left_out`` gathers (member, reason) of what the limits, or damage, keep out.
+    """
+    limits = limits or _limits()
+    left_out = [] if left_out is None else left_out
+    kind, left = extension(path), limits.archive
     try:
         if kind in ZIPS or kind in DOCUMENTS:
             with zipfile.ZipFile(io.BytesIO(body)) as archive:
@@ -57,21 +86,24 @@ def members(path: str, body: bytes, depth: int = 1) -> Iterator[tuple[str, bytes
                     if info.is_dir() or (wanted and not re.fullmatch(wanted, info.filename)):
                         continue
                     with archive.open(info) as stream:
-                        data = stream.read(min(MEMBER, left) + 1)
-                    if len(data) > min(MEMBER, left):
+                        data = stream.read(min(limits.member, left) + 1)
+                    if len(data) > min(limits.member, left):
+                        left_out.append((info.filename, "too large"))
                         continue
                     left -= len(data)
                     if wanted:
                         yield info.filename, _xml_text(data).encode()
                     else:
-                        yield from _inside(path, info.filename, data, depth)
+                        yield from _inside(info.filename, data, depth, limits, left_out)
         elif kind in ("tar", "tgz"):
             with tarfile.open(fileobj=io.BytesIO(body), mode="r:*") as archive:
                 for info in archive:
-                    if info.isfile() and info.size <= min(MEMBER, left):
-                        data = archive.extractfile(info).read(MEMBER)
+                    if info.isfile() and info.size > min(limits.member, left):
+                        left_out.append((info.name, "too large"))
+                    elif info.isfile():
+                        data = archive.extractfile(info).read(limits.member)
                         left -= len(data)
-                        yield from _inside(path, info.name, data, depth)
+                        yield from _inside(info.name, data, depth, limits, left_out)
         elif kind == "ipynb":
             for k, cell in enumerate(json.loads(body).get("cells", [])):
                 if isinstance(cell.get("source"), list) and cell.get("cell_type") in ("code", "markdown"):
@@ -88,21 +120,75 @@ def members(path: str, body: bytes, depth: int = 1) -> Iterator[tuple[str, bytes
                 base = sqlite3.connect(f"file:{file.name}?mode=ro", uri=True)
                 for (table,) in base.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name").fetchall():
                     quoted = table.replace('"', '""')
-                    rows = base.execute(f'SELECT * FROM "{quoted}" LIMIT {ROWS}').fetchall()
+                    rows = base.execute(f'SELECT * FROM "{quoted}" LIMIT {limits.rows + 1}').fetchall()
+                    if len(rows) > limits.rows:
+                        rows = rows[: limits.rows]
+                        left_out.append((table, f"rows after {limits.rows}"))
                     yield table, "\n".join(" ".join(c for c in r if isinstance(c, str)) for r in rows).encode()
                 base.close()
-    except (zipfile.BadZipFile, tarfile.TarError, ElementTree.ParseError, sqlite3.DatabaseError, ValueError, EOFError, OSError, RuntimeError):
-        return
+    except (zipfile.BadZipFile, tarfile.TarError, ElementTree.ParseError, sqlite3.DatabaseError, ValueError, EOFError, OSError, RuntimeError) as e:
+        left_out.append(("", f"damaged: {type(e).__name__}"))
 
 
-def extract(blobs: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Rows (path, member, content) of every container among the blobs."""
+def extract(blobs: DataFrame, path: str = "path", content: str = "content", limits: Limits | None = None, report: bool = False) -> DataFrame:
+    """Rows (path, member, content) of every container among the blobs.
+
+    ``limits`` are those of the module unless given. With ``report``, a column ``left_out`` is added, and what the limits or
+    damage keep out has a row without content that says why.
+    """
+    limits = limits or _limits()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for p, body in zip(frame[path], frame[content], strict=True):
-                rows = [(p, name, data) for name, data in members(p, bytes(body))] if body is not None and extractable(p) else []
+            for p, body in zip(frame["path"], frame["content"], strict=True):
+                if body is None or not extractable(p):
+                    continue
+                out: list[tuple[str, str]] = []
+                rows = [(p, name, data, None) for name, data in members(p, bytes(body), 1, limits, out)]
+                rows += [(p, name, None, why) for name, why in out] if report else []
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "member", "content"])
+                    yield pd.DataFrame(rows, columns=["path", "member", "content", "left_out"], dtype="object")
+
+    named = blobs.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    found = named.mapInPandas(run, "path string, member string, content binary, left_out string")
+    return found if report else found.drop("left_out")
 
-    return blobs.select(path, content).mapInPandas(run, "path string, member string, content binary")
+
+def sources_of_map(text: str) -> list[tuple[str, str]]:
+    """(name, content) of the sources that a source map holds, and those of its sections; none if it is no source map."""
+    try:
+        todo, out = [json.loads(text)], []
+    except ValueError:
+        return []
+    while todo:
+        one = todo.pop(0)
+        if not isinstance(one, dict):
+            continue
+        names = one.get("sources") or []
+        for k, content in enumerate(one.get("sourcesContent") or []):
+            if isinstance(content, str) and content:
+                name = names[k] if k < len(names) and isinstance(names[k], str) and names[k].strip() else f"source-{k + 1}.js"
+                out.append((name, content))
+        todo = [s.get("map") for s in one.get("sections") or [] if isinstance(s, dict)] + todo
+    return out
+
+
+def from_maps(blobs: DataFrame, path: str = "path", content: str = "content", most: int = 20 << 20) -> DataFrame:
+    """Rows (blob_id, path, parent, content, too_large) of the sources within ``.map`` files, whose path has no query.
+
+    Paths are ``parent::source-map/name``; sources of more than ``most`` bytes have a row without content.
+    """
+    plain = F.regexp_replace(F.col(path), r"[?#].*\z", "")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, n, c) for p, body in zip(frame["path"], frame["content"], strict=True) for n, c in sources_of_map(body if isinstance(body, str) else bytes(body or b"").decode("utf-8", "replace"))]
+            yield pd.DataFrame(rows, columns=["parent", "name", "content"], dtype="object")
+
+    found = blobs.filter(F.lower(plain).endswith(".map")).select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "parent string, name string, content string")
+    name = F.regexp_replace("name", r"[\r\n]", "")
+    large = F.octet_length("content") > most
+    return found.select(
+        blob_id(F.col("content")).alias("blob_id"), F.concat("parent", F.lit("::source-map/"), F.when(name == "", F.lit("source.js")).otherwise(name)).alias("path"),
+        "parent", F.when(~large, F.col("content")).alias("content"), large.alias("too_large"),
+    )
