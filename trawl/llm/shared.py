@@ -82,6 +82,21 @@ def filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+_scratch: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes within, unless to a folder of their own, are deleted at the end."""
+    folder = shared_folder(spark)
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        delete(spark, folder)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended, and the folder may be gone
         fs, where = filesystem(spark, path)
@@ -110,7 +125,7 @@ def stored(df: DataFrame, folder: str | None = None, compression: str | None = N
     This cuts the lineage: a lost executor costs no more than rereading the table.
     """
     spark = df.sparkSession
-    path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder or (_scratch[-1] if _scratch else shared_folder(spark))}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
