@@ -132,3 +132,62 @@ def test_a_sarif_log_is_one_valid_file(spark, tmp_path):
     (run,) = log["runs"]
     assert log["version"] == "2.1.0" and len(run["tool"]["driver"]["rules"]) == len(rules.BUILTIN) and len(run["results"]) == 2
     assert {r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"][:9] for r in run["results"]} == {"file:///x"}
+
+
+def test_addresses_answers_and_listings(spark):
+    from trawl.functions import urls
+    from trawl.sources import blobs as sources
+
+    answers = spark.createDataFrame([("https://h/a", 404, b"x"), ("https://h/b", 200, b"body"), ("https://h/c", 200, b""), ("https://h/d", 200, b"\0x")], "url string, status int, content binary")
+    asked = spark.createDataFrame([("https://h/a", ["https://h/a", "https://h/b"]), ("https://h/c", ["https://h/c"]), ("https://h/d", None)], "url string, candidates array<string>")
+    assert sorted((r.url, r.path, r.found) for r in sources.from_urls(asked, answers).collect()) == [("https://h/a", "https://h/b", True), ("https://h/c", None, False), ("https://h/d", None, False)]
+    listed = spark.createDataFrame([("a.txt", "base64", "aGVs\nbG8="), ("b.txt", "utf-8", "text"), ("c", "base64", "***")], "path string, encoding string, content string")
+    assert sorted((r.path, bytes(r.content)) for r in sources.from_listing(listed, F.lit("o/r")).collect()) == [("o/r/a.txt", b"hello"), ("o/r/b.txt", b"text")]
+    one = lambda c, *v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "v string").select(c(F.col("v"))).collect()]
+    assert one(sources.clone_path, "https://github.com/o/r.git", "git@gitlab.com:g/s/r.git", "ssh://git@h:22/o/r", "/local/r") == ["github.com/o/r.git", "gitlab.com/g/s/r.git", "h/o/r.git", "/local/r"]
+    assert one(lambda v: urls.resolved(F.lit("https://h/x/y"), v), "../a#f", "mailto:z", "//o/b", None) == ["https://h/a", None, "https://o/b", None]
+    assert one(lambda v: urls.registered_domain(v, ["co.uk"]), "https://a.b.co.uk/x", "http://a.b.example.com", "http://1.2.3.4:80/", "https://h") == ["b.co.uk", "example.com", "1.2.3.4", "h"]
+
+
+def test_maps_undo_a_redaction(spark):
+    frame = spark.createDataFrame([(1, "https://a.example.com/x bb.example.org")], "k long, text string")
+    assert {(r.kind, r.name, r.placeholder) for r in redact.redaction_map(frame, "k", []).collect()} == {("origin", "https://a.example.com", "EXTERNAL_ORIGIN_1"), ("host", "bb.example.org", "EXTERNAL_HOST_1")}
+    names = redact.path_names(spark.createDataFrame([("b/c d.js",), ("a/x.js",), ("a/x.js",)], "path string"))
+    assert {r.path: r.placeholder for r in names.collect()} == {"a/x.js": "FILE_1_x.js", "b/c d.js": "FILE_2_c_d.js"}
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from trawl.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.js").write_text("password: 'hunter22!'\n")
+    store = f"file://{tmp_path}/store"
+    out = io.StringIO()
+    main(["scan", str(tmp_path / "in"), "--store", store, "--include", "password"], spark, out)
+    main(["report", "--store", store], spark, out)
+    main(["rules", "--include", "aws", "--format", "table"], spark, out)
+    text = out.getvalue()
+    assert "tr.password.1\t1 findings" in text and "hunter22!" in text and "tr.aws.1\tAWS access key id\tapi (+1)" in text
+    main(["report", "--store", store, "--format", "sarif", "--output", f"file://{tmp_path}/log"], spark, out)
+    assert json.loads((tmp_path / "log").read_text())["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a.js"
+    with pytest.raises(SystemExit):
+        main(["scan", "https://x.example", "--store", store], spark, out)
+
+
+def test_one_commit_and_first_commits(spark, tmp_path):
+    import subprocess
+
+    from trawl.sources import blobs as sources
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout
+    git("init", "-q")
+    for n, body in enumerate(("one", "two", "one", "three")):
+        (tmp_path / f"f{n}.txt").write_text(body)
+        git("add", ".")
+        git("commit", "-qm", f"commit {n}")
+    history = {bytes(r.content).decode(): (r.path, r.message) for r in sources.git_history(spark, str(tmp_path), parts=3).collect()}
+    assert history == {"one": ("f0.txt", "commit 0"), "two": ("f1.txt", "commit 1"), "three": ("f3.txt", "commit 3")}
+    one = sources.git_commit(spark, str(tmp_path), "HEAD~2").collect()
+    assert sorted((r.path, bytes(r.content)) for r in one) == [("f0.txt", b"one"), ("f1.txt", b"two")] and {r.message for r in one} == {"commit 1"} and one[0].email == "t@t"

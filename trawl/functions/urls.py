@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +71,37 @@ def repository(reference: Column) -> Column:
     return F.when((platform != "") & (F.size(parts) >= 2), found)
 
 
-def in_scope(url: Column, target: Column, scope: str) -> Column:
-    """Whether a URL belongs to a target: ``rdn`` the same last two labels, ``dn`` the same host, else also the same scheme."""
+def registered_domain(url: Column, suffixes: list[str] | None = None) -> Column:
+    """The host's public suffix and the label before it. Suffixes of several labels (``co.uk``) are those given."""
+    name = hostname(url)
+    labels = F.lit(2)
+    for suffix in sorted(suffixes or [], key=lambda s: s.count(".")):
+        labels = F.when(name.endswith("." + suffix.lower()), F.lit(suffix.count(".") + 2)).otherwise(labels)
+    address = name.rlike(r"\A[0-9.]+\z|\A\[")
+    return F.when(address, name).otherwise(F.call_function("substring_index", name, F.lit("."), -labels))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link as an absolute http address without its fragment; null for other schemes and what cannot be read."""
+
+    @F.pandas_udf("string")
+    def join(bases: pd.Series, links: pd.Series) -> pd.Series:
+        out = []
+        for b, x in zip(bases, links, strict=True):
+            try:
+                full = urljoin(b or "", (x or "").strip()).split("#")[0]
+            except ValueError:
+                full = ""
+            out.append(full if x and full.startswith(("http://", "https://")) else None)
+        return pd.Series(out, dtype="object")
+
+    return join(base, link)
+
+
+def in_scope(url: Column, target: Column, scope: str, suffixes: list[str] | None = None) -> Column:
+    """Whether a URL belongs to a target: ``rdn`` the same registered domain, ``dn`` the same host, else also the same scheme."""
     if scope == "rdn":
-        domain = lambda u: F.substring_index(hostname(u), ".", -2)  # noqa: E731  country suffixes need a table of their own
+        domain = lambda u: registered_domain(u, suffixes)
         return domain(url) == domain(target)
     if scope in ("dn", "fqdn"):
         return host(url) == host(target)

@@ -109,3 +109,18 @@ def reviewed(url: Column) -> Column:
     """Whether a path, without its query, has an extension that a review reads."""
     clean = F.regexp_replace(url, r"[?#].*\z", "")
     return F.lower(F.regexp_extract(clean, r"\.([A-Za-z0-9]+)\z", 1)).isin(*REVIEWED)
+
+
+def path_names(files: DataFrame) -> DataFrame:
+    """Rows (path, placeholder): ``FILE_n_name`` for every path, numbered by path, the name with plain characters only."""
+    clean = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), r"/+\z", "")
+    base = F.regexp_replace(F.substring_index(clean, "/", -1), r"[^A-Za-z0-9._-]+", "_")
+    paths = numbered(files.select("path").distinct(), ["path"])
+    return paths.select("path", F.concat(F.lit("FILE_"), F.col("number").cast("string"), F.lit("_"), F.when(base == "", F.lit("file")).otherwise(base)).alias("placeholder"))
+
+
+def redaction_map(df: DataFrame, key: str, targets: list[str], text: str = "text") -> DataFrame:
+    """Rows (kind, name, placeholder) of all that ``numbered_text`` exchanged, to undo it by."""
+    found = origins(df, key, targets, text).select(F.lit("origin").alias("kind"), F.col("origin").alias("name"), "placeholder")
+    plain = df.withColumn(text, F.regexp_replace(text, URL, " "))
+    return found.unionByName(hosts(plain, key, targets, text).select(F.lit("host").alias("kind"), F.col("host").alias("name"), "placeholder"))

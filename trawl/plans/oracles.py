@@ -311,3 +311,22 @@ SQL |= {
       UNION ALL SELECT finding_id, to_json({{'finding_id': finding_id, 'match': {{'blob_id': blob_id, 'start': start, 'end': "end", 'start_line': start_line, 'start_column': start_column, 'matching': matching}}}})::VARCHAR FROM p""",
     "rfc3339": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS written, epoch_us(date_trunc('second', ts)) AS read FROM events",
 }
+
+_BEFORE, _AFTER = "array_to_string(b[greatest(1, len(b) - 1):], chr(10))", "CASE WHEN len(a) > 1 THEN a[1] || chr(10) ELSE rest END"
+_LEFT = "least(length(before), greatest(room // 2, room - length(after)))"
+SQL |= {
+    "html_assets": f"""WITH u AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, string_split({_PATH}, '/') AS parts FROM pages)
+      SELECT page_id, 0 AS position, origin || '/s/' || page_id || '.css' AS asset FROM u
+      UNION ALL SELECT page_id, 1, origin || array_to_string(parts[1:greatest(len(parts) - 2, 1)], '/') || '/a.js?v=1' FROM u UNION ALL SELECT page_id, 2, origin || '/c/chunk.js' FROM u""",
+    "review_chunks": """WITH RECURSIVE t AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+      s AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS line FROM t), l AS (SELECT doc_id, line, strlen(parts[line]) + (line < len(parts))::INT AS bytes FROM s WHERE line < len(parts) OR parts[line] <> ''),
+      r AS (SELECT doc_id, line, 0 AS chunk, bytes AS held, bytes FROM l WHERE line = 1
+        UNION ALL SELECT l.doc_id, l.line, CASE WHEN held + l.bytes > 3000 THEN chunk + 1 ELSE chunk END, CASE WHEN held + l.bytes > 3000 THEN l.bytes ELSE held + l.bytes END, l.bytes FROM r JOIN l ON l.doc_id = r.doc_id AND l.line = r.line + 1)
+      SELECT doc_id, chunk::INT AS chunk, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line, sum(bytes)::BIGINT AS bytes FROM r GROUP BY doc_id, chunk""",
+    "report_rendered": f"""WITH {ALL}, {_PLACES}, k AS (SELECT *, string_split(prefix, chr(10)) AS b, string_split({_REST}, chr(10)) AS a, {_REST} AS rest FROM pm),
+      x AS (SELECT *, {_BEFORE} AS before, {_AFTER} AS after, greatest(500 - length(matching), 0) AS room FROM k),
+      y AS (SELECT *, {_LEFT} AS l, row_number() OVER (PARTITION BY finding_id ORDER BY blob_id, start, "end", structural_id) AS rank FROM x), z AS (SELECT *, least(length(after), room - l) AS r FROM y)
+      SELECT finding_id, 0 AS rank, min(rule_name) || ' (' || min(rule_id) || '): ' || min(secret) || ', ' || count(*) || ' matches' AS line FROM pm GROUP BY finding_id
+      UNION ALL SELECT finding_id, rank::INT, left(blob_id, 12) || ':' || start_line || ':' || start_column || ': ' || CASE WHEN l < length(before) THEN '...' ELSE '' END || CASE WHEN l > 0 THEN right(before, l) ELSE '' END
+        || left(matching, 500) || left(after, r) || CASE WHEN r < length(after) OR length(matching) > 500 THEN '...' ELSE '' END FROM z WHERE rank <= 3""",
+}

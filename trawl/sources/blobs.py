@@ -128,6 +128,40 @@ def _read(objects: DataFrame, repository: str, most: int) -> DataFrame:
     return objects.mapInPandas(contents, kinds.replace("oid string", "blob_id string", 1) + ", content binary, size long")
 
 
+def from_urls(urls: DataFrame, pages: DataFrame, most: int = 20 << 20) -> DataFrame:
+    """Blobs of a list of addresses (url, and ``candidates`` to try in order) from a table of answers (url, status, content).
+
+    The first address with a successful, non-empty answer of at most ``most`` bytes that is no binary counts; addresses without one
+    have a row without a blob, with ``found`` false.
+    """
+    tried = F.posexplode(F.coalesce(F.col("candidates"), F.array("url")) if "candidates" in urls.columns else F.array("url"))
+    asked = urls.select("url", tried.alias("place", "address"))
+    size = F.octet_length("content")
+    good = pages.filter((F.col("status") == 200) & (size > 0) & (size <= most) & ~is_binary(F.col("content"))).select(F.col("url").alias("address"), "content")
+    first = asked.join(good.select("address").distinct(), "address").groupBy("url").agg(F.min_by("address", "place").alias("address"))
+    held = first.join(good.dropDuplicates(["address"]), "address")
+    found = held.select("url", F.col("address").alias("path"), blob_id(F.col("content")).alias("blob_id"), "content", F.lit(True).alias("found"))
+    return urls.select("url").join(found, "url", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def from_listing(listing: DataFrame, repository: Column, most: int = 10 << 20) -> DataFrame:
+    """Blobs of hosted repositories from a table of their files (path, encoding, content), as the hosts' interfaces list them.
+
+    Contents are base64 or text; paths begin with the repository's name. Damaged, binary and larger ones are left out.
+    """
+    body = F.when(F.col("encoding") == "base64", F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64"))).otherwise(F.col("content").cast("binary"))
+    found = listing.select(F.concat(repository, F.lit("/"), F.col("path")).alias("path"), body.alias("content")).filter("content is not null")
+    kept = found.filter((F.octet_length("content") <= most) & ~is_binary(F.col("content")))
+    return kept.select(blob_id(F.col("content")).alias("blob_id"), "path", "content", F.octet_length("content").cast("long").alias("size"))
+
+
+def clone_path(url: Column) -> Column:
+    """Where a mirror of clones keeps a repository: ``host/path.git``; paths of the local machine stay."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(url), r"\A(?:[a-z+]+://)?(?:[^@/]*@)?", ""), r"(?:\.git)?/*\z", "")
+    remote = url.rlike(r"\A(?:[a-z+]+://|[^/@]+@[^/:]+:)")
+    return F.when(remote, F.concat(F.regexp_replace(plain, r"\A([^/:]+):(?:[0-9]+/)?", "$1/"), F.lit(".git"))).otherwise(url)
+
+
 def git_history(spark: SparkSession, repository: str, most: int = 20 << 20, parts: int = 16) -> DataFrame:
     """Every blob that any commit of a repository holds, once, with its path in the first commit that brought it, and that commit.
 
