@@ -138,9 +138,8 @@ def _cuts(drawn: DataFrame) -> DataFrame:
     return first.select(F.col("source").alias("_source"), F.struct(*[F.col(f"at.{c}").alias(c) for c in order]).alias("_cut"), F.col("at.k").alias("_k"), F.col("at.n").alias("_n"))
 
 
-def plan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """What the mix takes: a row for each source and size class, and the cut of each source's order."""
-    slim = stored(_rows(documents, doc_id, text, source, []).drop("row"))
+def plan(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of ``_rows``: a row for each source and size class, and the cut of each source's order."""
     classes = stored(slim.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     aimed = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "_source")
     both = classes.join(aimed, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -181,14 +180,14 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     difference. Other columns, whatever their names, are left out. An empty table gives an empty one. Reruns agree,
     as the random numbers come from ids and texts.
     """
-    shares, cuts = plan(documents, doc_id, text, source)
-    found = _taken(stored(_rows(documents, doc_id, text, source, [])), shares, cuts)
+    slim = stored(_rows(documents, doc_id, text, source, []).drop("row"))
+    found = _taken(slim, *plan(slim))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``documents``, each as often as ``mix`` takes it; documents are only read, never shuffled."""
-    shares, cuts = plan(documents, doc_id, text, source)
-    found = _taken(_rows(documents, doc_id, text, source, documents.columns), shares, cuts).filter("copies > 0")
+    slim = stored(_rows(documents, doc_id, text, source, []).drop("row"))
+    found = _taken(_rows(documents, doc_id, text, source, documents.columns), *plan(slim)).filter("copies > 0")
     each = found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return each.select(*apart("row", documents.columns))
