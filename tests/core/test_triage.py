@@ -100,7 +100,7 @@ def test_source_maps_within_and_beside(spark):
 
     texts = ["x //# sourceMappingURL=data:application/json;base64," + base64.b64encode(inner.encode()).decode(), "y //# sourceMappingURL=data:application/json," + quote(inner), "z //# sourceMappingURL=z.js.map", "//# sourceMappingURL=data:broken,%%%"]
     frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
-    rows = sorted((r.k, r.value, r.detail) for r in jsintel.source_maps(frame, ["k"]).collect())
+    rows = sorted((r.k, r.value, r.detail) for r in jsintel.source_maps(frame, ["k"]).union(jsintel.inline_maps(frame, ["k"])).collect())
     assert rows == [(0, "inline source map", "2 embedded source file(s)"), (1, "inline source map", "2 embedded source file(s)"), (2, "z.js.map", "external source map reference")]
     assert sorted((r.k, r.path, r.content) for r in jsintel.embedded_sources(frame, ["k"]).collect()) == [(k, p, c) for k in (0, 1) for p, c in (("a.js", "one"), ("source-2.js", "two"))]
     nested = json.dumps({"sections": [{"map": json.loads(inner)}, {"map": {"sourcesContent": [None, "", "three"]}}]}).encode()

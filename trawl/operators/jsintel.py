@@ -170,16 +170,20 @@ def _data(reference: Column) -> Column:
 
 
 def source_maps(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """References to source maps: those outside the text by address, those within it by the number of sources they hold."""
+    """References to source maps outside the text."""
     found = _found(df.select(*keys, text), text, SOURCE_MAP, 1, _before_last_group(0, "g1"))
     value = F.regexp_replace(F.col("g1"), r"\*/\z", "")
-    within = F.col("g1").startswith("data:")
-    outside = _artifacts(found.filter(~within), keys, "source_map", F.lit(""), value, F.lit("external source map reference"))
-    parsed = F.from_json(_data(value), MAP)
+    return distinct(_artifacts(found.filter(~F.col("g1").startswith("data:")), keys, "source_map", F.lit(""), value, F.lit("external source map reference")), keys)
+
+
+def inline_maps(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Source maps within the text, by the number of sources they hold; damaged ones are none."""
+    found = _found(df.select(*keys, text), text, SOURCE_MAP, 1, _before_last_group(0, "g1")).filter(F.col("g1").startswith("data:"))
+    parsed = F.from_json(_data(F.regexp_replace(F.col("g1"), r"\*/\z", "")), MAP)
     held = F.size(F.filter(F.coalesce(parsed["sourcesContent"], F.array().cast("array<string>")), lambda c: c != ""))
-    inline = found.filter(within).withColumn("_held", F.when(parsed.isNotNull(), held)).filter("_held is not null")
-    inline = _artifacts(inline, keys, "source_map", F.lit(""), F.lit("inline source map"), F.concat(F.col("_held").cast("string"), F.lit(" embedded source file(s)")))
-    return distinct(outside.unionByName(inline), keys)
+    inline = found.withColumn("_held", F.when(parsed.isNotNull(), held)).filter("_held is not null")
+    detail = F.concat(F.col("_held").cast("string"), F.lit(" embedded source file(s)"))
+    return distinct(_artifacts(inline, keys, "source_map", F.lit(""), F.lit("inline source map"), detail), keys)
 
 
 def embedded_sources(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -197,7 +201,7 @@ def embedded_sources(df: DataFrame, keys: list[str], text: str = "text") -> Data
 def analyze(df: DataFrame, keys: list[str], text: str = "text", secrets: bool = False) -> DataFrame:
     """The artifacts of all extractors, of equal ones of a text the first; ``secrets`` adds the heuristic for secrets."""
     found = endpoints(df, keys, text)
-    for extractor in (cloud_urls, subdomains, dependencies, source_maps, *([generic_secrets] if secrets else [])):
+    for extractor in (cloud_urls, subdomains, dependencies, source_maps, inline_maps, *([generic_secrets] if secrets else [])):
         found = found.unionByName(extractor(df, keys, text))
     first = found.groupBy(*keys, "category", "method", "value", "detail").agg(F.min(F.struct("line", "column", "confidence")).alias("_at"))
     return first.select(*keys, "category", "method", "value", "detail", F.coalesce("_at.confidence", F.lit("info")).alias("confidence"), "_at.line", "_at.column")
