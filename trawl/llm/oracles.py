@@ -103,3 +103,31 @@ FROM b
 SQL["op5_warc"] = OP5
 
 SQL["op2_sharding"] = "SELECT doc_id, lang, source, n_chars, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
+
+def _assigned(name: str, book: str) -> str:
+    """CTE <name>: for each row and part the nearest entry of a codebook and the squared distance to it."""
+    return f"""
+{name}_d AS (SELECT rid, v.part, entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN {book} b ON v.part = b.part AND v.place = b.place GROUP BY ALL),
+{name} AS (SELECT rid, part, (min(d * 64 + entry) % 64)::BIGINT AS entry, min(d)::BIGINT AS d FROM {name}_d GROUP BY rid, part)"""
+
+
+def _moved(name: str, book: str, assigned: str) -> str:
+    """CTE <name>: the codebook with its used entries at the mean of their parts, rounded down."""
+    return f"""
+{name}_s AS (SELECT v.part, a.entry, v.place, sum(v.x)::BIGINT AS s, count(*) AS n FROM v JOIN {assigned} a ON v.rid = a.rid AND v.part = a.part GROUP BY ALL),
+{name} AS (SELECT b.part, b.entry, b.place, CASE WHEN n IS NULL THEN b.x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x
+  FROM {book} b LEFT JOIN {name}_s s ON b.part = s.part AND b.entry = s.entry AND b.place = s.place)"""
+
+
+SQL["op11_annular_codes"] = f"""
+WITH k AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS rid FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT rid, len(embedding) // 16 AS w, unnest(embedding) AS f, unnest(range(0, len(embedding))) AS i FROM k),
+v AS (SELECT rid, (i // w)::BIGINT AS part, (i % w)::BIGINT AS place, floor(256 * f::DOUBLE)::BIGINT AS x FROM u),
+b0 AS (SELECT part, rid AS entry, place, x FROM v WHERE rid < 64),
+{_assigned("a1", "b0")}, {_moved("b1", "b0", "a1")}, {_assigned("a2", "b1")}, {_moved("b2", "b1", "a2")}, {_assigned("a3", "b2")},
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b2),
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a3 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (rid), h
+"""

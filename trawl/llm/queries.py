@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import compression_quality, mixing, packing, progressive_jpeg, quality_rules, shards, simhash, token_counts, toxicity, warc
+from trawl.llm import compression_quality, mixing, packing, progressive_jpeg, quality_rules, shards, simhash, token_counts, toxicity, vector_codes, warc
 from trawl.llm.shared import fresh, shared_folder
 
 
@@ -86,4 +86,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), known=correct_words())
 
 
-QUERIES = {"op1_quality_rules": op1, "op2_sharding": op2, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10}
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all ``embeddings``."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_quality_rules": op1, "op2_sharding": op2, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10, "op11_annular_codes": op11}
