@@ -131,3 +131,26 @@ h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS
 c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a3 GROUP BY rid)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (rid), h
 """
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda s, d: list_reduce([xor(s, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295::BIGINT)"""
+
+SQL["op12_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+  substr(sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS hash FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, hash) AS place FROM t),
+f AS (SELECT DISTINCT c, c - c % 5 AS b, {_CRC32} % 9 AS h FROM o),
+r AS (SELECT f.c, 0 AS own, place, hash, n_bytes FROM f JOIN o ON o.c = f.b WHERE place <= h
+  UNION ALL SELECT f.c, 1, place, hash, n_bytes FROM f JOIN o ON o.c = f.c WHERE place > h),
+p AS (SELECT c, row_number() OVER w AS depth, n_bytes, sha256(array_to_string(list(hash) OVER w, '')) AS node FROM r WINDOW w AS (PARTITION BY c ORDER BY own, place)),
+m AS (SELECT c, depth, n_bytes, node FROM p UNION ALL SELECT c, 0, 0, '' FROM f),
+l AS (SELECT c, max(depth) AS length FROM m GROUP BY c),
+n AS (SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, min(n_bytes) AS n_bytes FROM m GROUP BY ALL),
+u AS (SELECT n.*, q.node AS parent FROM n LEFT JOIN m q ON q.c = n.conv_id AND q.depth = n.depth - 1),
+k AS (SELECT parent AS node, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT a.node, sum((x.n_convs - 1) * x.n_bytes)::BIGINT AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves
+  FROM n x LEFT JOIN k ON k.node = x.node JOIN m a ON a.c = x.conv_id AND a.depth <= x.depth GROUP BY a.node),
+e AS (SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256 FROM m JOIN l USING (c) WHERE depth = length GROUP BY node)
+SELECT u.conv_id, u.depth::BIGINT AS depth, v.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM u LEFT JOIN n v ON v.node = u.parent AND v.depth = u.depth - 1 LEFT JOIN k ON k.node = u.node JOIN s ON s.node = u.node LEFT JOIN e ON e.node = u.node
+"""
