@@ -154,3 +154,20 @@ e AS (SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256
 SELECT u.conv_id, u.depth::BIGINT AS depth, v.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
 FROM u LEFT JOIN n v ON v.node = u.parent AND v.depth = u.depth - 1 LEFT JOIN k ON k.node = u.node JOIN s ON s.node = u.node LEFT JOIN e ON e.node = u.node
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op13_circulant_minhash"] = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT rid, doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda i: array_to_string(words[i : i + 3], ' '))) END AS grams FROM w),
+s AS (SELECT rid, md5(array_to_string(list_sort(grams), chr(10))) AS same, len(grams)::BIGINT AS n FROM g),
+d AS (SELECT min(rid) AS rid, same, any_value(n) AS n FROM s WHERE n > 0 GROUP BY same),
+u AS (SELECT g.rid, d.n, unnest(grams) AS gram FROM g JOIN d ON g.rid = d.rid),
+p AS (SELECT a.rid AS x, b.rid AS y, a.n + b.n - count(*) AS total, count(*) AS shared FROM u a JOIN u b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY a.rid, b.rid, a.n, b.n),
+l AS (SELECT x, y FROM p WHERE 100 * shared >= 80 * total),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+i AS (SELECT same, min(doc_id) AS first FROM s JOIN w USING (rid) GROUP BY same),
+c AS (SELECT a.same, min(first) AS component_id FROM r JOIN d a ON a.rid = r.x JOIN d b ON b.rid = r.y JOIN i ON i.same = b.same GROUP BY a.same)
+SELECT w.doc_id, s.n AS n_shingles, CASE WHEN s.n = 0 THEN w.doc_id ELSE component_id END AS component_id, s.n = 0 OR w.doc_id = component_id AS kept
+FROM s JOIN w USING (rid) LEFT JOIN c ON c.same = s.same
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import compression_quality, mixing, packing, prefix_trie, progressive_jpeg, quality_rules, shards, simhash, token_counts, toxicity, vector_codes, warc
+from trawl.llm import circulant, compression_quality, mixing, packing, prefix_trie, progressive_jpeg, quality_rules, shards, simhash, token_counts, toxicity, vector_codes, warc
 from trawl.llm.shared import fresh, shared_folder
 
 
@@ -96,4 +96,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_quality_rules": op1, "op2_sharding": op2, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10, "op11_annular_codes": op11, "op12_conversation_trie": op12}
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all ``documents`` by circulant MinHash."""
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality_rules": op1, "op2_sharding": op2, "op3_simhash_near_dedup": op3, "op4_pareto_mix": op4, "op5_warc": op5, "op6_progressive_jpeg": op6, "op7_compression_quality": op7, "op8_best_fit_packing": op8, "op9_token_counts": op9, "op10_toxicity": op10, "op11_annular_codes": op11, "op12_conversation_trie": op12, "op13_circulant_minhash": op13}
