@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.ranks import numbered
-from trawl.llm.shared import let, shared_folder, stored, scratch
+from trawl.llm.shared import let, scratch, shared_folder, stored
 from trawl.llm.simhash import to_rows
 
 STRIDE = 16
@@ -64,14 +64,13 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _prefixes(turns: Column, start: Column) -> Column:
-    """For turns in order, an array of (depth, node, path, n_bytes): the prefix that ends with each, and the prefixes of this round up to it."""
-    kind = "array<struct<depth:bigint,node:binary,parent:binary,path:array<binary>,n_bytes:bigint>>"
+    """For turns in order, an array of (depth, node, path, n_bytes): the prefix that ends with each, and the prefixes from this round's start up to it."""
+    kind = "array<struct<depth:bigint,node:binary,path:array<binary>,n_bytes:bigint>>"
 
     def add(done: Column, turn: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        before = F.coalesce(last["node"], start)
-        node = _short(F.concat(before, turn["hash"]))
-        one = let(node, lambda n: F.struct(turn["place"].alias("depth"), n.alias("node"), before.alias("parent"), F.concat(F.coalesce(last["path"], F.array().cast("array<binary>")), F.array(n)).alias("path"), turn["n_bytes"].alias("n_bytes")))
+        path = F.coalesce(F.try_element_at(done, F.lit(-1))["path"], F.array(start))
+        node = _short(F.concat(F.element_at(path, -1), turn["hash"]))
+        one = let(node, lambda n: F.struct(turn["place"].alias("depth"), n.alias("node"), F.concat(path, F.array(n)).alias("path"), turn["n_bytes"].alias("n_bytes")))
         return F.concat(done, F.array(one)).cast(kind)
 
     return F.aggregate(turns, F.array().cast(kind), add)
@@ -120,6 +119,16 @@ def digests(ends: DataFrame) -> DataFrame:
     return pieces.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_digests, "node binary, ends_sha256 string")
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    found = frames[0]
+    for frame in frames[1:]:
+        found = found.unionByName(frame)
+    return found
+
+
+KIND = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
+
+
 def trie(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row for each node of the prefix trie of ``turns`` (conv_id, place from 1, hash, n_bytes).
 
@@ -129,58 +138,67 @@ def trie(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     spark = turns.sparkSession
     folder = shared_folder(spark)
-    root = F.unhex(F.lit("00"))
+    root, long = F.unhex(F.lit("00")), lambda n: F.lit(n).cast("long")
     with scratch(spark):
         turns = stored(turns)
         active = stored(sizes.select("conv_id", "length", root.alias("node")))
-        top = active.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).filter("n > 0")
-        top = top.select(F.lit(0).cast("long").alias("depth"), root.alias("node"), F.lit(None).cast("binary").alias("parent"), F.array().cast("array<binary>").alias("path"), "conv_id", "n", F.lit(0).cast("long").alias("n_bytes"))
-        blocks: list[DataFrame] = []
-        retired: list[DataFrame] = []
+        n, first, n_ended = active.agg(F.count("*"), F.min("conv_id"), F.count_if(F.col("length") == 0)).first()
+        rounds: list[DataFrame] = []
         ends = [active.filter("length = 0").select("node", "conv_id")]
         depth, stride = 0, 1
         while not (active := active.filter(F.col("length") > depth)).isEmpty():
             window = turns.filter((F.col("place") > depth) & (F.col("place") <= depth + stride)).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "hash", "n_bytes"))).alias("turns"))
             level = active.join(window, "conv_id").select("conv_id", "length", F.explode(_prefixes(F.col("turns"), F.col("node"))).alias("p")).select("conv_id", "length", "p.*")
             level = stored(level)
-            groups = level.groupBy("depth", "node").agg(F.first("parent").alias("parent"), F.first("path").alias("path"), F.min("conv_id").alias("conv_id"), F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes"), F.first("length").alias("length"))
-            groups = stored(groups)
-            single = stored(groups.filter("n = 1").groupBy("conv_id", "length").agg(F.min_by("parent", "depth").alias("parent"), F.min("depth").alias("depth")))
-            blocks.append(groups.filter("n > 1").drop("length"))
-            retired.append(single)
-            left = stored(level.filter((F.col("depth") == F.col("length")) | (F.col("depth") == depth + stride)).select("conv_id", "length", "depth", "node").join(single.select("conv_id"), "conv_id", "left_anti"))
+            ended = F.count_if(F.col("length") == F.col("depth"))
+            groups = stored(level.groupBy("depth", "node", "path", "n_bytes").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n"), F.max("length").alias("length"), ended.alias("n_ended")))
+            rounds.append(groups)
+            single = groups.filter("n = 1").select("conv_id").distinct()
+            left = stored(level.filter((F.col("depth") == F.col("length")) | (F.col("depth") == depth + stride)).select("conv_id", "length", "depth", "node").join(single, "conv_id", "left_anti"))
             ends.append(left.filter("length = depth").select("node", "conv_id"))
             active = left.filter(F.col("depth") == depth + stride).select("conv_id", "length", "node")
             depth, stride = depth + stride, min(2 * stride, STRIDE)
-        union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-        nodes = [top, *blocks]
-        chains = union(retired) if retired else spark.createDataFrame([], "conv_id long, length long, parent binary, depth long")
-        below = union([n.filter("depth > 0").select("parent", F.lit(0).alias("single")) for n in nodes] + [chains.select("parent", F.lit(1).alias("single"))])
-        children = stored(below.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"), F.sum("single").alias("singles")))
-        carried = spark.createDataFrame([], "node binary, more_leaves long, more_saved long")
+        if not n:
+            return stored(spark.createDataFrame([], KIND), folder)
+        parent = F.element_at("path", -2).alias("parent")
+        # The node where each lonely conversation leaves its class; in one round all its prefixes from there on are alone.
+        alone = [g.filter("n = 1").groupBy("conv_id", "length").agg(F.array_min(F.collect_list(F.struct("depth", "path"))).alias("p")).select("conv_id", "length", "p.*") for g in rounds]
+        alone = [stored(a) for a in alone]
+        shared = [g.filter("n > 1") for g in rounds]
         totals: list[DataFrame] = []
-        for block in reversed(nodes):
-            own = block.join(children, "node", "left").join(carried, "node", "left")
-            leaf = F.when(F.coalesce("n_children", F.lit(0)) == 0, 1).otherwise(F.col("singles"))
-            own = own.select("depth", "node", "parent", "path", (leaf + F.coalesce("more_leaves", F.lit(0))).alias("leaves"), ((F.col("n") - 1) * F.col("n_bytes") + F.coalesce("more_saved", F.lit(0))).alias("saved"))
-            path = F.when(F.size("path") == 0, F.array("node")).otherwise(F.col("path"))
-            sums = stored(own.select(F.explode(path).alias("node"), "leaves", "saved").groupBy("node").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens")))
-            totals.append(sums)
-            firsts = block.filter(F.size("path") == 1).select("node", "parent").join(sums, "node")
-            carried = firsts.groupBy(F.col("parent").alias("node")).agg(F.sum("n_leaves").alias("more_leaves"), F.sum("saved_tokens").alias("more_saved"))
-        core = union(nodes).select("depth", "node", "parent", "conv_id", F.col("n").alias("n_convs")).join(union(totals), "node").join(children.drop("singles"), "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long"))
-        core = stored(core.join(digests(stored(union(ends))), "node", "left"))
-        none = F.sha2(F.lit(""), 256)
-        parents = core.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "n_children")
-        shared = core.withColumn("ends_sha256", F.coalesce("ends_sha256", none))
-        columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
-        rows = union([shared.filter("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long")), to_rows(shared.filter("depth > 0").withColumnRenamed("n_children", "own"), parents, "parent", "n_children").withColumnRenamed("own", "n_children").select(*shared.columns, "parent_conv_id")])
-        starts = to_rows(chains, parents, "parent", "n_children").select("conv_id", "length", "parent_conv_id", F.col("depth").alias("top"), F.explode(F.sequence(F.col("depth"), F.col("length"), F.lit(CHAIN).cast("long"))).alias("start"))
+        carried: DataFrame | None = None
+        for k in reversed(range(len(rounds))):
+            given = shared[k].select("path", F.when(F.col("n_ended") == F.col("n"), 1).otherwise(0).alias("leaves"), ((F.col("n") - 1) * F.col("n_bytes")).alias("saved"))
+            given = given.unionByName(alone[k].select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.lit(1).alias("leaves"), F.lit(0).alias("saved")))
+            if carried is not None:
+                given = given.unionByName(shared[k].select("node", "path").join(carried, "node").select("path", "leaves", "saved"))
+            sums = given.select(F.posexplode("path").alias("place", "node"), "leaves", "saved").groupBy("place", "node").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+            sums = stored(sums)
+            totals.append(sums.filter("place > 0").select("node", "leaves", "saved"))
+            carried = sums.filter("place = 0").select("node", "leaves", "saved")
+        whole = spark.range(1).select(root.alias("node"), long(0).alias("depth"), long(first).alias("conv_id"), long(n).alias("n_convs"))
+        own = [whole, *[g.select("node", "depth", "conv_id", F.col("n").alias("n_convs")) for g in shared]]
+        parents = _union([a.select(parent) for a in alone] + [g.select(parent) for g in shared] or [whole.filter("false").select(F.col("node").alias("parent"))])
+        parts = [o.select("*", *[long(0).alias(c) for c in ("n_children", "leaves", "saved")]) for o in own]
+        none = [F.lit(None).cast("long").alias(c) for c in ("depth", "conv_id", "n_convs")]
+        parts.append(parents.select(F.col("parent").alias("node"), *none, long(1).alias("n_children"), long(0).alias("leaves"), long(0).alias("saved")))
+        if carried is not None:
+            parts += [t.select("node", *none, long(0).alias("n_children"), "leaves", "saved") for t in [*totals, carried]]
+        if n_ended == n:
+            parts.append(whole.select("node", *none, long(0).alias("n_children"), long(1).alias("leaves"), long(0).alias("saved")))
+        core = _union(parts).groupBy("node").agg(*[F.max(c).alias(c) for c in ("depth", "conv_id", "n_convs")], F.sum("n_children").alias("n_children"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
+        core = stored(core)
+        empty = F.sha2(F.lit(""), 256)
+        above = core.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("n"))
+        below = [g.select("node", "conv_id", "depth", long(0).alias("length"), parent) for g in shared] + [a.select(F.lit(None).cast("binary").alias("node"), "conv_id", "depth", "length", parent) for a in alone]
+        below = stored(to_rows(_union(below), above, "parent", "n")) if below else whole.filter("false").select("node", "conv_id", "depth", long(0).alias("length"), long(0).alias("parent_conv_id"))
+        told = below.filter("node is not null").select("node", "parent_conv_id").unionByName(whole.select("node", F.lit(None).cast("long").alias("parent_conv_id")))
+        rows = core.join(told, "node").join(digests(stored(_union(ends))), "node", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", empty))
+        starts = below.filter("node is null").select("conv_id", "length", "parent_conv_id", F.col("depth").alias("top"), F.explode(F.sequence(F.col("depth"), F.col("length"), long(CHAIN))).alias("start"))
         chain = starts.repartition("conv_id", "start").withColumn("depth", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + CHAIN - 1, F.col("length")))))
         last = F.col("depth") == F.col("length")
-        one = lambda n: F.lit(n).cast("long")
-        chain = chain.select("conv_id", "depth", F.when(F.col("depth") == F.col("top"), F.col("parent_conv_id")).otherwise(F.col("conv_id")).alias("parent_conv_id"), one(1).alias("n_convs"), F.when(last, one(0)).otherwise(one(1)).alias("n_children"), one(1).alias("n_leaves"), one(0).alias("saved_tokens"), F.when(last, F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(none).alias("ends_sha256"))
-        return stored(rows.select(columns).unionByName(chain.select(columns)), folder)
+        chain = chain.select("conv_id", "depth", F.when(F.col("depth") == F.col("top"), F.col("parent_conv_id")).otherwise(F.col("conv_id")).alias("parent_conv_id"), long(1).alias("n_convs"), F.when(last, long(0)).otherwise(long(1)).alias("n_children"), long(1).alias("n_leaves"), long(0).alias("saved_tokens"), F.when(last, F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(empty).alias("ends_sha256"))
+        return stored(rows.select(chain.columns).unionByName(chain), folder)
 
 
 def prefix_trie(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", rebuild: bool = True) -> DataFrame:
