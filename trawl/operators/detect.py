@@ -113,7 +113,7 @@ class Tools:
             if found is None:
                 self.always.append(k)
             for word in found or ():
-                needs.setdefault(word.encode().decode("latin-1"), set()).add(k)
+                needs.setdefault(word, set()).add(k)  # a character for each byte
         for word, own in needs.items():
             self.machine.add_word(word, frozenset(own))
         self.any = bool(needs)

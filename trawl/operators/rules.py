@@ -266,14 +266,33 @@ def load_report(path: str | Path) -> tuple[list[Rule], list[tuple[str, str]]]:
     return list(good.values()), bad
 
 
-#: Literals shorter than this occur in nearly every text.
-LEAST_LITERAL = 3
+#: Literals shorter than this occur in nearly every text; a character class of at most so many characters counts as a choice of them.
+LEAST_LITERAL, CHOICES = 3, 12
+_CAPITALS = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """``text`` with A-Z in lower case, and nothing else: what ``bytes.lower`` does to its bytes."""
+    return text.translate(_CAPITALS)
+
+
+def _choices(items) -> list[str] | None:
+    """The characters of a class, if they are few."""
+    found: list[str] = []
+    for op, value in items:
+        if str(op) == "LITERAL":
+            found.append(chr(value))
+        elif str(op) == "RANGE" and value[1] - value[0] < CHOICES:
+            found += map(chr, range(value[0], value[1] + 1))
+        else:
+            return None
+    return found if len(found) <= CHOICES else None
 
 
 def _needed(parsed) -> frozenset[str] | None:
-    """Literals, in lower case, of which every match of a parsed pattern holds one; None if there is no such set."""
+    """Literals, with A-Z in lower case, of which every match of a parsed pattern holds one; None if there is no such set."""
     best: frozenset[str] | None = None
-    run = ""
+    runs = {""}
 
     def better(some: frozenset[str] | None) -> None:
         nonlocal best
@@ -282,13 +301,18 @@ def _needed(parsed) -> frozenset[str] | None:
 
     for op, value in [*parsed, (None, None)]:
         name = str(op)
-        if name == "LITERAL":
-            run += chr(value).lower()
-            continue
-        if run:
-            better(frozenset([run]))
-        run = ""
-        if name == "SUBPATTERN":
+        chars = [chr(value)] if name == "LITERAL" else _choices(value) if name == "IN" else None
+        if chars:
+            longer = {r + lowered(c) for r in runs for c in chars}
+            if len(longer) <= CHOICES:
+                runs = longer
+                continue
+        if runs != {""}:
+            better(frozenset(runs))
+        runs = {""}
+        if chars and len({*map(lowered, chars)}) <= CHOICES:
+            runs = {*map(lowered, chars)}
+        elif name == "SUBPATTERN":
             better(_needed(value[3]))
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
             better(_needed(value[2]))
@@ -301,8 +325,11 @@ def _needed(parsed) -> frozenset[str] | None:
 
 
 def literals(rule: Rule) -> frozenset[str] | None:
-    """Literals in lower case, one of which every text with a match holds (in any case); None if the pattern names none."""
-    return _needed(_parser.parse(portable(rule.pattern)))
+    """Literals with A-Z in lower case, one of which every text with a match holds (in any case of A-Z); None if the pattern names none.
+
+    Patterns are matched byte by byte, where ignoring case concerns A-Z only; so do these literals.
+    """
+    return _needed(_parser.parse(portable(rule.pattern).encode()))
 
 
 def frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
