@@ -77,10 +77,13 @@ def scan(blobs: DataFrame, rules: Iterable[Rule], text: str = "text", size: int
     return detect.first_by_place(detect.with_ids(found), ["chunk"])
 
 
-def rule_stats(matches: DataFrame) -> DataFrame:
-    """Statistics of each rule and chunk (rule_id, state, n_matches, seconds); seconds are not measured."""
-    counted = matches.groupBy("blob_id", "chunk", "rule_id").agg(F.count("*").alias("n_matches"))
-    return counted.select("rule_id", F.lit("completed").alias("state"), "n_matches", F.lit(0.0).alias("seconds"))
+def rule_stats(blobs: DataFrame, rules: Iterable[Rule], text: str = "text") -> DataFrame:
+    """Statistics of each rule and state over all chunks (rule_id, state, n_tried, n_matches, seconds), measured by the scan itself.
+
+    ``n_tried`` counts the texts on which a rule was tried, as they hold what it needs. Matches are not kept.
+    """
+    scanned = detect.with_python(blobs, rules, text, stats=True)
+    return detect.measured(scanned)[1]
 
 
 def prepared(files: DataFrame) -> DataFrame:

@@ -10,24 +10,31 @@ columns count from 1, columns in bytes, and the end point is that of the first b
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trawl.functions import ids
 from trawl.functions.text import context_after, context_before, let, newlines
+from trawl.operators.ambiguity import is_exponential
 from trawl.operators.rules import Rule, literals, portable
 
 MATCH = (
     "rule_id string, rule_name string, rule_sid string, start long, end long, start_line long, start_column long, "
     "end_line long, end_column long, matching string, groups array<string>, named map<string,string>"
 )
+#: What a scan measures of each rule and task, beside the matches.
+STATS = "state string, n_tried long, n_matches long, seconds double"
+#: Seconds that a rule may spend on one text, if its pattern can take exponential time.
+PATIENCE = 5.0
 
 
 def wrapped(pattern: str) -> str:
@@ -104,7 +111,7 @@ class Tools:
     """Compiled rules, and a machine that finds all literals which they require in one pass over a text."""
 
     def __init__(self, rules: list[Rule]):
-        self.rules = [(r, re.compile(portable(r.pattern).encode(), re.MULTILINE), tuple(k.encode() for k in r.keywords), r.names) for r in rules]
+        self.rules = [(r, self._finder(r.pattern), tuple(k.encode() for k in r.keywords), r.names) for r in rules]
         self.machine = ahocorasick.Automaton()
         needs: dict[str, set[int]] = {}
         self.always = []
@@ -120,6 +127,14 @@ class Tools:
         if self.any:
             self.machine.make_automaton()
 
+    @staticmethod
+    def _finder(pattern: str):
+        """A function that finds all matches in bytes; it raises TimeoutError after PATIENCE if the pattern can take exponential time."""
+        if not is_exponential(pattern):
+            return re.compile(portable(pattern).encode(), re.MULTILINE).finditer
+        bounded = regex.compile(portable(pattern).encode(), regex.MULTILINE)
+        return lambda body: bounded.finditer(body, timeout=PATIENCE)
+
     def candidates(self, body: bytes) -> list[int]:
         """The rules, in order, that may match."""
         found = set(self.always)
@@ -158,56 +173,95 @@ def surroundings(body: bytes, start: int, end: int, lines: int) -> tuple[bytes,
     return body[at + 1 : start], body[first : last + 1 if last >= 0 else len(body)] if lines else b""
 
 
-def with_python(blobs: DataFrame, rules: Iterable[Rule], text: str = "text", most: int | None = None, context: int | None = None, whole: Iterable[str] = ()) -> DataFrame:
+class Meter:
+    """What the rules of one task cost: by rule and state, the texts tried, the matches and the seconds."""
+
+    def __init__(self):
+        self.rows: dict[tuple[str, str], list] = {}
+
+    def add(self, rule_id: str, state: str, matches: int, seconds: float) -> None:
+        own = self.rows.setdefault((rule_id, state), [0, 0, 0.0])
+        own[0] += 1
+        own[1] += matches
+        own[2] += seconds
+
+
+def with_python(blobs: DataFrame, rules: Iterable[Rule], text: str = "text", most: int | None = None, context: int | None = None, whole: Iterable[str] = (), stats: bool = False) -> DataFrame:
     """The same for any rules and for text or binary columns; groups that took no part are left out.
 
     ``most``: matches of a blob that are kept, in the order of rules and places (none by default). ``context``: adds
     ``before`` and ``after``, with so many lines. ``whole``: adds ``content``, the blob's text, to matches of these rules.
+    ``stats``: adds STATS, null for matches, and rows without a place that hold what each task measured of each rule; a rule that
+    ran out of PATIENCE on a text has the state ``timeout`` there, and what it found before is kept.
     """
     rules, whole = list(rules), frozenset(whole)
     kept = [f for f in blobs.schema.fields if f.name != text]
     more = ([] if context is None else ["before string", "after string"]) + (["content string"] if whole else [])
+    measured = STATS.split(", ") if stats else []
     names = [c.split()[0] for c in [*MATCH.split(", "), *more]]
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
     types = [kinds[c.split()[1]] for c in [*MATCH.split(", "), *more]]
+    stat_names, stat_types = [c.split()[0] for c in measured], [kinds[c.split()[1]] for c in measured]
+    own_names = [f.name for f in kept]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Tools(rules)
+        tools, meter, shape = Tools(rules), Meter(), None
         as_text = lambda b: b.decode("utf-8", "replace")
         for batch in small_batches(batches, text):
             owners: list[int] = []
             rows: list[tuple] = []
+            shape = batch.schema
             for k, content in enumerate(batch.column(text).to_pylist()):
                 body = b"" if content is None else content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content
                 ends: np.ndarray | None = None
                 n = 0
-                for rule, pattern, keywords, groups in (tools.rules[c] for c in tools.candidates(body)):
+                for rule, finder, keywords, groups in (tools.rules[c] for c in tools.candidates(body)):
                     if keywords and not any(w in body for w in keywords):
                         continue
-                    for m in pattern.finditer(body):
-                        if m.start() == m.end() or (most is not None and n >= most):
-                            continue
-                        n += 1
-                        if ends is None:
-                            ends = np.flatnonzero(np.frombuffer(body, np.uint8) == 10)
-                        place = []
-                        for at in m.span():
-                            line = int(np.searchsorted(ends, at))
-                            place += [line + 1, at - (int(ends[line - 1]) if line else -1)]
-                        found = [(name, as_text(g)) for name, g in zip(groups, m.groups(), strict=True) if g is not None]
-                        row = [rule.id, rule.name, rule.structural_id, *m.span(), *place, as_text(m[0]), [g for _, g in found], [(name, g) for name, g in found if name]]
-                        if context is not None:
-                            row += map(as_text, surroundings(body, *m.span(), context))
-                        if whole:
-                            row.append(as_text(body) if rule.id in whole else None)
-                        owners.append(k)
-                        rows.append(row)
+                    before, began, state = n, time.perf_counter(), "completed"
+                    try:
+                        for m in finder(body):
+                            if m.start() == m.end() or (most is not None and n >= most):
+                                continue
+                            n += 1
+                            if ends is None:
+                                ends = np.flatnonzero(np.frombuffer(body, np.uint8) == 10)
+                            place = []
+                            for at in m.span():
+                                line = int(np.searchsorted(ends, at))
+                                place += [line + 1, at - (int(ends[line - 1]) if line else -1)]
+                            found = [(name, as_text(g)) for name, g in zip(groups, m.groups(), strict=True) if g is not None]
+                            row = [rule.id, rule.name, rule.structural_id, *m.span(), *place, as_text(m[0]), [g for _, g in found], [(name, g) for name, g in found if name]]
+                            if context is not None:
+                                row += map(as_text, surroundings(body, *m.span(), context))
+                            if whole:
+                                row.append(as_text(body) if rule.id in whole else None)
+                            owners.append(k)
+                            rows.append(row)
+                    except TimeoutError:
+                        state = "timeout"
+                    meter.add(rule.id, state, n - before, time.perf_counter() - began)
             if rows:
                 found = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(pa.array(owners)) for f in kept], *found], [*[f.name for f in kept], *names])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(owners)) for c in own_names], *found, *[pa.nulls(len(rows), t) for t in stat_types]], [*own_names, *names, *stat_names])
+        if stats and meter.rows:
+            told = [(rule_id, state, *values) for (rule_id, state), values in sorted(meter.rows.items())]
+            ids, *values = (list(c) for c in zip(*told, strict=True))
+            found = [pa.array(ids) if name == "rule_id" else pa.nulls(len(ids), t) for name, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(ids), shape.field(c).type) for c in own_names], *found, *[pa.array(v, t) for v, t in zip(values, stat_types, strict=True)]], [*own_names, *names, *stat_names])
 
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return blobs.mapInArrow(scan, ", ".join([*own, MATCH, *more]))
+    return blobs.mapInArrow(scan, ", ".join([*own, MATCH, *more, *measured]))
+
+
+def measured(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matches, and the statistics (rule_id, state, n_tried, n_matches, seconds) by rule and state, of a scan with ``stats``.
+
+    Both read ``scanned``: write it first (``plans.store.stored``), or it is scanned twice.
+    """
+    stats = scanned.filter("n_tried is not null").groupBy("rule_id", "state")
+    sums = stats.agg(F.sum("n_tried").alias("n_tried"), F.sum("n_matches").alias("n_matches"), F.sum("seconds").alias("seconds"))
+    return scanned.filter("n_tried is null").drop(*[c.split()[0] for c in STATS.split(", ")]), sums
 
 
 def with_ids(matches: DataFrame, blob_id: str = "blob_id") -> DataFrame:

@@ -234,19 +234,24 @@ def group_names(pattern: str) -> list[str | None]:
     return _walked(_without_extended(pattern))[1]
 
 
-def problem(rule: Rule) -> str | None:
-    """What keeps a rule from being used, if anything does."""
+def problem(rule: Rule, bounded: bool = False) -> str | None:
+    """What keeps a rule from being used, if anything does; unless ``bounded``, a search that may take exponential time does."""
+    from trawl.operators.ambiguity import is_exponential
+
     if not (rule.id and rule.name and rule.pattern):
         return "id, name and pattern are required"
     try:
         re.compile(portable(rule.pattern).encode())
     except (re.error, ValueError) as e:
         return str(e)
-    return None
+    return None if bounded or not is_exponential(rule.pattern) else "the pattern may take exponential time"
+
 
+def load_report(path: str | Path, bounded: bool = False) -> tuple[list[Rule], list[tuple[str, str]]]:
+    """The rules of a file or folder that can be used, and (id, problem) of the others; of equal ids the first stays.
 
-def load_report(path: str | Path) -> tuple[list[Rule], list[tuple[str, str]]]:
-    """The rules of a file or folder that can be used, and (id, problem) of the others; of equal ids the first stays."""
+    Patterns that may take exponential time are refused, or with ``bounded`` taken; a scan gives them a few seconds for a text.
+    """
     where = Path(path)
     files = [where] if where.is_file() else sorted(p for p in where.rglob("*") if p.suffix in (".yml", ".yaml"))
     good: dict[str, Rule] = {}
@@ -258,7 +263,7 @@ def load_report(path: str | Path) -> tuple[list[Rule], list[tuple[str, str]]]:
             bad.append((file.name, str(e)))
             continue
         for rule in found:
-            why = "the id occurs twice" if rule.id in good else problem(rule)
+            why = "the id occurs twice" if rule.id in good else problem(rule, bounded)
             if why:
                 bad.append((rule.id, why))
             else:
@@ -332,6 +337,52 @@ def literals(rule: Rule) -> frozenset[str] | None:
     return _needed(_parser.parse(portable(rule.pattern).encode()))
 
 
+def _sampled(parsed, turn: int) -> str:
+    """A text that a parsed pattern matches; ``turn`` chooses among the characters of classes."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            chars = [chr(c) for c in range(33, 127) if re.fullmatch(_class_text(value), chr(c))]
+            plain = [c for c in chars if c.isalnum()] or chars
+            out += plain[(turn + 7 * len(out)) % len(plain)]
+        elif name == "SUBPATTERN":
+            out += _sampled(value[3], turn + len(out))
+        elif name == "ATOMIC_GROUP":
+            out += _sampled(value, turn + len(out))
+        elif name == "BRANCH":
+            out += _sampled(value[1][0], turn + len(out))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            for k in range(value[0]):
+                out += _sampled(value[2], turn + 5 * k + len(out))
+        elif name in ("ANY", "NOT_LITERAL"):
+            out += "x"
+    return out
+
+
+def _class_text(items) -> str:
+    """A class of a parsed pattern as text."""
+    names = {"CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_SPACE": r"\s", "CATEGORY_NOT_SPACE": r"\S", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W"}
+    parts = []
+    for op, value in items:
+        name = str(op)
+        parts.append("^" if name == "NEGATE" else names[str(value)] if name == "CATEGORY" else re.escape(chr(value)) if name == "LITERAL" else f"{re.escape(chr(value[0]))}-{re.escape(chr(value[1]))}")
+    return "[" + "".join(parts) + "]"
+
+
+def sample(rule: Rule) -> str:
+    """A text that the rule matches: its first example, or one made from its pattern."""
+    if rule.examples:
+        return rule.examples[0]
+    for turn in range(64):
+        text = _sampled(_parser.parse(portable(rule.pattern)), turn)
+        if re.search(portable(rule.pattern).encode(), f" {text} ".encode()) and (not rule.keywords or any(k in text for k in rule.keywords)):
+            return text
+    raise ValueError(f"rule {rule.id}: no sample found")
+
+
 def frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """The rules as a small table."""
     return spark.createDataFrame([tuple({**asdict(r), "structural_id": r.structural_id}[c.split()[0]] for c in SCHEMA.split(", ")) for r in rules], SCHEMA)

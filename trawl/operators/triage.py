@@ -131,6 +131,28 @@ def paired(matches: DataFrame, key_rules: list[str]) -> DataFrame:
     return found.withColumns({"secret_key": part(SECRET_KEY), "session_token": part(SESSION_TOKEN)}).withColumn("complete", F.col("secret_key").isNotNull())
 
 
+def paired_near(matches: DataFrame, key_rules: list[str], secret_rules: list[str], within: int = 1000) -> DataFrame:
+    """Matches of key ids with the nearest secret of the same blob, before or behind, no further than ``within`` bytes away.
+
+    ``matches`` (blob_id, rule_id, structural_id, start, end, groups). Columns: blob_id, key_id (structural_id), key, secret_id,
+    secret, side, distance (bytes between the two); keys without a secret keep one row. Of equal distances the one behind the
+    key counts, then the earlier one, then the smaller id. Places are dealt into bins of ``within`` bytes and a secret is sent to its own bin and the ones next
+    to it, so keys meet only what may be near, however many a blob holds.
+    """
+    value = F.get("groups", 0)
+    keys = matches.filter(F.col("rule_id").isin(*key_rules)).select("blob_id", F.col("structural_id").alias("key_id"), value.alias("key"), F.col("start").alias("_from"), F.col("end").alias("_to"))
+    secrets = matches.filter(F.col("rule_id").isin(*secret_rules)).select("blob_id", F.col("structural_id").alias("secret_id"), value.alias("secret"), "start", "end")
+    bin_of = lambda place: F.floor(place / within)
+    reach = F.explode(F.sequence(bin_of(F.col("start") - within), bin_of(F.col("end") + within))).alias("_bin")
+    met = keys.select("*", bin_of(F.col("_from")).alias("_bin")).join(secrets.select("*", reach), ["blob_id", "_bin"])
+    behind = F.col("start") >= F.col("_to")
+    gap = F.when(behind, F.col("start") - F.col("_to")).when(F.col("end") <= F.col("_from"), F.col("_from") - F.col("end"))
+    near = met.withColumn("distance", gap).filter(F.col("distance") <= within)
+    order = F.struct("distance", (~behind).cast("int"), "start", "secret_id")
+    best = near.groupBy("key_id").agg(F.min_by(F.struct("secret_id", "secret", F.when(behind, "behind").otherwise("before").alias("side"), "distance"), order).alias("b"))
+    return keys.drop("_from", "_to").join(best, "key_id", "left").select("blob_id", "key_id", "key", "b.*")
+
+
 def captured(status: Column, content_type: Column, resource: Column) -> Column:
     """Whether a recorded response is kept: it succeeded, and is of a kind of text or was loaded as one."""
     kind = F.lit(False)

@@ -336,8 +336,15 @@ def scan_chunked(spark, d):
 
 
 def rule_stats(spark, d):
-    rows = detect.with_python(chunks.with_overlap(documents(spark, d).select("blob_id", "text").dropDuplicates(["blob_id"]), size=SMALL, overlap=0), PACK)
-    return triage.merged_stats(chunks.rule_stats(rows)).select("rule_id", "state", "n_matches")
+    """What a scan in chunks measured of each rule; rules that matched nowhere are left to ``rule_effort``."""
+    pieces = chunks.with_overlap(documents(spark, d).select("blob_id", "text").dropDuplicates(["blob_id"]), size=SMALL, overlap=0)
+    return triage.merged_stats(chunks.rule_stats(pieces, PACK)).filter("n_matches > 0").select("rule_id", "state", "n_matches")
+
+
+def rule_effort(spark, d):
+    """On how many documents each rule was tried, and what it found."""
+    stats = chunks.rule_stats(documents(spark, d).select("doc_id", "text"), PACK)
+    return stats.filter("seconds >= 0").select("rule_id", "state", "n_tried", "n_matches")
 
 
 def _half(spark, d):
@@ -498,7 +505,7 @@ QUERIES = {
     "js_source_maps": js_query(jsintel.source_maps), "js_generic_secrets": js_query(jsintel.generic_secrets), "query_redact": query_redact, "html_assets": html_assets,
     "scope_filter": scope_filter, "mirror_path": mirror_path, "repo_parse": repo_parse, "size_parse": size_parse, "redact_content": redact_content, "redact_hosts": redact_hosts,
     "chunk_lines": chunk_lines, "sarif_json": sarif_json, "report_json": report_json, "ai_corpus_filter": ai_corpus_filter,
-    "scan_full": scan_full, "suppressed": suppressed, "named_groups": named_groups, "match_anchored": match_anchored, "match_pack": match_pack, "scan_chunked": scan_chunked, "rule_stats": rule_stats,
+    "scan_full": scan_full, "suppressed": suppressed, "named_groups": named_groups, "match_anchored": match_anchored, "match_pack": match_pack, "scan_chunked": scan_chunked, "rule_stats": rule_stats, "rule_effort": rule_effort,
     "report_rows": report_rows, "provenance_all": provenance_all, "annotations_join": annotations_join, "findings_sorted": findings_sorted, "scan_counters": scan_counters, "look_back": look_back,
     "capture_filter": capture_filter, "resolvable_urls": resolvable_urls, "blob_store": blob_store, "store_scan": store_scan, "insights": insights, "link_header": link_header,
     "prepared_files": prepared_files, "review_chunks": review_chunks, "redact_numbered": redact_numbered, "asset_candidates": asset_candidates, "crawl_fixpoint": crawl_fixpoint, "js_analyze": js_analyze,
@@ -507,3 +514,7 @@ QUERIES = {
     "sarif_rules": sarif_rules, "report_rendered": report_rendered, "rfc3339": rfc3339,
     "stream_detect": stream_detect, "extract_members": extract_members, "password_flow": password_flow,
 }
+
+from trawl.plans import corpus  # noqa: E402  (reads tables as this module does)
+
+QUERIES |= corpus.QUERIES

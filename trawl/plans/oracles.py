@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from trawl.operators import jsintel, redact, rules, suppress
+from trawl.plans import corpus_sql
 from trawl.plans.catalog import ANCHORED, BY_ID, CONTEXT, PACK, REFERENCES, SELECTION
 
 
@@ -330,3 +331,5 @@ SQL |= {
       UNION ALL SELECT finding_id, rank::INT, left(blob_id, 12) || ':' || start_line || ':' || start_column || ': ' || CASE WHEN l < length(before) THEN '...' ELSE '' END || CASE WHEN l > 0 THEN right(before, l) ELSE '' END
         || left(matching, 500) || left(after, r) || CASE WHEN r < length(after) OR length(matching) > 500 THEN '...' ELSE '' END FROM z WHERE rank <= 3""",
 }
+
+SQL |= corpus_sql.SQL
