@@ -52,10 +52,28 @@ def test_members_of_one_bucket_far_from_its_head(spark, monkeypatch, hot):
     monkeypatch.setattr(circulant, "bands", lambda signature: np.ones(1, np.uint64))
     monkeypatch.setattr(circulant, "HOT", hot)
     monkeypatch.setattr(circulant, "HEADS", hot)
+    monkeypatch.setattr(circulant, "SETS", 200 * hot)
     rows = rows_like()[::2]
     assert got(spark, rows) == brute(rows)
 
 
+def test_a_family_just_below_the_bound_is_told_as_a_forest(spark, monkeypatch):
+    """Copies that resemble one another by 0.7 or so: candidates all, links few; pairs are never told."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+    rows = []
+    for k in range(120):
+        own = list(base)
+        for at in rng.choice(120, 4 + k % 3, replace=False):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    told = []
+    plain = circulant.components
+    monkeypatch.setattr(circulant, "components", lambda links: told.append(links.count()) or plain(links))
+    assert got(spark, rows) == brute(rows)
+    assert max(told) < 40 * len(rows)
+
+
 def test_a_pair_at_the_bound_and_very_long_texts(spark):
     base = [f"w{k}" for k in range(43)]  # 40 shingles; 36 + 4 of its own gives 36 / 44, 35 gives 35 / 45
     at, below = base[:39] + [f"x{k}" for k in range(4)], base[:38] + [f"y{k}" for k in range(5)]

@@ -7,8 +7,10 @@ share AGREEING coordinates.
 
 In a first round each member of a bucket is a candidate with its head, the member with the fullest buckets (the likely
 original of a group of copies), and each text is held against the best of its candidates. In a second, members of a bucket that are
-still in different components are compared by size and signature within tasks. A link is made only where the whole sets of shingles
-reach the similarity; the texts are brought together for that, and no table of sets is written. So links are exact; a pair
+still in different components are compared by size and signature within tasks, which tell a spanning forest of the pairs that may be
+similar, never the pairs. The forests' components come together with their texts; there pairs of different components are compared
+again and the whole sets of those that may be similar held against each other, until a link makes them one. A link is made only where the
+whole sets of shingles reach the similarity; no table of sets is written. So links are exact; a pair
 at exactly 0.8 shares no band with a probability of (1 - 0.8^6)^40, about five in a million, and too few coordinates with one of
 three in a billion; a more similar one more rarely.
 """
@@ -35,8 +37,8 @@ BANDS, ROWS = 40, 6
 AGREEING = 156
 #: Shingles whose coordinates are taken at once.
 PART = 512
-#: Texts that are held against one other in a task, and members of a bucket that a task compares.
-HEADS, HOT = 1000, 4000
+#: Texts that are held against one other in a task; members of a bucket, and shingles of a group with its texts, that a task compares.
+HEADS, HOT, SETS = 1000, 4000, 4_000_000
 _WORDS = np.random.default_rng(42).integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 
@@ -179,6 +181,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in keep], pa.binary()), batch.column("text").take(pa.array(keep))], ["node", "text"])
 
 
+def _wanted(documents: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+    """(node, text), a row for each of the wanted nodes."""
+    texts = documents.select(F.col(text).alias("text")).mapInArrow(_texts, "node binary, text string")
+    return joined(texts, nodes.select(F.col("node").alias("of")).distinct(), F.col("node") == F.col("of"), "left_semi").dropDuplicates(["node"])
+
+
 def similar(pairs: DataFrame, documents: DataFrame, text: str, width: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets of shingles reach the similarity.
 
@@ -189,46 +197,81 @@ def similar(pairs: DataFrame, documents: DataFrame, text: str, width: Callable[[
     dealt = to_rows(pairs, counts, "a", "n").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("other"), F.col("a").alias("node"))
     members = stored(heads.unionByName(dealt.select("a", "salt", F.lit(True).alias("other"), F.col("b").alias("node"))))
-    texts = documents.select(F.col(text).alias("text")).mapInArrow(_texts, "node binary, text string")
-    wanted = members.select(F.col("node").alias("of")).distinct()
-    texts = joined(texts, wanted, F.col("node") == F.col("of"), "left_semi").dropDuplicates(["node"])
-    rows = members.join(texts, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "other")
+    rows = members.join(_wanted(documents, text, members), "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "other")
     return rows.select("a", "salt", "other", "node", "text").mapInArrow(holding(width), "a binary, b binary")
 
 
-def across(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of members of a bucket with different labels, fitting sizes and AGREEING coordinates in common.
+class Group:
+    """Members that a task compares, sorted by size, so that each meets the window of sizes that fit its own."""
 
-    Batches are whole groups of (band, low, high). Members are sorted by size, so that each is compared with the window of sizes
-    that fit its own.
-    """
-    for batch in groups:
-        own_node, label, size, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "size", "part"))
-        low, high = batch.column("low")[0].as_py(), batch.column("high")[0].as_py()
+    def __init__(self, batch: pa.RecordBatch):
+        self.node, label, size, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "size", "part"))
+        self.low, self.high = batch.column("low")[0].as_py(), batch.column("high")[0].as_py()
         signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(len(size), -1)
-        names, label = np.unique(label, return_inverse=True)
-        order = np.argsort(size, kind="stable")
-        own_node, label, size, part, signs = own_node[order], label[order], size[order], part[order], signs[order]
-        ends = np.searchsorted(size, size * DOWN // UP, "right")
-        starts = np.searchsorted(size, -(-size * UP // DOWN), "left")
-        most = np.bincount(label).argmax()
-        a, b = [], []
-        for i in np.flatnonzero(label != most) if low == high else np.flatnonzero(part == low):
-            window = slice(starts[i], ends[i])
-            near = label[window] != label[i]
-            if low != high:
-                near &= part[window] == high
-            near = np.flatnonzero(near) + starts[i]
-            near = near[(signs[near] == signs[i]).sum(axis=1) >= AGREEING]
-            for k in near:
-                x, y = own_node[i], own_node[k]
-                a.append(min(x, y))
-                b.append(max(x, y))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("band", "low", "high")) -> Iterator[pa.RecordBatch]:
+        self.order = np.argsort(size, kind="stable")
+        self.label = np.unique(label, return_inverse=True)[1][self.order]
+        self.node, self.size, self.part, self.signs = self.node[self.order], size[self.order], part[self.order], signs[self.order]
+        self.ends = np.searchsorted(self.size, self.size * DOWN // UP, "right")
+        self.starts = np.searchsorted(self.size, -(-self.size * UP // DOWN), "left")
+
+    def rows(self) -> np.ndarray:
+        """Members that have to be compared with the others: all but those of the largest component, or one of two parts."""
+        return np.flatnonzero(self.label != np.bincount(self.label).argmax()) if self.low == self.high else np.flatnonzero(self.part == self.low)
+
+    def near(self, i: int, label: np.ndarray) -> np.ndarray:
+        """The members with another label that may be similar to one."""
+        window = slice(self.starts[i], self.ends[i])
+        other = label[window] != label[i]
+        if self.low != self.high:
+            other &= self.part[window] == self.high
+        found = np.flatnonzero(other) + self.starts[i]
+        return found[(self.signs[found] == self.signs[i]).sum(axis=1) >= AGREEING]
+
+
+def _pairs(group: Group, found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        a, b = (group.node[list(x)] for x in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.binary()), pa.array(np.maximum(a, b), pa.binary())], ["a", "b"])
+
+
+def across(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (a, b) of the pairs in a bucket that have different labels and may be similar. Batches are whole groups."""
+    for batch in groups:
+        group, found = Group(batch), []
+        tree = np.arange(len(group.node))
+        for i in group.rows():
+            near = group.near(i, group.label)
+            trees, firsts = np.unique(tree[near], return_index=True)
+            for t, k in zip(trees, near[firsts], strict=True):
+                if t != tree[i]:
+                    found.append((i, k))
+                    tree[tree == t] = tree[i]
+        yield from _pairs(group, found)
+
+
+def confirmed(width: Callable[[list[bytes]], np.ndarray]):
+    """A function for batches of whole groups with texts: links (a, b) between components, as many as make them one where they are similar."""
+
+    def compute(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups:
+            group, found = Group(batch), []
+            texts = [width(words(t)) for t in batch.column("text").to_pylist()]
+            sets = [texts[k] for k in group.order]
+            label = group.label.copy()
+            for i in group.rows():
+                for k in group.near(i, label):
+                    if label[k] == label[i]:
+                        continue
+                    shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if shared * (UP + DOWN) >= (len(sets[i]) + len(sets[k])) * UP:
+                        found.append((i, k))
+                        label[label == label[k]] = label[i]
+            yield from _pairs(group, found)
+
+    return compute
+
+
+def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Batches that each hold one whole group, from batches sorted by group."""
     held: list[pa.RecordBatch] = []
     now = None
@@ -247,16 +290,35 @@ def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("band", "l
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``parts`` of their group) once for each pair of parts that theirs belongs to, as (low, high, part)."""
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select(key, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
+
+
 def remaining(buckets: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that have different labels and may be similar."""
+    """Spanning forests (a, b) of the members of buckets that have different labels and may be similar."""
     placed = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least < most")
     mixed = stored(mixed.select("band", "n", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
-    open_rows = to_rows(placed, mixed, "band", "n").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
+    rows = _dealt(to_rows(placed, mixed, "band", "n"), "band")
     dealt = rows.join(signatures, "node").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return dealt.mapInArrow(lambda batches: across(whole(batches)), "a binary, b binary").distinct()
+    return dealt.mapInArrow(lambda batches: across(whole(batches, ("band", "low", "high"))), "a binary, b binary").distinct()
+
+
+def settled(forests: DataFrame, labels: DataFrame, signatures: DataFrame, documents: DataFrame, text: str, width: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """Links (a, b) between different labels within the components of ``forests``, found by whole sets."""
+    groups = components(forests).select("node", F.col("label").alias("tree"))
+    members = groups.join(labels, "node", "left").join(signatures.select("node", "size"), "node").select("tree", "node", "size", F.coalesce("label", "node").alias("label"))
+    members = stored(members)
+    heavy = F.greatest(F.ceil(F.count("*") / HOT), F.ceil(F.sum("size") / SETS)).cast("int")
+    parts = stored(members.groupBy("tree").agg(F.count("*").alias("n"), heavy.alias("parts")))
+    rows = _dealt(to_rows(members, parts, "tree", "n"), "tree")
+    whole_rows = rows.join(signatures, "node").join(_wanted(documents, text, members), "node")
+    dealt = whole_rows.repartition("tree", "low", "high").sortWithinPartitions("tree", "low", "high")
+    compute = confirmed(width)
+    return dealt.mapInArrow(lambda batches: compute(whole(batches, ("tree", "low", "high"))), "a binary, b binary")
 
 
 def linked(distinct: DataFrame, documents: DataFrame, text: str, width: Callable[[list[bytes]], np.ndarray], walked: DataFrame | None = None) -> DataFrame:
@@ -282,7 +344,7 @@ def linked(distinct: DataFrame, documents: DataFrame, text: str, width: Callable
     more = stored(remaining(buckets.select("band", "node"), labels, signatures).union(open_pairs).distinct())
     if more.isEmpty():
         return labels
-    return components(links.union(stored(similar(more, documents, text, width))))
+    return components(links.union(stored(settled(more, labels, signatures, documents, text, width))))
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
