@@ -87,6 +87,15 @@ def test_repeated_rows_and_missing_ids(spark):
     assert corpus_pipeline.mixed(spark, docs, DIR).columns == docs.columns
 
 
+def test_an_id_with_several_texts_loses_none(spark):
+    a, b = "words that are near nothing else here at all", "quite another text with many words of its own"
+    rows = [(i, t, "en", "s", 5) for i, t in ((3, b), (5, b), (5, a), (5, a), (7, a), (9, b.upper()))]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        kept = corpus_pipeline.one_of_each_group(spark, docs, DIR)
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, b), (5, a)]
+
+
 def test_columns_of_any_name(spark):
     names = ("score", "_pipeline_score", "_copy", "_id", "_copies", "row", "node", "fp", "class", "u")
     rows = [(i, f"some words number {i} of text " * (1 + i % 4), "en", "ab"[i % 2], 5, *[-i] * len(names)) for i in range(24)]

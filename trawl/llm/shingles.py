@@ -2,13 +2,10 @@
 
 Texts whose SimHash fingerprints the binary tries of ``simhash`` link are candidates, but at a similarity of 0.8
 fingerprints differ by ten of 64 bits, further than tries can be walked. So a text's minima under BANDS * ROWS hash
-functions are also put together ROWS at a time, and texts that agree on one such band are candidates. In a first round every
-member of a bucket is a candidate with its most popular member (the one with the fullest buckets, the likely original of a
-group of copies), and each text is held against the best of its candidates; in a second, members that are still in different
-components are compared by their minima within tasks, and pairs that may be similar are held against each other. A pair is
-linked only if the sets of all its shingles reach SIMILARITY: the texts are brought together and their sets made there, so
-no table of sets is written. A pair at exactly 0.8 is missed by all bands with a probability of (1 - 0.8^6)^40, about five in
-a million, by its minima with one of three in a billion, and a more similar one more rarely.
+functions are also put together ROWS at a time, and texts that agree on one such band are candidates. From there on the rounds
+are those of ``circulant``: heads of buckets first, then forests of what may still be similar, and whole sets decide. A pair at exactly
+0.8 is missed by all bands with a probability of (1 - 0.8^6)^40, about five in a million, by its minima with one of three in
+a billion, and a more similar one more rarely.
 """
 
 from __future__ import annotations
@@ -16,35 +13,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm import simhash
-from trawl.llm.components import components
+from trawl.llm import circulant, simhash
 from trawl.llm.shared import scratch, shared_folder, small_batches, stored
 
 SHINGLE = 5
-#: A pair is linked from this share on, as a fraction.
-SIMILARITY = (4, 5)
 BANDS, ROWS = 40, 6
 _FACTORS, _SHIFTS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 #: Shingles whose minima are taken at once.
 PART = 1 << 11
-#: Minima of BANDS * ROWS that a pair must share to be held against each other: far fewer than 0.8 of them.
-AGREEING = 156
-#: Texts of one bucket that a task holds against each other; larger buckets are dealt out as pairs of their parts.
-HOT = 4000
 
 
-def shingles(text: str | None) -> tuple[int, np.ndarray]:
-    """A number for the lower-case words of a text, and the distinct hashes of their shingles; texts without words have none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both know ASCII only
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes of the shingles of words; fewer words are one shingle, none have none."""
     join, digest = b" ".join, xxhash.xxh64_intdigest
     found = map(join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [join(words)] if words else []
-    hashes = np.unique(np.fromiter((digest(s) for s in found), np.uint64))
-    return xxhash.xxh3_64_intdigest(join(words)), hashes
+    return np.unique(np.fromiter((digest(s) for s in found), np.uint64))
 
 
 _last: list = [None, None]
@@ -90,78 +79,20 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _prepared(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, node, fp, bands, signature), one for each document; texts of the same words have the same node."""
+    """Rows (doc_id, node, size, fp, bands, signature), one for each document; texts of the same words have the same node."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             rows = []
             for body in batch.column("text").to_pylist():
-                node, hashes = shingles(body)
-                rows.append((node, _fingerprint(hashes), bands(hashes), signature(hashes)))
-            nodes, prints, own, signs = zip(*rows, strict=True)
-            columns = [batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), _lists(list(own)), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "bands", "signature"])
+                hashes = hashes_of(circulant.words(body))
+                rows.append((circulant.node(body), len(hashes), _fingerprint(hashes), bands(hashes), signature(hashes)))
+            nodes, sizes, prints, own, signs = zip(*rows, strict=True)
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), _lists(list(own)), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "fp", "bands", "signature"])
 
     chosen = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(compute, "doc_id long, node long, fp long, bands array<long>, signature binary")
-
-
-def _agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share AGREEING minima or more, with their number (``shared``)."""
-    x, y = (signatures.select(F.col("node").alias(c), F.col("signature").alias(f"of_{c}")) for c in "ab")
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("of_a", "of_b"))
-                shared = (one == two).sum(axis=1)
-                keep = pa.array(np.flatnonzero(shared >= AGREEING))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep), pa.array(shared.astype(np.int32)).take(keep)], ["a", "b", "shared"])
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(compute, "a long, b long, shared int")
-
-
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) from rows (a, salt, other, node, text) sorted so that a's own text comes before those it is held against."""
-    now, first = None, np.zeros(0, np.uint64)
-    up, down = SIMILARITY
-    for batch in small_batches(batches):
-        found = []
-        for a, other, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "other", "node", "text")), strict=True):
-            own = shingles(text)[1]
-            if not other:
-                now, first = a, own
-                continue
-            if now != a:
-                raise ValueError("a text does not follow the one it is held against")
-            if min(len(own), len(first)) * down >= max(len(own), len(first)) * up:
-                shared = len(np.intersect1d(own, first, assume_unique=True))
-                if shared * (up + down) >= (len(own) + len(first)) * up:
-                    found.append((a, node))
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _similar(pairs: DataFrame, documents: DataFrame, text: str, hot: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets of shingles reach SIMILARITY.
-
-    Texts go to their pair's first node, at most ``hot`` to a group; its own text is repeated for each group.
-    """
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            nodes = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column("text")], ["node", "text"])
-
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts"))
-    dealt = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("other"), F.col("a").alias("node"))
-    members = stored(heads.unionByName(dealt.select("a", "salt", F.lit(True).alias("other"), F.col("b").alias("node"))))
-    texts = documents.select(F.col(text).alias("text")).mapInArrow(compute, "node long, text string")
-    texts = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    rows = members.join(texts, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "other")
-    return rows.select("a", "salt", "other", "node", "text").mapInArrow(_held, "a long, b long")
+    return chosen.mapInArrow(compute, "doc_id long, node binary, size long, fp long, bands array<long>, signature binary")
 
 
 def _pairs_of_tries(distinct: DataFrame) -> DataFrame:
@@ -174,88 +105,47 @@ def _pairs_of_tries(distinct: DataFrame) -> DataFrame:
     return between.union(within.select(F.col("first").alias("a"), F.col("node").alias("b")))
 
 
-def across(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of members of a bucket with different labels that share AGREEING minima; batches of whole groups of (band, low, high)."""
-    for batch in groups:
-        node, label, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "part"))
-        low, high = batch.column("low")[0].as_py(), batch.column("high")[0].as_py()
-        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-        names, counts = np.unique(label, return_counts=True)
-        a, b = [], []
-        for i in np.flatnonzero(label != names[counts.argmax()]) if low == high else np.flatnonzero(part == low):
-            near = (label != label[i]) & ((signs == signs[i]).sum(axis=1) >= AGREEING)
-            if low != high:
-                near &= part == high
-            b.append(node[near])
-            a.append(np.full(len(b[-1]), node[i]))
-        if a and sum(map(len, a)):
-            one, two = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that each hold one whole group, from batches sorted by group."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high")), strict=True))
-        start = 0
-        for k in range(1, len(keys) + 1):
-            if k == len(keys) or keys[k] != keys[start]:
-                if keys[start] != now and held:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held = []
-                now = keys[start]
-                held.append(batch.slice(start, k - start))
-                start = k
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _remaining(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, hot: int) -> DataFrame:
-    """Pairs of members of one bucket that have different labels and may be similar."""
-    placed = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least < most")
-    mixed = mixed.select("band", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
-    open_rows = placed.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
-    dealt = rows.join(signatures, "node").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return dealt.mapInArrow(lambda batches: across(_whole(batches)), "a long, b long").distinct()
-
-
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
+def _found(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(prepared documents, (node, n, component_id) of each different text)."""
+    prepared = stored(_prepared(documents, doc_id, text))
+    distinct = prepared.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "fp", "bands", "signature")])
+    distinct = stored(distinct)
+    labels = circulant.linked(distinct, documents, text, hashes_of, _pairs_of_tries(distinct))
+    known = stored(distinct.select("node", "n", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = known.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    return prepared, stored(simhash.to_rows(known, stored(least), "label", "members").select("node", "label", "n", "component_id"))
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, component_id), one for each document.
 
     Texts of the same words, and those without any, are copies of each other; a text of fewer than SHINGLE words is
     one shingle; very long texts count with all their shingles. A null doc_id is never the smallest, and a component with
     no other has a null id. Other columns, whatever their names, are left out.
     """
-    spark, hot = documents.sparkSession, hot or HOT
-    folder = shared_folder(spark)
-    with scratch(spark):
-        prepared = stored(_prepared(documents, doc_id, text))
-        distinct = prepared.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-        distinct = stored(distinct)
-        signatures = distinct.select("node", "signature")
-        rows = distinct.select("node", F.explode("bands").alias("band"))
-        full = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-        buckets = stored(rows.join(full, "band"))
-        popular = buckets.groupBy("node").agg(F.sum("n").alias("popularity"))
-        heads = buckets.join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("head"))
-        tried = buckets.join(heads, "band").filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        walked = _pairs_of_tries(distinct)
-        candidates = stored(_agreement(tried.union(walked).distinct(), signatures))
-        best = candidates.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-        links = stored(_similar(best.select("a", "b"), documents, text, hot))
-        labels = stored(components(links))
-        named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-        others = candidates.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        others = others.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stored(_remaining(buckets.select("band", "node"), labels, signatures, hot).union(others).distinct())
-        if not more.isEmpty():
-            labels = components(links.union(stored(_similar(more, documents, text, hot))))
-        known = stored(distinct.join(labels, "node", "left").select("node", "n", "first_id", F.coalesce("label", "node").alias("label")))
-        least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        ids = stored(known.join(least, "label").select("node", "n", "component_id"))
-        return stored(simhash.to_rows(prepared.select("doc_id", "node"), ids, "node", "n").select("doc_id", "component_id"), folder)
+    folder = shared_folder(documents.sparkSession)
+    with scratch(documents.sparkSession):
+        prepared, ids = _found(documents, doc_id, text)
+        return stored(simhash.to_rows(prepared.select("doc_id", "node"), ids.drop("label"), "node", "n").select("doc_id", "component_id"), folder)
+
+
+def kept(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, node) of the row that stays of each component: the least id, and of its texts the one with the least node.
+
+    Ids may repeat with other texts; a row is told by both. Components without an id have no row here.
+    """
+    folder = shared_folder(documents.sparkSession)
+    with scratch(documents.sparkSession):
+        prepared, ids = _found(documents, doc_id, text)
+        rows = simhash.to_rows(prepared.select("doc_id", "node"), ids, "node", "n").filter("doc_id = component_id")
+        return stored(rows.groupBy("label", "doc_id").agg(F.min("node").alias("node")).select("doc_id", "node"), folder)
+
+
+def node_of(text: Column) -> Column:
+    """The number of 128 bits that ``kept`` tells texts by."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([circulant.node(t) for t in texts], dtype="object")
+
+    return run(text)
