@@ -5,7 +5,8 @@ pieces there are. The plan is a covering linear program over configurations, mul
 a sequence: multiplicative weights raise the price of lengths that are covered less than others, a knapsack dynamic
 program over the prices names, for every length, the best configuration that holds it, and the mean over the rounds
 is the fractional answer. It is rounded down, what that leaves is a smaller program, and the last few pieces are
-packed by best fit.
+packed by best fit. In the end the sequences that rounding left with much room, and some of those with the smallest pieces, are
+taken apart and packed anew by best fit, as many as it takes for the fewest in all.
 Pieces are then ranked within their length by Spark, and each rank has its sequence and place in the plan.
 """
 
@@ -42,6 +43,8 @@ TAKEN, ENOUGH = 20, 50
 LOOSE = 16
 #: Groups of lengths in a program.
 GROUPS = 256
+#: What repair tries: the room above which a sequence is taken apart, and the share of the others, those with the smallest pieces first.
+ROOMS, SHARES = (0, 8, 32, CAPACITY), (0.0, 0.1, 0.2, 0.3, 0.5, 0.7)
 #: Share of the parts of sequences that is taken before what is left becomes a program again, and the part of a sequence
 #: that a configuration may leave free when small pieces cannot fill it.
 PART, ALLOW = 1 / 3, 64
@@ -363,9 +366,38 @@ def program(counts: np.ndarray, rounds: int = ROUNDS) -> Program:
     return Program(sorted(((n, c) for c, n in packed.items() if n), key=lambda e: e[1], reverse=True), bound, int(large.sum()))
 
 
+def repaired(counts: np.ndarray, sequences: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, tuple[int, ...]]]:
+    """The sequences with those taken apart that best fit packs into fewer; of the ways tried, the fewest in all, then the most that stay.
+
+    Small pieces fill what others leave free, so rounding's room is only used up if some of the sequences that hold many of them
+    are taken apart as well. Taking all apart is one of the ways, so the result has no more sequences than best fit alone.
+    """
+    capacity = len(counts) - 1
+    by_small = sorted(sequences, key=lambda e: (min(e[1]), e[1]))
+
+    def tried(room: int, share: float) -> tuple[int, int, Counter]:
+        left, kept = np.zeros(capacity + 1, np.int64), Counter()
+        apart = int(share * sum(n for n, c in by_small if capacity - sum(c) <= room))
+        for n, config in by_small:
+            full = capacity - sum(config) <= room
+            out = min(n, apart) if full else n
+            apart -= out if full else 0
+            np.add.at(left, list(config), out)
+            if n > out:
+                kept[config] += n - out
+        stay = sum(kept.values())
+        for n, config in best_fit(left):
+            kept[config] += n
+        return sum(kept.values()), -stay, kept
+
+    ways = [(room, share) for room in ROOMS for share in SHARES] + [(0, 1.0)] if sequences else []
+    found = min((tried(*way) for way in dict.fromkeys(ways)), key=lambda w: w[:2], default=(0, 0, Counter()))[2]
+    return sorted(((n, c) for c, n in found.items() if n), key=lambda e: e[1], reverse=True)
+
+
 def configurations(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[int, tuple[int, ...]]]:
     """(sequences, lengths in each) that pack ``counts[length]`` pieces of each length."""
-    return program(counts, rounds).sequences
+    return repaired(counts, program(counts, rounds).sequences)
 
 
 def best_fit(counts: np.ndarray, begun: dict[tuple[int, ...], int] | None = None) -> list[tuple[int, tuple[int, ...]]]:
