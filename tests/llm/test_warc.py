@@ -3,7 +3,9 @@ import gzip
 import hashlib
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.llm import warc
 
@@ -91,3 +93,19 @@ def test_records_without_ids_are_dealt_to_many_files(spark, tmp_path):
 def test_schemes_of_folders():
     system, path = warc.opened("file:///tmp/x")
     assert path == "/tmp/x" and system.type_name == "local"
+
+
+@pytest.mark.parametrize("parts", [1, 7, 20_000])
+def test_ranges_of_any_number_are_even(spark, parts):
+    """Keys in lumps and far apart; as many ranges as a large archive has take no longer plans."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.col("id") * 1_000_003 - 7_000_000_000).when(F.col("id") % 3 == 1, F.col("id")).otherwise(F.lit(500)).alias("k"), (F.col("id") % 5 + 1).alias("w"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 5)], "k long, w long")).cache()
+    bounds = warc.ranges(rows, "k", "w", parts)
+    keys = np.array([(r["k"], r["w"]) for r in rows.filter("k is not null").collect()])
+    assert bounds == sorted(set(bounds)) and bounds[0] == keys[:, 0].min()
+    held = np.bincount(np.searchsorted(bounds, keys[:, 0], side="right") - 1, keys[:, 1], len(bounds))
+    target = keys[:, 1].sum() // parts
+    single = {int(np.searchsorted(bounds, 500, side="right") - 1)}
+    assert all(w <= target + 5 for k, w in enumerate(held) if k not in single)
+    assert len(bounds) <= 2 * parts + 2
+    rows.unpersist()

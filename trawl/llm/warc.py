@@ -85,32 +85,30 @@ def opened(folder: str) -> tuple[pafs.FileSystem, str]:
 def ranges(rows: DataFrame, key: str, weight: str, parts: int) -> list[int]:
     """Lower bounds of about ``parts`` ranges of ``key`` with about equal weight.
 
-    A histogram of BUCKETS counts is read by the driver; buckets that weigh more than a range are counted
-    again in finer steps, until they do not or hold one key.
+    A histogram of BUCKETS counts, or a few for each range, is read by the driver; buckets that weigh more than a range are
+    counted again in finer steps, until they do not or hold one key.
     """
+    spark = rows.sparkSession
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
         return []
     cells: list[tuple[int, int, int]] = []  # start, width, weight
-    todo = [(low, high - low + 1)]
+    most = max(BUCKETS, 4 * parts)
+    todo, width = [low], high - low + 1
     target = None
+    # All buckets of a level have one width, so a key's bucket is found by arithmetic, level by level.
+    start, level = F.lit(low).cast("long"), rows
     while todo:
-        share = max(2, BUCKETS // len(todo))
-        steps = [(start, max(1, -(-width // share))) for start, width in todo]
-        inside = [(F.col(key) >= start) & (F.col(key) < start + width) for start, width in todo]
-        bucket = F.coalesce(*[F.when(i, F.lit(start) + F.floor((F.col(key) - F.lit(start)) / F.lit(step)) * step) for i, (start, step) in zip(inside, steps, strict=True)])
-        counted = rows.withColumn("_start", bucket.cast("long")).filter("_start is not null").groupBy("_start").agg(F.sum(weight).alias("w")).collect()
+        step = max(1, -(-width // max(16, most // len(todo))))
+        if target is not None:  # a row for each bucket that is counted again
+            level = rows.withColumn("_above", start).join(F.broadcast(spark.createDataFrame([(t,) for t in todo], "_above long")), "_above", "left_semi")
+        start = start + F.floor((F.col(key) - start) / F.lit(step)) * F.lit(step)
+        counted = level.filter(F.col(key).isNotNull()).withColumn("_start", start.cast("long")).groupBy("_start").agg(F.sum(weight).alias("w")).collect()
         if target is None:
             target = max(1, sum(r["w"] for r in counted) // parts)
-        starts = sorted(steps)
-        todo = []
-        for r in sorted(counted):
-            step = starts[np.searchsorted([s for s, _ in starts], r["_start"], side="right") - 1][1]
-            if r["w"] > target and step > 1:
-                todo.append((r["_start"], step))
-            else:
-                cells.append((r["_start"], step, r["w"]))
-        todo = sorted(todo)
+        heavy = [r["_start"] for r in counted if r["w"] > target and step > 1]
+        cells += [(r["_start"], step, r["w"]) for r in counted if r["w"] <= target or step == 1]
+        todo, width = sorted(heavy), step
     bounds, held = [low], 0
     for start, _, w in sorted(cells):
         if held and held + w > target:
