@@ -133,13 +133,23 @@ def suppress_prompts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", suppress.is_password_prompt(F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
+def _matches_of(spark, d, chosen):
+    """How many matches each of the chosen rules (id, others) has in all documents; rules without any have none."""
+    rows = detect.with_python(documents(spark, d).select("doc_id", "text"), rules.BUILTIN)
+    counts = rows.groupBy(F.col("rule_id").alias("id")).agg(F.count("*").alias("n"))
+    return chosen.join(counts, "id", "left").withColumn("n_matches", F.coalesce("n", F.lit(0))).drop("n")
+
+
 def rule_include_exclude(spark, d):
-    return rules.select(rules.frame(spark, rules.BUILTIN), "http, ^tr\\.(aws|card)", "query").select("id", "name", "structural_id", ids.rule_structural_id(F.col("pattern")).alias("computed_id"))
+    """Rules chosen by their ids, with their matches in the documents."""
+    chosen = rules.select(rules.frame(spark, rules.BUILTIN), "http, ^tr\\.(aws|card)", "query").select("id", "name", "structural_id", ids.rule_structural_id(F.col("pattern")).alias("computed_id"))
+    return _matches_of(spark, d, chosen)
 
 
 def ruleset_semi(spark, d):
+    """The rules of a ruleset, with their matches in the documents."""
     sets = spark.createDataFrame([(r.id, list(r.rule_ids)) for r in rules.RULESETS], "id string, rule_ids array<string>")
-    return rules.of_ruleset(rules.frame(spark, rules.BUILTIN), sets, "identifiers").select("id", "name")
+    return _matches_of(spark, d, rules.of_ruleset(rules.frame(spark, rules.BUILTIN), sets, "identifiers").select("id", "name"))
 
 
 def incremental_anti(spark, d):
@@ -209,14 +219,16 @@ def mirror_path(spark, d):
     return table(spark, d, "pages").select("page_id", urls.mirror_path(F.col("url")).alias("path"))
 
 
-REFERENCES = (
-    "https://github.com/octo/spoon.git", "git@github.com:octo/spoon.git", "https://gitlab.com/group/sub/thing/-/tree/main", "https://github.com/octo", "https://example.com/a/b", "gitlab.com/a/b/",
-)
-
-
 def repo_parse(spark, d):
-    rows = spark.createDataFrame([(r,) for r in REFERENCES], "reference string").withColumn("r", urls.repository(F.col("reference")))
-    return rows.select("reference", "r.platform", "r.owner", "r.repo", "r.full_path")
+    """References to repositories made of each document's source and id, in the ways that people write them."""
+    owner, name = F.col("source"), F.concat(F.lit("r"), F.col("doc_id").cast("string"))
+    ways = [
+        F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name, F.lit(".git")), F.concat(F.lit("git@github.com:"), owner, F.lit("/"), name, F.lit(".git")),
+        F.concat(F.lit("https://gitlab.com/"), owner, F.lit("/sub/"), name, F.lit("/-/tree/main")), F.concat(F.lit("https://github.com/"), owner),
+        F.concat(F.lit("https://example.com/"), owner, F.lit("/"), name), F.concat(F.lit("gitlab.com/"), owner, F.lit("/"), name, F.lit("/")),
+    ]
+    rows = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*ways), (F.col("doc_id") % 6 + 1).cast("int")).alias("reference"))
+    return rows.withColumn("r", urls.repository(F.col("reference"))).select("doc_id", "reference", "r.platform", "r.owner", "r.repo", "r.full_path")
 
 
 def size_parse(spark, d):
@@ -480,7 +492,8 @@ def pages_query(extract: Callable):
 
 
 def sarif_rules(spark, d):
-    return report.sarif_rules(rules.frame(spark, rules.BUILTIN))
+    """The rules as a SARIF log of the documents' matches describes them."""
+    return _matches_of(spark, d, report.sarif_rules(rules.frame(spark, rules.BUILTIN)))
 
 
 def report_rendered(spark, d):

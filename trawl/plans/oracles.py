@@ -6,7 +6,7 @@ import json
 
 from trawl.operators import jsintel, redact, rules, suppress
 from trawl.plans import corpus_sql
-from trawl.plans.catalog import ANCHORED, BY_ID, CONTEXT, PACK, REFERENCES, SELECTION
+from trawl.plans.catalog import ANCHORED, BY_ID, CONTEXT, PACK, SELECTION
 
 
 def q(text: str) -> str:
@@ -121,10 +121,13 @@ def _rows(names: str, rows: list[tuple]) -> str:
 
 
 _HTTP = [r for r in rules.BUILTIN if ("http" in r.id or r.id.startswith(("tr.aws", "tr.card"))) and "query" not in r.id]
-_REPOS = {
-    REFERENCES[0]: ("github", "octo", "spoon", "octo/spoon"), REFERENCES[1]: ("github", "octo", "spoon", "octo/spoon"),
-    REFERENCES[2]: ("gitlab", "group/sub", "thing", "group/sub/thing"), REFERENCES[5]: ("gitlab", "a", "b", "a/b"),
-}
+
+
+def _counted(pack: list[rules.Rule], names: str, rows: list[tuple]) -> str:
+    """Rows with the number of matches that their rule, the first column, has in all documents."""
+    return f"WITH {matches(pack)}, c AS (SELECT rule_id, count(*) AS n FROM m GROUP BY rule_id), r AS (SELECT * FROM {_rows(names, rows)}) SELECT r.*, coalesce(n, 0) AS n_matches FROM r LEFT JOIN c ON r.id = c.rule_id"
+
+
 _SOURCES = f"""SELECT 0 AS k, source || '/' || doc_id AS path, text FROM documents UNION ALL SELECT 1, 'conv/' || conv_id || '/' || turn, text FROM conversations
   UNION ALL SELECT 2, url, html FROM pages UNION ALL SELECT 3, 'item/' || item_id, text FROM benchmark"""
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)', 1))"
@@ -198,8 +201,8 @@ SQL = {
     "mask_values": f"WITH {ALL} SELECT doc_id, rule_id, start, {_mask('secret')} AS masked FROM m",
     "suppress_prompts": f"""WITH v AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^{_EDGES}|{_EDGES}$', '', 'g') AS v FROM conversations)
       SELECT conv_id, turn, CASE WHEN {_any("v", suppress.PASSWORD_WORDS)} THEN {_any("v", suppress.PASSWORD_PROMPTS)} ELSE contains(lower(v), 'password') AND {_any("lower(v)", suppress.ENGLISH_PROMPTS)} END AS prompt FROM v""",
-    "rule_include_exclude": f"SELECT id, name, structural_id, sha1(regexp_replace(pattern, '\\(\\?P<[^>]+>', '(', 'g')) AS computed_id FROM {_rows('id, name, structural_id, pattern', [(r.id, r.name, r.structural_id, r.pattern) for r in rules.BUILTIN])} WHERE regexp_matches(id, 'http|^tr\\.(aws|card)') AND NOT regexp_matches(id, 'query')",
-    "ruleset_semi": f"SELECT id, name FROM {_rows('id, name, categories', [(r.id, r.name, ' '.join(r.categories)) for r in rules.BUILTIN])} WHERE contains(categories, 'identifier')",
+    "rule_include_exclude": f"SELECT id, name, structural_id, sha1(regexp_replace(pattern, '\\(\\?P<[^>]+>', '(', 'g')) AS computed_id, n_matches FROM ({_counted(_HTTP, 'id, name, structural_id, pattern', [(r.id, r.name, r.structural_id, r.pattern) for r in _HTTP])})",
+    "ruleset_semi": _counted([r for r in rules.BUILTIN if "identifier" in r.categories], "id, name", [(r.id, r.name) for r in rules.BUILTIN if "identifier" in r.categories]),
     "incremental_anti": f"WITH {DOCS} SELECT doc_id, blob_id FROM docs WHERE blob_id NOT IN (SELECT blob_id FROM docs JOIN labels USING (doc_id))",
     "combined_sources": f"WITH s AS ({_SOURCES}), b AS (SELECT *, {BLOB.format(t='text')} AS blob_id FROM s WHERE text IS NOT NULL) SELECT blob_id, path, strlen(text)::BIGINT AS size FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY k, path) AS n FROM b) WHERE n = 1",
     "facet_counts": f"WITH {FACETS} SELECT facet, value, count(*) AS n FROM e GROUP BY facet, value",
@@ -223,7 +226,11 @@ SQL = {
     "scope_filter": f"""WITH u AS (SELECT page_id, {_HOST} AS host, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM pages)
       SELECT page_id, array_to_string(string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-2:], '.') = 'example.com' AS rdn, host = 'www.example.com' AS fqdn, host = 'www.example.com' AND scheme = 'https' AS origin FROM u""",
     "mirror_path": MIRROR,
-    "repo_parse": f"SELECT r AS reference, platform, owner, repo, full_path FROM {_rows('r', [(r,) for r in REFERENCES])} LEFT JOIN {_rows('k, platform, owner, repo, full_path', [(k, *v) for k, v in _REPOS.items()]).replace(' t(', ' u(')} ON r = k",
+    "repo_parse": """WITH t AS (SELECT doc_id, doc_id % 6 AS k, source AS o, 'r' || doc_id AS n FROM documents)
+      SELECT doc_id, [format('https://github.com/{}/{}.git', o, n), format('git@github.com:{}/{}.git', o, n), format('https://gitlab.com/{}/sub/{}/-/tree/main', o, n), 'https://github.com/' || o,
+          format('https://example.com/{}/{}', o, n), format('gitlab.com/{}/{}/', o, n)][(k + 1)::INT] AS reference,
+        ['github', 'github', 'gitlab', NULL, NULL, 'gitlab'][(k + 1)::INT] AS platform, CASE WHEN k IN (3, 4) THEN NULL WHEN k = 2 THEN o || '/sub' ELSE o END AS owner,
+        CASE WHEN k NOT IN (3, 4) THEN n END AS repo, CASE WHEN k NOT IN (3, 4) THEN o || CASE WHEN k = 2 THEN '/sub/' ELSE '/' END || n END AS full_path FROM t""",
     "size_parse": """WITH s AS (SELECT page_id, page_id || ['', 'B', 'KB', ' mb', 'GB', 'TB'][(page_id % 6 + 1)::INT] AS size FROM pages)
       SELECT page_id, size, CASE page_id % 6 WHEN 0 THEN page_id WHEN 1 THEN page_id WHEN 2 THEN page_id * 1024 WHEN 3 THEN page_id * 1048576 WHEN 4 THEN page_id * 1073741824 END AS bytes FROM s""",
     "redact_content": f"SELECT doc_id, {_REDACTED} AS redacted FROM documents",
@@ -304,7 +311,7 @@ SQL |= {
     "js_analyze": "WITH u AS (" + " UNION ALL BY NAME ".join(f"SELECT * FROM ({SQL[k]})" for k in _ANALYZED) + """), k AS (SELECT page_id, category, method, value, detail, min({'line': line, 'column': "column", 'confidence': confidence}) AS place FROM u GROUP BY ALL)
       SELECT page_id, category, method, value, detail, place.confidence AS confidence, place.line AS line, place.column AS "column" FROM k""",
     **{k.replace("js_", "pages_"): SQL[k].replace(SCRIPTS, PAGES) for k in (*_ANALYZED, "js_generic_secrets")},
-    "sarif_rules": f"SELECT id, json FROM {_rows('id, json', [(r.id, json.dumps({'id': r.id, 'name': r.name, 'shortDescription': {'text': r.description}}, separators=(',', ':'), ensure_ascii=False)) for r in rules.BUILTIN])}",
+    "sarif_rules": _counted(list(rules.BUILTIN), "id, json", [(r.id, json.dumps({"id": r.id, "name": r.name, "shortDescription": {"text": r.description}}, separators=(",", ":"), ensure_ascii=False)) for r in rules.BUILTIN]),
     "sarif_json": f"""WITH {ALL}, {_PLACES} SELECT structural_id, to_json({{'ruleId': rule_id, 'level': 'warning', 'message': {{'text': 'Found ' || rule_name}}, 'locations': [{{'physicalLocation': {{
       'artifactLocation': {{'uri': 'file:///corpus/' || source || '/' || blob_id}}, 'region': {{'startLine': start_line, 'startColumn': start_column, 'endLine': end_line, 'endColumn': end_column, 'snippet': {{'text': matching}}}}}}}}],
       'partialFingerprints': {{'matchId': structural_id}}}})::VARCHAR AS json FROM pm""",
