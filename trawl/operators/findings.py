@@ -92,15 +92,25 @@ def unseen(blobs: DataFrame, seen: DataFrame) -> DataFrame:
     return blobs.join(seen.select("blob_id"), "blob_id", "left_anti")
 
 
-def combined(*sources: DataFrame) -> DataFrame:
+def combined(*sources: DataFrame, most: int = 200_000) -> DataFrame:
     """Blobs (blob_id, path, text) of several sources; of equal ids the first source's first path stays.
 
-    The winners are picked by id and path alone and texts join them: a text is moved only where its id has several rows.
+    The winners among ids that have several rows are picked by id and path alone. Up to ``most`` of them are broadcast, and no
+    text is moved then but those that one source lists twice under one path.
     """
+    from trawl.plans.store import stored
+
     every = None
     for k, source in enumerate(sources):
         own = source.select("blob_id", "path", "text").withColumn("_source", F.lit(k))
         every = own if every is None else every.unionByName(own)
-    winners = every.groupBy("blob_id").agg(F.min(F.struct("_source", "path")).alias("_first"), F.count("*").alias("_n"))
-    winners = winners.select("blob_id", "_first._source", "_first.path")
-    return every.join(winners, ["blob_id", "_source", "path"], "left_semi").dropDuplicates(["blob_id"]).drop("_source")
+    places = every.groupBy("blob_id", "_source", "path").agg(F.count("*").alias("_n"))
+    first = F.min(F.struct("_source", "path", "_n")).alias("_first")
+    several = stored(places.groupBy("blob_id").agg(first, F.sum("_n").alias("_rows")).filter("_rows > 1").select("blob_id", "_first"))
+    held = F.broadcast(several) if several.limit(most + 1).count() <= most else several
+    own = every.join(held, "blob_id", "left").filter(F.col("_first").isNull() | ((F.col("_source") == F.col("_first._source")) & F.col("path").eqNullSafe(F.col("_first.path"))))
+    kept = ["blob_id", "path", "text"]
+    if several.filter("_first._n > 1").isEmpty():
+        return own.select(kept)
+    again = F.coalesce(F.col("_first._n"), F.lit(1)) > 1
+    return own.filter(~again).select(kept).unionByName(own.filter(again).select(kept).dropDuplicates(["blob_id"]))

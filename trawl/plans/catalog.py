@@ -361,7 +361,7 @@ def rule_effort(spark, d):
 
 def _half(spark, d):
     """Findings of all documents, and matches in the odd ones only; a third of those with ids of another kind."""
-    rows = detect.first_by_place(found(spark, d), ["doc_id"])
+    rows = stores.stored(detect.first_by_place(found(spark, d), ["doc_id"]).drop("text"))
     whole = rows.groupBy("finding_id", "rule_id", "groups").agg(F.min("rule_name").alias("rule_name"))
     own = rows.filter("doc_id % 2 = 1").withColumn("finding_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("old-"), "finding_id")).otherwise(F.col("finding_id")))
     return whole, own
@@ -379,7 +379,7 @@ def provenance_all(spark, d):
 
 def _overview(spark, d):
     labels = table(spark, d, "labels")
-    rows = detect.first_by_place(validated(spark, d), ["doc_id"])
+    rows = stores.stored(detect.first_by_place(validated(spark, d), ["doc_id"]))  # read four times
     notes = rows.filter("doc_id % 2 = 0").select("finding_id").distinct()
     notes = notes.select(F.lit("finding").alias("target_type"), F.col("finding_id").alias("target_id"), F.lit("accept").alias("status"), F.lit("seen").alias("comment"))
     prov = documents(spark, d).select("blob_id", F.col("doc_id").alias("prov_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
