@@ -33,6 +33,8 @@ SHINGLE = 4
 #: A pair is linked from this share on, as a fraction.
 UP, DOWN = 4, 5
 BANDS, ROWS = 40, 6
+#: Heads that a text is tried against in the first round, those with which it shares the most buckets; the second looks at whole buckets.
+TRIED = 3
 #: Coordinates of BANDS * ROWS that a pair must share to be held against each other: far fewer than 0.8 of them.
 AGREEING = 156
 #: Shingles whose coordinates are taken at once.
@@ -327,12 +329,15 @@ def linked(distinct: DataFrame, documents: DataFrame, text: str, width: Callable
     ``walked`` (a, b) are further candidates; ``width`` gives the set of a text's words that decides.
     """
     signatures = distinct.select("node", "size", "signature")
+    # Whom the first round does not try against one another, the second compares in their buckets.
     rows = distinct.select("node", F.explode("bands").alias("band"))
     full = stored(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     buckets = stored(to_rows(rows, full.withColumn("members", F.col("n")), "band", "n"))
     popular = buckets.groupBy("node").agg(F.sum("members").alias("popularity"))
     heads = buckets.join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("head"), F.count("*").alias("n"))
-    tried = to_rows(buckets.select("band", "node"), stored(heads), "band", "n").filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    met = to_rows(buckets.select("band", "node"), stored(heads), "band", "n").filter("head <> node").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    first = F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), asc=False), 1, TRIED)  # of BANDS heads at most
+    tried = met.groupBy("b").agg(first.alias("heads")).select(F.explode("heads.a").alias("a"), "b")
     tried = stored((tried if walked is None else tried.unionByName(walked.select("a", "b"))).distinct())
     candidates = stored(agreeing(tried, signatures, tried.groupBy("a").agg(F.count("*").alias("n"))))
     best = stored(candidates.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
