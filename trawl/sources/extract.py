@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.ids import blob_id
+from trawl.sources import pdf, sevenzip
 
 #: Bytes of a member and of an archive that are read, nesting, and rows of a database table.
 MEMBER, ARCHIVE, DEPTH, ROWS = 10 << 20, 100 << 20, 5, 1000
@@ -33,7 +34,7 @@ def extension(path: str) -> str:
 
 
 def extractable(path: str) -> bool:
-    return extension(path) in (*ZIPS, *DOCUMENTS, *TEXTS, "tar", "tgz", "sqlite", "sqlite3", "db")
+    return extension(path) in (*ZIPS, *DOCUMENTS, *TEXTS, "tar", "tgz", "7z", "pdf", "sqlite", "sqlite3", "db")
 
 
 def _xml_text(data: bytes) -> str:
@@ -104,6 +105,18 @@ def members(path: str, body: bytes, depth: int = 1, limits: Limits | None = None
                         data = archive.extractfile(info).read(limits.member)
                         left -= len(data)
                         yield from _inside(info.name, data, depth, limits, left_out)
+        elif kind == "7z":
+            for name, data, why in sevenzip.members(body, limits.member, left):
+                if data is None:
+                    left_out.append((name, why))
+                else:
+                    yield from _inside(name, data, depth, limits, left_out)
+        elif kind == "pdf":
+            problems: list[str] = []
+            text = pdf.text(body, min(limits.member, left), problems)
+            left_out += [("content", why) for why in problems]
+            if text.strip():
+                yield "content", text.encode("utf-8", "replace")
         elif kind == "ipynb":
             for k, cell in enumerate(json.loads(body).get("cells", [])):
                 if isinstance(cell.get("source"), list) and cell.get("cell_type") in ("code", "markdown"):
