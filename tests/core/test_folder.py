@@ -97,3 +97,8 @@ def test_filters_keep_files_closed(spark, tmp_path):
     reader = folder.Reader({"path": str(tmp_path), "partitions": "1"})
     assert len(list(reader.pushFilters([folder.StringStartsWith(("path",), "a/"), folder.LessThanOrEqual(("size",), 1)]))) == 2
     assert [b.column("path").to_pylist() for p in reader.partitions() for b in reader.read(p)] == [["a/x"]]
+
+
+def test_a_single_file(spark, tmp_path):
+    put(tmp_path, {".env": b"KEY=1", ".env.local": b"KEY=2", "sub/.env": b"KEY=3"})
+    assert [(r.path, bytes(r.content)) for r in folder.read(spark, f"file://{tmp_path}/.env").collect()] == [(".env", b"KEY=1")]

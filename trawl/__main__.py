@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--incremental", action="store_true", help="leave out blobs that the store knows")
     scan.add_argument("--context", type=int, default=3, help="lines around a match")
     scan.add_argument("--max-file-size", default="20MB")
+    scan.add_argument("--hidden", action="store_true", help="also files and folders whose names begin with a dot")
+    scan.add_argument("--extract", action="store_true", help="also members of archives and documents")
     report = commands.add_parser("report", parents=[pick], help="report a store's findings")
     report.add_argument("--store", required=True)
     report.add_argument("--format", choices=("human", "json", "sarif"), default="human")
@@ -50,14 +52,15 @@ def run_scan(spark: SparkSession, given: argparse.Namespace, out) -> None:
     from trawl.functions.text import size_in_bytes
     from trawl.operators.findings import summary
     from trawl.plans.store import Store, scan
-    from trawl.sources.blobs import files
+    from trawl.sources import folder
 
     if kind(given.target) != "path":
         raise SystemExit(f"{given.target}: only folders are scanned; read others into a table first")
     most = spark.range(1).select(size_in_bytes(F.lit(given.max_file_size))).first()[0]
     if most is None:
         raise SystemExit(f"{given.max_file_size!r} is no size")
-    found = files(spark, given.target, most).select("blob_id", "path", F.decode("content", "utf-8").alias("text"))
+    found = folder.read(spark, given.target, most=most, hidden=given.hidden, extract=given.extract).filter("left_out is null")
+    found = found.select("blob_id", F.concat_ws(":", "path", "member").alias("path"), F.decode("content", "utf-8").alias("text"))
     matches = scan(Store(spark, given.store), found, chosen(spark, given), given.incremental, given.context)
     for row in summary(matches).orderBy("rule_id").toLocalIterator():  # a row for each rule
         print(f"{row.rule_id}\t{row.n_findings} findings\t{row.n_matches} matches\t{row.n_blobs} blobs", file=out)

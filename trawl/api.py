@@ -13,7 +13,7 @@ from trawl.functions.ids import blob_id
 from trawl.operators import rules, scan
 from trawl.operators.rules import Rule
 from trawl.operators.validate import Validator, validated
-from trawl.sources.blobs import files
+from trawl.sources import folder
 
 
 class Scanner:
@@ -49,7 +49,9 @@ class Scanner:
         return self.scan_table(self.spark.createDataFrame(list(items), "source string, text string"))
 
     def scan_folder(self, root: str | Path, **options) -> DataFrame:
-        return self.scan_table(files(self.spark, str(root), **options), "content")
+        """Matches of the files below a folder; ``options`` are those of ``sources.folder`` (hidden, extract, symlinks, most and others)."""
+        found = folder.read(self.spark, str(root), **options).filter("left_out is null").drop("left_out")
+        return self.scan_table(found, "content")
 
     def scan_target(self, target: str, **options) -> DataFrame:
         """Matches of a folder or file; addresses and repositories are refused, as nothing here reaches out."""

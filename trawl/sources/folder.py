@@ -20,7 +20,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, LessThanOrEqual, StringStartsWith
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, LessThanOrEqual, StringStartsWith
 
 from trawl.sources import extract, ignore
 
@@ -102,7 +103,7 @@ class Reader(DataSourceReader):
     def pushFilters(self, filters):  # noqa: N802
         """Beginnings of paths and greatest sizes keep files closed; Spark applies them again."""
         for f in filters:
-            if isinstance(f, StringStartsWith) and tuple(f.attribute) == ("path",):
+            if isinstance(f, (StringStartsWith, EqualTo)) and tuple(f.attribute) == ("path",) and isinstance(f.value, str):
                 self.prefix = max(self.prefix, f.value, key=len)
             elif isinstance(f, LessThanOrEqual) and tuple(f.attribute) == ("size",) and not self.extract:
                 self.largest = f.value if self.largest is None else min(self.largest, f.value)
@@ -227,8 +228,11 @@ def register(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, root: str, **options) -> DataFrame:
-    """The files below ``root`` (a path, or a file, s3, gs or hdfs address), see ``Folder``."""
+    """The files below ``root`` (a path, or a file, s3, gs or hdfs address), see ``Folder``; a single file stands for itself."""
     register(spark)
+    plain = root.removeprefix("file://")
+    if "://" not in plain and os.path.isfile(plain):
+        return read(spark, os.path.dirname(os.path.abspath(plain)), **{**options, "hidden": True, "gitignore": False}).filter(F.col("path") == os.path.basename(plain))
     reader = spark.read.format("trawl_folder")
     for name, value in options.items():
         reader = reader.option(name, str(value))
