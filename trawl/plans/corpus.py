@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions import ids, suffix, urls
-from trawl.operators import detect, jsintel, rules, suppress, triage
-from trawl.plans import mirror
-from trawl.plans.store import Store, shared_folder
+from trawl.operators import chunks, detect, jsintel, rules, suppress, triage
+from trawl.plans import mirror, reviews
+from trawl.plans.store import Store, shared_folder, stored
 from trawl.sources import folder
 
 #: Rules with letters beyond ASCII, in either case.
@@ -131,7 +131,19 @@ def pages_scripts(spark, d):
     return found.filter("value like '/api/v2/items/%' or value like '%bucket-%'").select("page_id", "category", "value")
 
 
+def review_resume(spark, d):
+    """A review of all documents that stops after some of its chunks and goes on: what is pending then, and each file's state in the end."""
+    store = Store(spark, shared_folder(spark))
+    made = reviews.named(chunks.review_chunks(_table(spark, d, "documents").select("doc_id", "text"), most=3000), "doc_id").select("doc_id", "chunk", "chunk_id")
+    made = stored(made)
+    answer = lambda rows: rows.select("chunk_id", F.concat(F.lit("chunk "), F.col("chunk").cast("string")).alias("answer"), F.lit(False).alias("failed"))
+    reviews.record(store, answer(made.filter("doc_id % 3 = 0")))
+    half = reviews.manifest(store, made, "doc_id").select("doc_id", F.col("status").alias("before"))
+    reviews.record(store, answer(reviews.pending(store, made)))
+    return reviews.manifest(store, made, "doc_id").join(half, "doc_id").select("doc_id", "n_chunks", "n_done", "before", "status")
+
+
 QUERIES = {
     "match_foreign": match_foreign, "match_samples": match_samples, "suppressed_planted": suppressed_planted, "paired_credentials": paired_credentials, "scope_suffix": scope_suffix,
-    "mirror_folder": mirror_folder, "store_filtered": store_filtered, "pages_scripts": pages_scripts,
+    "mirror_folder": mirror_folder, "store_filtered": store_filtered, "pages_scripts": pages_scripts, "review_resume": review_resume,
 }

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trawl.operators.findings import annotate, unseen
 
 #: The key of each table: of rows with equal keys the first written stays.
-KEYS = {"blobs": ["blob_id"], "contents": ["blob_id"], "provenance": ["blob_id", "path"], "matches": ["structural_id"], "findings": ["finding_id"], "annotations": ["target_type", "target_id"]}
+KEYS = {"blobs": ["blob_id"], "contents": ["blob_id"], "reviews": ["chunk_id"], "provenance": ["blob_id", "path"], "matches": ["structural_id"], "findings": ["finding_id"], "annotations": ["target_type", "target_id"]}
 
 
 def shared_folder(spark: SparkSession) -> str:
