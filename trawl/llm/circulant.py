@@ -349,7 +349,15 @@ def linked(distinct: DataFrame, documents: DataFrame, text: str, width: Callable
     more = stored(remaining(buckets.select("band", "node"), labels, signatures).union(open_pairs).distinct())
     if more.isEmpty():
         return labels
-    return components(links.union(stored(settled(more, labels, signatures, documents, text, width))))
+    found = stored(settled(more, labels, signatures, documents, text, width))
+    if found.isEmpty():
+        return labels
+    # Components of components: a label stands for all that the first round has put together.
+    first = found.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    higher = stored(components(first.distinct()).select(F.col("node").alias("old"), F.col("label").alias("new")))
+    alone = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node"))
+    every = labels.select("node", "label").unionByName(alone)
+    return joined(every, higher, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
