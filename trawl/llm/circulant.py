@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import joined, scratch, shared_folder, small_batches, stored
+from trawl.llm.shared import frugal, joined, scratch, shared_folder, small_batches, stored
 from trawl.llm.simhash import to_rows
 
 SHINGLE = 4
@@ -117,7 +117,7 @@ def _prepared(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "bands", "signature"])
 
     chosen = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(compute, "doc_id long, node binary, size long, bands array<long>, signature binary")
+    return chosen.mapInArrow(frugal(compute), "doc_id long, node binary, size long, bands array<long>, signature binary")
 
 
 def fitting(a: Column, b: Column) -> Column:

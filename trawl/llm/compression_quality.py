@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trawl.llm.labelled import Logistic, fit, remainder, sample
-from trawl.llm.shared import small_batches
+from trawl.llm.shared import frugal, small_batches
 
 #: Bytes compressed at once, of a dictionary, and blocks that a text gives to a dictionary.
 BLOCK, DICTIONARY, BLOCKS_PER_TEXT = 2048, 64 << 10, 4
@@ -94,7 +94,7 @@ def with_score(documents: DataFrame, model: Model, text: str = "text", score: st
             features = np.array([tools.features(t) for t in batch.column(text).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.calibration.probability(features))], [*batch.schema.names, score])
 
-    return documents.mapInArrow(compute, StructType([*documents.schema.fields, StructField(score, DoubleType())]))
+    return documents.mapInArrow(frugal(compute), StructType([*documents.schema.fields, StructField(score, DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

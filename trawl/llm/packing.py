@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trawl.llm.bpe import Lockstep, Merges, byte_symbols
-from trawl.llm.shared import small_batches, stored
+from trawl.llm.shared import frugal, small_batches, stored
 
 CAPACITY = 4096
 END = 1
@@ -176,7 +176,7 @@ def pieces(documents: DataFrame, path: str | Callable[[], str], doc_id: str = "d
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(compute, PIECES.format(rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(frugal(compute), PIECES.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int, free: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm import circulant, simhash
-from trawl.llm.shared import scratch, shared_folder, small_batches, stored
+from trawl.llm.shared import frugal, scratch, shared_folder, small_batches, stored
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
@@ -92,7 +92,7 @@ def _prepared(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "fp", "bands", "signature"])
 
     chosen = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(compute, "doc_id long, node binary, size long, fp long, bands array<long>, signature binary")
+    return chosen.mapInArrow(frugal(compute), "doc_id long, node binary, size long, fp long, bands array<long>, signature binary")
 
 
 def _pairs_of_tries(distinct: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trawl.llm.labelled import Logistic, Sample, fit, remainder, sample
-from trawl.llm.shared import small_batches
+from trawl.llm.shared import frugal, small_batches
 
 #: The labelled sample: texts of each label, and characters of a text.
 PER_CLASS, MOST_CHARS = 2000, 20_000
@@ -318,7 +318,7 @@ def with_score(documents: DataFrame, model: Model, text: str = "text", score: st
             features = np.array([scorer.features(t) for t in batch.column(text).to_pylist()]).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.calibration.probability(features))], [*batch.schema.names, score])
 
-    return documents.mapInArrow(compute, StructType([*documents.schema.fields, StructField(score, DoubleType())]))
+    return documents.mapInArrow(frugal(compute), StructType([*documents.schema.fields, StructField(score, DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", known: Iterable[str] = ()) -> DataFrame:
