@@ -74,6 +74,34 @@ def test_a_family_just_below_the_bound_is_told_as_a_forest(spark, monkeypatch):
     assert max(told) < 40 * len(rows)
 
 
+def test_a_family_in_many_buckets_is_told_by_few_links(spark, monkeypatch):
+    """Copies of one text are together in up to BANDS buckets: the links that components are made of grow with the copies, not with their buckets."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+    told = {}
+    for n in (100, 200):
+        rows = []
+        for k in range(n):
+            own = list(base)
+            for at in rng.choice(120, 4 + k % 3, replace=False):
+                own[at] = f"x{k}y{at}"
+            rows.append((k, " ".join(own)))
+        with monkeypatch.context() as m:
+            plain, counts = circulant.components, []
+            m.setattr(circulant, "components", lambda links, counts=counts, plain=plain: counts.append(links.count()) or plain(links))
+            assert got(spark, rows) == brute(rows)
+        told[n] = max(counts)
+    assert told[100] < 2 * 100 and told[200] < 2 * 200, told
+
+
+def test_folding_links_keeps_their_components(spark):
+    rng = np.random.default_rng(3)
+    links = {(min(p), max(p)) for p in rng.integers(0, 300, (280, 2)).tolist() if p[0] != p[1]}
+    to_bytes = lambda rows: spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in rows], "a binary, b binary")
+    labels = lambda df: sorted((bytes(r["node"]), bytes(r["label"])) for r in circulant.components(df).collect())
+    assert labels(circulant.folded(to_bytes(links))) == labels(to_bytes(links))
+
+
 def test_a_pair_at_the_bound_and_very_long_texts(spark):
     base = [f"w{k}" for k in range(43)]  # 40 shingles; 36 + 4 of its own gives 36 / 44, 35 gives 35 / 45
     at, below = base[:39] + [f"x{k}" for k in range(4)], base[:38] + [f"y{k}" for k in range(5)]

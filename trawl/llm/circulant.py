@@ -237,18 +237,29 @@ def _pairs(group: Group, found: list[tuple[int, int]]) -> Iterator[pa.RecordBatc
 
 
 def across(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest (a, b) of the pairs in a bucket that have different labels and may be similar. Batches are whole groups."""
+    """A spanning forest (a, b) of the pairs in a bucket that have different labels and may be similar, as stars around the least
+    node ``a`` of each tree. Batches are whole groups."""
     for batch in groups:
-        group, found = Group(batch), []
+        group = Group(batch)
         tree = np.arange(len(group.node))
         for i in group.rows():
-            near = group.near(i, group.label)
-            trees, firsts = np.unique(tree[near], return_index=True)
-            for t, k in zip(trees, near[firsts], strict=True):
+            for t in np.unique(tree[group.near(i, group.label)]):
                 if t != tree[i]:
-                    found.append((i, k))
                     tree[tree == t] = tree[i]
-        yield from _pairs(group, found)
+        order = np.argsort(group.node, kind="stable")
+        trees, firsts, own = np.unique(tree[order], return_index=True, return_inverse=True)
+        roots = order[firsts][own]
+        yield from _pairs(group, [(r, i) for r, i in zip(roots, order, strict=True) if r != i])
+
+
+def folded(stars: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of ``stars`` (a, b): one for each b, to the least of its roots, and those between its roots.
+
+    A text is in BANDS buckets, so it has as many links in ``stars``; the roots are few, and the same ones for many texts.
+    """
+    own = stored(stars.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("roots")).select("b", F.element_at("roots", 1).alias("a"), "roots"))
+    between = own.filter(F.size("roots") > 1).select("a", "roots").distinct().select("a", F.explode("roots").alias("b")).filter("a <> b")
+    return own.select("a", "b").union(between).distinct()
 
 
 def confirmed(width: Callable[[list[bytes]], np.ndarray]):
@@ -306,7 +317,7 @@ def remaining(buckets: DataFrame, labels: DataFrame, signatures: DataFrame) -> D
     mixed = stored(mixed.select("band", "n", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
     rows = _dealt(to_rows(placed, mixed, "band", "n"), "band")
     dealt = rows.join(signatures, "node").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return dealt.mapInArrow(lambda batches: across(whole(batches, ("band", "low", "high"))), "a binary, b binary").distinct()
+    return dealt.mapInArrow(lambda batches: across(whole(batches, ("band", "low", "high"))), "a binary, b binary")
 
 
 def settled(forests: DataFrame, labels: DataFrame, signatures: DataFrame, documents: DataFrame, text: str, width: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
@@ -346,7 +357,7 @@ def linked(distinct: DataFrame, documents: DataFrame, text: str, width: Callable
     named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     open_pairs = candidates.select("a", "b").join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     open_pairs = open_pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(remaining(buckets.select("band", "node"), labels, signatures).union(open_pairs).distinct())
+    more = stored(folded(remaining(buckets.select("band", "node"), labels, signatures).union(open_pairs)))
     if more.isEmpty():
         return labels
     found = stored(settled(more, labels, signatures, documents, text, width))
