@@ -93,6 +93,27 @@ def test_numbered_redaction(spark):
     assert {r.k: r.redacted for r in redact.numbered_text(frame, "k", [], standard=False).collect()}[1].endswith("Q" * 40)
 
 
+def test_numbered_redaction_looks_for_each_pattern_once(spark):
+    """What a step gives is bound, not written out for each use by the next: the plan would search a text many times over."""
+    frame = spark.createDataFrame([(1, "see https://a.example.com/x")], "k long, text string")
+    plan = redact.numbered_text(frame, "k", [])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("authorization") == 1 and plan.count(redact.URL) <= 2, (plan.count("authorization"), plan.count(redact.URL))
+
+
+def test_numbered_redaction_of_paths_marks_and_repeated_names(spark):
+    texts = [
+        "http://a.example.com", "x http://A.example.com/app.MIN.js?k=v http://a.example.com/ Cc.Example.ORG cc.example.org", "SECRET_CANDIDATE_# stays a mark", "no names, key: none", "://  .Aa x.y",
+        "http:///nohost and a-b.c-d.example.net-", "é.example.com b.example.com.é token=abcdefg\nCookie: q", "", None, "\n" + "A" * 33 + " dd.example.com\n",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r.k: r.redacted for r in redact.numbered_text(frame, "k", []).collect()}
+    assert got == {
+        0: "EXTERNAL_ORIGIN_1", 1: "x EXTERNAL_ORIGIN_2/app.min.js?k=v EXTERNAL_ORIGIN_1/ EXTERNAL_HOST_1 EXTERNAL_HOST_1", 2: "SECRET_CANDIDATE_1 stays a mark", 3: "no names, key: none", 4: "://  .Aa x.y",
+        5: "EXTERNAL_ORIGIN_3http:///nohost and EXTERNAL_HOST_2-", 6: "é.EXTERNAL_HOST_3 b.EXTERNAL_HOST_3.é token=SECRET_CANDIDATE_1\nCookie: COOKIE_VALUE_REDACTED",
+        7: "", 8: "", 9: "\nHIGH_ENTROPY_VALUE_REDACTED_LEN_33 EXTERNAL_HOST_4\n",
+    }
+
+
 def test_source_maps_within_and_beside(spark):
     inner = json.dumps({"sources": ["webpack://../a.js", ""], "sourcesContent": ["one", "two"]})
     import base64
