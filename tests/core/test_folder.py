@@ -102,3 +102,21 @@ def test_filters_keep_files_closed(spark, tmp_path):
 def test_a_single_file(spark, tmp_path):
     put(tmp_path, {".env": b"KEY=1", ".env.local": b"KEY=2", "sub/.env": b"KEY=3"})
     assert [(r.path, bytes(r.content)) for r in folder.read(spark, f"file://{tmp_path}/.env").collect()] == [(".env", b"KEY=1")]
+
+
+def test_batches_of_a_share_are_small_and_whole(tmp_path):
+    """A worker holds a few MB of a share, however large it is."""
+    for k in range(120):
+        (tmp_path / f"{k}.txt").write_bytes(bytes([65 + k % 26]) * 100_000)
+    reader = folder.Reader({"path": str(tmp_path), "partitions": "1"})
+    batches = [b for share in reader.partitions() for b in reader.read(share)]
+    assert sorted(p for b in batches for p in b.column("path").to_pylist()) == sorted(f"{k}.txt" for k in range(120))
+    assert max(b.nbytes for b in batches) < 5 << 20
+
+
+def test_a_file_is_read_whole_whatever_size_it_tells(tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 1000)
+    store = folder.opened(str(tmp_path))
+    assert [len(store.read("a", n)) for n in (10, 1000, 1001, 1 << 20)] == [10, 1000, 1000, 1000]
+    assert folder.opened("/proc/self").read("status", 1 << 20).startswith(b"Name:")  # tells 0 bytes
+    assert len(folder.opened("/proc/self").read("status", 20)) == 20

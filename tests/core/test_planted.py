@@ -1,9 +1,11 @@
 """Pairs of credentials, public suffixes, mirrors and filtered stores."""
 
+import contextlib
 import itertools
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,26 @@ def test_contents_are_kept_once_under_manifests(spark, tmp_path):
     assert sorted(r.content for r in got.collect()) == ["text 1", "text 3"]
     assert contents(spark, where, spark.createDataFrame([("ff" * 20,)], "blob_id string")).count() == 0
     assert Store(spark, where, digits=2).table("contents").count() == 5
+
+
+def test_a_mirror_gives_its_workers_narrow_batches(spark, tmp_path, monkeypatch):
+    """Not 10,000 contents at once; the session's own limits are the same afterwards."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, plain = spark.conf.get(limit), [], mirror.narrow_batches
+
+    def told(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    @contextlib.contextmanager
+    def watched(session):
+        with plain(session):
+            wide = session.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
+            seen.extend(wide.mapInArrow(told, "n long, bytes long").collect())
+            yield
+
+    monkeypatch.setattr(mirror, "narrow_batches", watched)
+    frame = spark.createDataFrame([(f"https://h.example/{k}", f"c{k}") for k in range(20)], "url string, content string")
+    assert mirror.write(frame, str(tmp_path / "files"), str(tmp_path / "manifest")).count() == 20
+    assert sum(r.n for r in seen) == 3000 and max(r.bytes for r in seen) < 6 << 20
+    assert spark.conf.get(limit) == before

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.ids import blob_id
+from trawl.functions.memory import BYTES, give_back, narrow_batches
 from trawl.functions.urls import mirror_path
 from trawl.operators.detect import small_batches
 from trawl.plans.store import stored
@@ -74,12 +75,14 @@ def write(pages: DataFrame, root: str, manifest: str) -> DataFrame:
         from pyspark import TaskContext
 
         put, task = _writer(root.rstrip("/")), str(TaskContext.get().taskAttemptId())
-        for batch in small_batches(batches, "content"):
+        for batch in small_batches(batches, "content", BYTES):
             names = batch.column("file").to_pylist()
             for file, body in zip(names, batch.column("content").to_pylist(), strict=True):
                 put(file, body, task)
             yield pa.RecordBatch.from_arrays([pa.array(names)], ["file"])
+        give_back()
 
-    rows.mapInArrow(run, "file string").agg(F.count("*")).collect()
+    with narrow_batches(spark):
+        rows.mapInArrow(run, "file string").agg(F.count("*")).collect()
     where.write.mode("overwrite").parquet(manifest)
     return spark.read.schema(where.schema).parquet(manifest)

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, LessThanOrEqual, StringStartsWith
 
+from trawl.functions.memory import give_back
 from trawl.sources import extract, ignore
 
 SCHEMA = "blob_id string, path string, member string, content binary, size long, left_out string"
-LOOK, MOST, BATCH = 2000, 20 << 20, 8 << 20
+LOOK, MOST, BATCH = 2000, 20 << 20, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,9 @@ class Local:
 
     def read(self, path: str, most: int) -> bytes:
         with open(os.path.join(self.root, path), "rb") as file:
-            return file.read(most)
+            # Room is made for what is asked for: by the file's size, not the most that it may have.
+            body = file.read(min(most, (size := os.fstat(file.fileno()).st_size) + 1))
+            return body if len(body) <= size else body + file.read(most - len(body))  # it has grown, or tells no size
 
 
 class Remote:
@@ -198,10 +201,15 @@ class Reader(DataSourceReader):
                         rows.append(row)
                         held += len(row[3] or b"") + 100
                 if held > BATCH:
-                    yield batch()
-                    rows, held = [], 0
+                    full, rows, held = batch(), [], 0
+                    yield full
+                    del full
+                    give_back()
         if rows:
-            yield batch()
+            full, rows = batch(), []
+            yield full
+            del full
+        give_back()
 
 
 class Folder(DataSource):
