@@ -94,6 +94,39 @@ def test_a_family_in_many_buckets_is_told_by_few_links(spark, monkeypatch):
     assert told[100] < 2 * 100 and told[200] < 2 * 200, told
 
 
+def made_by_joins(spark, since):
+    """[rows, description] of each join in the queries that Spark has run from number ``since`` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, found = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for run in (runs.apply(k) for k in range(runs.size())):
+        if run.executionId() < since:
+            continue
+        nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+        for n in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = [n.metrics().apply(k) for k in range(n.metrics().size())]
+            for m in metrics if "Join" in n.name() else []:
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    found.append((int(values.apply(m.accumulatorId()).replace(",", "")), n.desc()))
+    return found
+
+
+def test_texts_alone_in_their_buckets_pass_no_join_on_buckets(spark):
+    """What joins on buckets make follows the members of shared buckets, not every text's BANDS buckets, also beside a family of copies."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+    rows = [(k, " ".join([*base[:60], f"x{k}", *base[61:]])) for k in range(40)]
+    rows += [(100 + k, " ".join(f"v{x}" for x in rng.integers(0, 10**6, 60))) for k in range(600)]
+    own = [circulant.bands(circulant.coordinates(circulant.shingles(circulant.words(t)))) for _, t in rows]
+    _, counts = np.unique(np.concatenate(own), return_counts=True)
+    shared = int(counts[counts > 1].sum())
+    assert 40 * 10 < shared < circulant.BANDS * len(rows) / 10
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert got(spark, rows) == brute(rows)
+    on_buckets = [n for n, desc in made_by_joins(spark, before) if "[band#" in desc]
+    assert shared in on_buckets and max(on_buckets) <= shared, (shared, on_buckets)
+
+
 def test_folding_links_keeps_their_components(spark):
     rng = np.random.default_rng(3)
     links = {(min(p), max(p)) for p in rng.integers(0, 300, (280, 2)).tolist() if p[0] != p[1]}

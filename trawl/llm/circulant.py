@@ -342,8 +342,8 @@ def linked(distinct: DataFrame, documents: DataFrame, text: str, width: Callable
     signatures = distinct.select("node", "size", "signature")
     # Whom the first round does not try against one another, the second compares in their buckets.
     rows = distinct.select("node", F.explode("bands").alias("band"))
-    full = stored(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
-    buckets = stored(to_rows(rows, full.withColumn("members", F.col("n")), "band", "n"))
+    full = stored(rows.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"))
+    buckets = stored(rows.join(full, "band"))  # most texts are alone in their buckets, and end here
     popular = buckets.groupBy("node").agg(F.sum("members").alias("popularity"))
     heads = buckets.join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("head"), F.count("*").alias("n"))
     met = to_rows(buckets.select("band", "node"), stored(heads), "band", "n").filter("head <> node").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
