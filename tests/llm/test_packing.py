@@ -1,3 +1,5 @@
+import gc
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,3 +122,31 @@ def test_no_more_sequences_than_best_fit_and_near_the_bound(kind):
         assert used <= 1.01 * np.ceil(found.bound)
     if kind == "fifths":  # where best fit goes wrong the program does not
         assert used < 0.95 * plain
+
+
+def test_encoders_keep_nothing_from_batch_to_batch():
+    """Workers live on, and what their encoder keeps counts against their executor."""
+    ENCODER.encode(["a first text"])
+    gc.collect()
+    tracemalloc.start()
+    for batch in range(4):
+        ENCODER.encode([" ".join(f"w{batch}x{k}" for k in range(4000))])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 300_000
+
+
+def test_words_of_many_texts_keep_to_their_texts():
+    texts = ["", None, " \t", "one", "  two  one\n", "x" * 100 + " one", "\x0bone\x0ctwo\x1cthree", "it's <|endoftext|> one"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in ENCODER.encode(texts)]
+    assert got == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ENCODER.encode([]) == []
+
+
+def test_pack_gives_its_workers_narrow_batches(spark, monkeypatch):
+    limit, seen, plain = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.stored
+    before = spark.conf.get(limit)
+    monkeypatch.setattr(packing, "stored", lambda df, *rest: seen.append(spark.conf.get(limit)) or plain(df, *rest))
+    assert packing.pack(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), PATH).count() == 1
+    assert seen == [str(4 << 20)] and spark.conf.get(limit) == before

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from trawl.llm import shingles, simhash
+from trawl.llm import circulant, shingles, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +64,14 @@ def test_the_stage_links_from_four_fifths_on(spark):
     bits = (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])) & (2**64 - 1)
     assert bits.bit_count() > 2
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()) == [1, 3]
+
+
+def test_near_dedup_gives_its_workers_narrow_batches(spark, monkeypatch):
+    limit, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(limit)
+    for module in (shingles, circulant):
+        plain = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, *rest, plain=plain: seen.append(spark.conf.get(limit)) or plain(df, *rest))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g")], "doc_id long, text string")
+    assert [r.doc_id for r in shingles.kept(docs).collect()] == [1]
+    assert set(seen) == {str(4 << 20)} and spark.conf.get(limit) == before

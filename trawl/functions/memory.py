@@ -20,9 +20,9 @@ def give_back() -> None:
 
 
 @contextlib.contextmanager
-def narrow_batches(spark: SparkSession):
-    """Actions within give workers batches of at most ROWS rows and about BYTES bytes, or one row; else 10,000 rows of any size come at once."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES}
+def narrow_batches(spark: SparkSession, rows: int = ROWS):
+    """Actions within give workers batches of at most ``rows`` rows and about BYTES bytes, or one row; else 10,000 rows of any size come at once."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES}
     before = {k: spark.conf.get(k, None) for k in limits}
     for k, v in limits.items():
         spark.conf.set(k, str(v))

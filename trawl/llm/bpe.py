@@ -39,7 +39,7 @@ class Merges:
                 self.rank[joined] = len(self.halves)
                 self.halves.append((a, b))
             self.merged.setdefault((a, b), self.rank[joined])
-        self._compile()
+        self.step: dict[int, int] = {}  # compiled when a word is first read
 
     def _compile(self) -> None:
         """The automaton whose state after each symbol is the longest end of the input that begins a token.
@@ -118,6 +118,8 @@ class Merges:
 
     def read(self, word: Sequence[int]) -> tuple[list[int], list[int]]:
         """After each symbol (and before the first): the last token, and the number of tokens emitted."""
+        if not self.step:
+            self._compile()
         pairs, ends, node = self.pairs, self.ends, 0
         last, count = [-1], [0]
         for end, symbol in enumerate(word, 1):

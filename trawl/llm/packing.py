@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trawl.functions.memory import narrow_batches
 from trawl.llm.bpe import Lockstep, Merges, byte_symbols
 from trawl.llm.shared import frugal, small_batches, stored
 
@@ -52,7 +53,8 @@ PART, ALLOW = 1 / 3, 64
 PREFER = 0.1
 #: Pieces of one length that are ranked in one group.
 RANKED = 2000
-REMEMBERED = 250_000
+#: Rows that a worker is given at once, if they are no more than ``functions.memory`` allows in bytes.
+ROWS = 10_000
 
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
@@ -61,8 +63,8 @@ class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
     The vocabulary (a tokenizers .json file whose words end with a mark) drops white space and never joins
-    across it, so words between ASCII white space are encoded apart, each distinct one once while it is
-    remembered. Words of ASCII and Latin-1 letters, digits and signs are read by the compiled merges; all
+    across it, so words between ASCII white space are encoded apart, each distinct one of the texts at hand once. Nothing is
+    kept from one call to the next: over batches of 2 MB that saves no time, and what workers keep counts against their executor. Words of ASCII and Latin-1 letters, digits and signs are read by the compiled merges; all
     others, and those that could hold contractions or special tokens, by the library itself.
     """
 
@@ -90,8 +92,6 @@ class Encoder:
         self.ids = np.array([of[token] for token in self.merges.rank], "<u4")
         self.sizes = [len(token) for token in self.merges.rank]
         self.lockstep = Lockstep(self.merges)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
 
     def part(self, part: bytes) -> bytes:
         """Ids of a pre-token of any length."""
@@ -122,36 +122,40 @@ class Encoder:
                     out[k] = data[at : at + width]
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        rare, plain, parts, cuts = [], [], [], [0]
-        for word in words:
-            ids = self.old.get(word)
-            if ids is not None:
-                self.young[word] = ids
-            elif self.PLAIN.fullmatch(text := word.decode()):
-                plain.append(word)
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without white space."""
+        out, rare, plain, parts, cuts = [b""] * len(words), [], [], [], [0]
+        for k, word in enumerate(words):
+            if self.PLAIN.fullmatch(text := word.decode()):
+                plain.append(k)
                 parts += self.PARTS.findall(text.lower())
                 cuts.append(len(parts))
             else:
-                rare.append(word)
+                rare.append(k)
         found = self.parts([p.encode() for p in parts])
-        for word, a, b in zip(plain, cuts, cuts[1:], strict=False):
-            self.young[word] = found[a] if b == a + 1 else b"".join(found[a:b])
+        for k, a, b in zip(plain, cuts, cuts[1:], strict=False):
+            out[k] = found[a] if b == a + 1 else b"".join(found[a:b])
         if rare:
-            for word, encoding in zip(rare, self.library.encode_batch([w.decode() for w in rare], add_special_tokens=False), strict=True):
-                self.young[word] = array("I", encoding.ids).tobytes()
+            for k, encoding in zip(rare, self.library.encode_batch([words[k].decode() for k in rare], add_special_tokens=False), strict=True):
+                out[k] = array("I", encoding.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        found = [list(map(self.young.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if missing:
-            self.learn(missing)
-            known = self.young
-            found = [[known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
-        return [b"".join(ids) for ids in found]
+        own = [(t or "").encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b" ".join([b"", *own, b""]), np.uint8)  # white space before, between and after them
+        inside = (data != 32) & ((data < 9) | (data > 13))
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        cuts = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in own)]))  # each text's first word
+        offsets = np.cumsum(np.append(0, ends - starts))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        ids = self.words(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, index = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        own_sizes, first = sizes[index], np.cumsum(sizes) - sizes
+        after = np.cumsum(np.append(0, own_sizes))
+        tokens = flat[np.repeat(first[index] - after[:-1], own_sizes) + np.arange(after[-1])]
+        return [tokens[a:b].tobytes() for a, b in zip(after[cuts[:-1]].tolist(), after[cuts[1:]].tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -467,7 +471,8 @@ def pack(documents: DataFrame, path: str | Callable[[], str], doc_id: str = "doc
     gives an empty one.
     """
     spark = documents.sparkSession
-    cut = stored(pieces(documents, path, doc_id, text, capacity))
+    with narrow_batches(spark, ROWS):
+        cut = stored(pieces(documents, path, doc_id, text, capacity))
     counts = np.zeros(capacity + 1, np.int64)
     for row in cut.groupBy("length").count().collect():  # one row for each length up to the capacity
         counts[row["length"]] = row["count"]

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.functions.memory import narrow_batches
 from trawl.llm import circulant, simhash
 from trawl.llm.shared import frugal, scratch, shared_folder, small_batches, stored
 
@@ -27,6 +28,8 @@ BANDS, ROWS = 40, 6
 _FACTORS, _SHIFTS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 #: Shingles whose minima are taken at once.
 PART = 1 << 11
+#: Rows that a worker is given at once, if they are no more than ``functions.memory`` allows in bytes.
+BATCH = 10_000
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
@@ -124,7 +127,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     no other has a null id. Other columns, whatever their names, are left out.
     """
     folder = shared_folder(documents.sparkSession)
-    with scratch(documents.sparkSession):
+    with scratch(documents.sparkSession), narrow_batches(documents.sparkSession, BATCH):
         prepared, ids = _found(documents, doc_id, text)
         return stored(simhash.to_rows(prepared.select("doc_id", "node"), ids.drop("label"), "node", "n").select("doc_id", "component_id"), folder)
 
@@ -135,7 +138,7 @@ def kept(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     Ids may repeat with other texts; a row is told by both. Components without an id have no row here.
     """
     folder = shared_folder(documents.sparkSession)
-    with scratch(documents.sparkSession):
+    with scratch(documents.sparkSession), narrow_batches(documents.sparkSession, BATCH):
         prepared, ids = _found(documents, doc_id, text)
         rows = simhash.to_rows(prepared.select("doc_id", "node"), ids, "node", "n").filter("doc_id = component_id")
         return stored(rows.groupBy("label", "doc_id").agg(F.min("node").alias("node")).select("doc_id", "node"), folder)
